@@ -1,10 +1,6 @@
-from pyspark.sql import functions as F
-
 from catalog.registry import query
 from tableops import column_profile, distinct_values, filter_eq, keep_and_rename, preview, shape, total
 
-MONEY = "decimal(18,2)"
-
 
 @query("SELECT * FROM events WHERE event_type = 'purchase' AND user_id = 8")
 def filter_and(t):
@@ -23,7 +19,7 @@ def filter_blank_skipped(t):
 """)
 def filter_total(t):
     rows = filter_eq(t("orders"), [("o_orderstatus", "F"), ("o_orderpriority", "1-URGENT")])
-    return total(rows, "o_totalprice", exact=MONEY).withColumn("total", F.col("total").cast("double"))
+    return total(rows, "o_totalprice", places=2)
 
 
 @query("SELECT DISTINCT c_mktsegment AS value FROM customer")

@@ -17,7 +17,7 @@ ALL = ["sum", "mean", "count", "max", "min"]
     FROM lineitem GROUP BY l_returnflag, l_linestatus
 """)
 def summarize_lineitem(t):
-    return summarize(t("lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", ALL, exact=MONEY)
+    return summarize(t("lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", ALL, places=2)
 
 
 @query("""
@@ -26,7 +26,7 @@ def summarize_lineitem(t):
     FROM lineitem GROUP BY l_suppkey
 """)
 def summarize_many_groups(t):
-    return summarize(t("lineitem"), "l_suppkey", "l_quantity", ["sum", "count"], exact=MONEY)
+    return summarize(t("lineitem"), "l_suppkey", "l_quantity", ["sum", "count"], places=2)
 
 
 @query("""
@@ -50,7 +50,7 @@ def summarize_null_keys(t):
         .otherwise(text)
         .alias("amount"),
     )
-    return summarize(events, "kind", "amount", ALL, exact=MONEY)
+    return summarize(events, "kind", "amount", ALL, places=2)
 
 
 @query("""

@@ -32,7 +32,7 @@ from tableops.plans.scratch import written
 
 # Occurrences of a hot key are matched in blocks of this many.
 BLOCK = 1 << 16
-# Longer text breaks ties between rows of one key by its start and its hash.
+# Longer text is cut where it only marks the border of a range.
 LONG_TEXT = 64
 
 
@@ -83,17 +83,15 @@ def compare(
         if name not in {c.lower() for c in [*a.columns, *b.columns]}:
             raise ValueError(f"unknown column to ignore {name!r}")
 
-    layout_a = _ordered(a, key_names, ordering)
-    layout_b = _ordered(b, key_names, ordering)
+    layout_a = _Layout.of(a, key_names, ordering)
+    layout_b = _Layout.of(b, key_names, ordering)
     targets = [comparable_key_types(dtype(a, k), dtype(b, require(b, k)[0])) for k in keys]
-    tagged = _tag(a, keys, targets, layout_a, "a", b, layout_b).unionByName(
-        _tag(b, keys, targets, layout_b, "b", a, layout_a)
-    )
+    tagged = _tag(a, keys, targets, layout_a, "a", layout_b).unionByName(_tag(b, keys, targets, layout_b, "b", layout_a))
     key_columns = [col(f"_k{i}") for i in range(len(keys))]
-    order = _order([("_a", a, layout_a, len(ordering)), ("_b", b, layout_b, len(ordering))])
     hot = hot_hashes(tagged, key_columns, hot_rows, hot_sample)
+    border = [*layout_a.border("_a"), *layout_b.border("_b")]
     return CompareResult(
-        matched=_match(tagged, key_columns, order, hot),
+        matched=_match(tagged, key_columns, border, hot),
         keys=keys,
         fields_a={f.name: f.dataType for f in a.schema if f.name.lower() not in hidden},
         fields_b={f.name: f.dataType for f in b.schema if f.name.lower() not in hidden},
@@ -103,49 +101,98 @@ def compare(
     )
 
 
-def _ordered(df: DataFrame, key_names: set[str], ordering: Sequence[str]) -> list[str]:
-    """Non-key columns in sort order: ``ordering`` first, the rest as tie-break."""
-    first = require(df, ordering, "order column")
-    return [*first, *[c for c in df.columns if c.lower() not in key_names and c not in first]]
+@dataclass(frozen=True)
+class _Layout:
+    """The non-key columns of a table, packed in the order that sorts its rows.
+
+    Requested order columns come first. Ties are broken by the other columns
+    of fixed width, a hash of the bulky ones, and at last the bulky ones
+    themselves, so that only identical rows tie.
+    """
+
+    df: DataFrame
+    requested: list[str]
+    narrow: list[str]
+    bulky: list[str]
+
+    @classmethod
+    def of(cls, df: DataFrame, key_names: set[str], ordering: Sequence[str]) -> _Layout:
+        requested = require(df, ordering, "order column")
+        rest = [c for c in df.columns if c.lower() not in key_names and c not in requested]
+        return cls(df, requested, [c for c in rest if not _is_bulky(df, c)], [c for c in rest if _is_bulky(df, c)])
+
+    def fields(self) -> list[Column]:
+        # The marker keeps the record non-empty for tables made of keys only.
+        hashed = F.xxhash64(*[col(c) for c in self.bulky]) if self.bulky else F.lit(0).cast("bigint")
+        return [
+            F.lit(True).alias("_here"),
+            *[col(c) for c in [*self.requested, *self.narrow]],
+            hashed.alias("_hash"),
+            *[col(c) for c in self.bulky],
+        ]
 
+    def row_type(self) -> T.StructType:
+        schema = self.df.schema
+        return T.StructType(
+            [T.StructField("_here", T.BooleanType())]
+            + [schema[c] for c in [*self.requested, *self.narrow]]
+            + [T.StructField("_hash", T.LongType())]
+            + [schema[c] for c in self.bulky]
+        )
+
+    def border(self, parent: str) -> list[Column]:
+        """Columns ordering rows as the packed row does, free of long cells.
+
+        A range partitioner samples them to the driver. What follows a text
+        that had to be cut is left out; rows alike up to there share a chunk.
+        """
+        columns = [col("_here", parent)]
+        whole = F.lit(True)
+        for name in self.requested:
+            cell = col(name, parent)
+            if is_text(dtype(self.df, name)):
+                cut = F.coalesce(F.length(cell) > LONG_TEXT, F.lit(False))
+                columns += [F.when(whole, F.left(cell, F.lit(LONG_TEXT))), whole & cut]
+                whole = whole & ~cut
+            else:
+                columns.append(F.when(whole, cell))
+        return columns + [F.when(whole, col(c, parent)) for c in [*self.narrow, "_hash"]]
 
-def _payload_type(df: DataFrame, layout: Sequence[str]) -> T.StructType:
-    # The marker keeps the record non-empty for tables made of keys only.
-    return T.StructType([T.StructField("_here", T.BooleanType())] + [df.schema[c] for c in layout])
+
+def _is_bulky(df: DataFrame, name: str) -> bool:
+    return isinstance(dtype(df, name), (T.StringType, T.BinaryType, T.ArrayType, T.StructType))
 
 
 def _tag(
     df: DataFrame,
     keys: Sequence[str],
     targets: Sequence[str | None],
-    layout: Sequence[str],
+    layout: _Layout,
     side: str,
-    other: DataFrame,
-    other_layout: Sequence[str],
+    other: _Layout,
 ) -> DataFrame:
     """Keys under private names, the side, and the row packed in ``_a`` or ``_b``."""
     key_columns = []
     for i, (key, target) in enumerate(zip(keys, targets)):
         value = missing_to_null(df, require(df, key)[0])
         key_columns.append((value.cast(target) if target else value).alias(f"_k{i}"))
-    row = F.struct(F.lit(True).alias("_here"), *[col(c) for c in layout]).alias(f"_{side}")
-    empty_side = "b" if side == "a" else "a"
-    empty = F.lit(None).cast(_payload_type(other, other_layout)).alias(f"_{empty_side}")
-    return df.select(*key_columns, F.lit(side).alias("_side"), row, empty)
+    packed = F.struct(*layout.fields()).alias(f"_{side}")
+    empty = F.lit(None).cast(other.row_type()).alias("_b" if side == "a" else "_a")
+    return df.select(*key_columns, F.lit(side).alias("_side"), packed, empty)
 
 
-def _match(tagged: DataFrame, keys: list[Column], order: _Order, hot: list[int]) -> DataFrame:
+def _match(tagged: DataFrame, keys: list[Column], border: list[Column], hot: list[int]) -> DataFrame:
     if not hot:
-        return _match_by_key(tagged, keys, order)
+        return _match_by_key(tagged, keys)
     is_hot = key_hash(keys).isin(hot)
-    return _match_by_key(tagged.filter(~is_hot), keys, order).unionByName(
-        _match_spread(tagged.filter(is_hot), keys, order)
+    return _match_by_key(tagged.filter(~is_hot), keys).unionByName(
+        _match_spread(tagged.filter(is_hot), keys, border)
     )
 
 
-def _match_by_key(tagged: DataFrame, keys: list[Column], order: _Order) -> DataFrame:
+def _match_by_key(tagged: DataFrame, keys: list[Column]) -> DataFrame:
     """One shuffle: numbering and folding both reuse the partitioning by key."""
-    occurrence = Window.partitionBy(*keys, "_side").orderBy(*order.sort)
+    occurrence = Window.partitionBy(*keys, "_side").orderBy("_a", "_b")
     numbered = tagged.repartition(*keys).withColumn("_occ", F.row_number().over(occurrence).cast("bigint"))
     return _fold(numbered, [*keys, F.col("_occ")])
 
@@ -158,7 +205,7 @@ def _fold(numbered: DataFrame, by: list[Column]) -> DataFrame:
     return folded.select([c for c in folded.columns if c != "_block"])
 
 
-def _match_spread(tagged: DataFrame, keys: list[Column], order: _Order) -> DataFrame:
+def _match_spread(tagged: DataFrame, keys: list[Column], border: list[Column]) -> DataFrame:
     """The same pairs for keys too big for one task.
 
     Identical rows are interchangeable, so they travel as one row with a
@@ -171,7 +218,7 @@ def _match_spread(tagged: DataFrame, keys: list[Column], order: _Order) -> DataF
     # The written table fixes the chunk numbers: a range partitioner samples,
     # so computing them twice could give two different answers.
     chunked = written(
-        copies.repartitionByRange(_tasks(tagged), *keys, "_side", *order.border).withColumn(
+        copies.repartitionByRange(_tasks(tagged), *keys, "_side", *border).withColumn(
             "_chunk", F.spark_partition_id()
         ),
         "compare",
@@ -190,7 +237,7 @@ def _match_spread(tagged: DataFrame, keys: list[Column], order: _Order) -> DataF
     same += [F.col("_side") == F.col("_oside"), F.col("_chunk") == F.col("_ochunk")]
     inside = (
         Window.partitionBy(*keys, "_side", "_chunk")
-        .orderBy(*order.sort)
+        .orderBy("_a", "_b")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     counted = chunked.withColumn("_upto", F.sum("_n").over(inside))
@@ -210,46 +257,6 @@ def _match_spread(tagged: DataFrame, keys: list[Column], order: _Order) -> DataF
     return _fold(numbered.select(*keys, "_block", "_occ", "_a", "_b"), [*keys, F.col("_block"), F.col("_occ")])
 
 
-@dataclass(frozen=True)
-class _Order:
-    """Sort order of the rows of one key.
-
-    ``sort``: the requested columns, a digest of the others, the whole row.
-    ``border``: the part of it a range partitioner needs, free of long text
-    because the driver holds its sample. Rows sorted by ``sort`` are sorted by
-    ``border`` as well.
-    """
-
-    sort: list[Column]
-    border: list[Column]
-
-
-def _order(sides: Sequence[tuple[str, DataFrame, Sequence[str], int]]) -> _Order:
-    sort, border = [], []
-    for parent, df, layout, requested in sides:
-        border.append(col("_here", parent))
-        whole = F.lit(True)
-        for name in layout[:requested]:
-            cell = col(name, parent)
-            sort.append(cell)
-            if is_text(dtype(df, name)):
-                # What follows a cut text cannot place a border any more.
-                cut = F.coalesce(F.length(cell) > LONG_TEXT, F.lit(False))
-                border += [F.when(whole, F.left(cell, F.lit(LONG_TEXT))), whole & cut]
-                whole = whole & ~cut
-            else:
-                border.append(F.when(whole, cell))
-        for name in layout[requested:]:
-            cell = col(name, parent)
-            if is_text(dtype(df, name)):
-                digest = [F.left(cell, F.lit(LONG_TEXT)), F.when(F.length(cell) > LONG_TEXT, F.xxhash64(cell))]
-            else:
-                digest = [cell]
-            sort += digest
-            border += [F.when(whole, d) for d in digest]
-    return _Order([*sort, F.col("_a"), F.col("_b")], border)
-
-
 def _distance(x: Column, y: Column) -> Column:
     """Absolute difference; NULL where there is none to speak of."""
     gap = F.abs(x.cast("double") - y.cast("double"))

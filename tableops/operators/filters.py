@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tableops.columns import as_list, col, dtype, is_floating, missing_to_null, require
-from tableops.functions import as_text
+from tableops.functions import as_text, exact_sum
 from tableops.operators.profile import numeric_columns
 
 
@@ -30,11 +30,11 @@ def filter_eq(df: DataFrame, filters: Iterable[tuple[str, object]]) -> DataFrame
     return df.filter(reduce(lambda x, y: x & y, conditions)) if conditions else df
 
 
-def total(df: DataFrame, column: str | None = None, exact: str | None = None) -> DataFrame:
+def total(df: DataFrame, column: str | None = None, places: int | None = None) -> DataFrame:
     """One row: ``n_rows`` and, for a numeric ``column``, ``total`` and ``total_text``.
 
-    ``exact`` names a decimal type, e.g. ``decimal(18,2)``: money then adds up
-    to the same cent whatever order the tasks finish in.
+    ``places`` adds exactly to that many decimals: money then comes to the same
+    cent whatever order the tasks finish in.
     """
     counted = F.count("*").alias("n_rows")
     if column is None:
@@ -42,15 +42,13 @@ def total(df: DataFrame, column: str | None = None, exact: str | None = None) ->
     (column,) = require(df, column, "total column")
     if column not in numeric_columns(df):
         raise ValueError(f"column {column!r} is not numeric")
-    value = missing_to_null(df, column)
-    if isinstance(dtype(df, column), T.BooleanType):
+    value, data_type = missing_to_null(df, column), dtype(df, column)
+    if isinstance(data_type, T.BooleanType):
         value = value.cast("bigint")
-    elif exact:
-        value = value.cast(exact)
-    elif is_floating(dtype(df, column)):
-        value = value.cast("double")
-    summed = F.coalesce(F.sum(value), F.lit(0).cast("int"))
-    return df.agg(counted, summed.alias("total")).withColumn("total_text", F.format_number("total", 2))
+    summed = F.sum(value) if places is None else exact_sum(value, data_type, places)
+    result = df.agg(counted, F.coalesce(summed, F.lit(0).cast("int")).alias("total"))
+    result = result.withColumn("total_text", F.format_number("total", 2))
+    return result.withColumn("total", F.col("total").cast("double")) if is_floating(data_type) else result
 
 
 def distinct_values(df: DataFrame, column: str, sort: bool = True) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tableops.columns import as_list, col, dtype, is_numeric, is_text, missing_to_null, require, require_unique
-from tableops.functions import to_number
+from tableops.functions import exact_sum, to_number
 
 FUNCTIONS = ("sum", "mean", "count", "max", "min")
 
@@ -17,7 +18,7 @@ def summarize(
     keys: str | Iterable[str],
     metric: str,
     functions: Iterable[str] = ("sum",),
-    exact: str | None = None,
+    places: int | None = None,
     sort: bool = False,
 ) -> DataFrame:
     """``keys`` plus one ``<metric>_<function>`` column per function.
@@ -40,36 +41,32 @@ def summarize(
     outputs = {f: f"{metric}_{f}" for f in functions}
     require_unique([*keys, *outputs.values()], "summarize")
 
-    value = _number(df, metric)
-    if exact:
-        value = value.cast(exact)
-    narrowed = df.select(*[missing_to_null(df, k).alias(k) for k in keys], value.alias("_metric"))
-    present = narrowed.dropna(subset=[f"`{k}`" if "." in k else k for k in keys])
-    # In a decimal run the sum is turned into a double once, at the very end.
-    aggregates = {f: _aggregate(f, F.col("_metric"), bool(exact)) for f in functions}
-    result = present.groupBy(*[col(k) for k in keys]).agg(*[aggregates[f].alias(outputs[f]) for f in functions])
+    value, data_type = _number(df, metric)
+    narrowed = df.select(*[missing_to_null(df, k).alias(k) for k in keys], value.cast(data_type).alias("_metric"))
+    present = narrowed.filter(reduce(lambda x, y: x & y, [col(k).isNotNull() for k in keys]))
+    aggregates = [_aggregate(f, F.col("_metric"), data_type, places).alias(outputs[f]) for f in functions]
+    result = present.groupBy(*[col(k) for k in keys]).agg(*aggregates)
     return result.orderBy(*[col(k) for k in keys]) if sort else result
 
 
-def _number(df: DataFrame, metric: str) -> Column:
+def _number(df: DataFrame, metric: str) -> tuple[Column, T.DataType]:
     data_type = dtype(df, metric)
     if is_text(data_type):
-        return to_number(col(metric))
+        return to_number(col(metric)), T.DoubleType()
     if isinstance(data_type, T.BooleanType):
-        return col(metric).cast("bigint")
+        return col(metric), T.LongType()
     if is_numeric(data_type):
-        return missing_to_null(df, metric)
+        return missing_to_null(df, metric), data_type
     raise ValueError(f"metric {metric!r} is {data_type.simpleString()}, not a number or text")
 
 
-def _aggregate(function: str, value: Column, exact: bool) -> Column:
-    added = F.coalesce(F.sum(value), F.lit(0).cast("int"))
-    if function == "sum":
-        return added.cast("double") if exact else added
-    if function == "mean":
-        # A missing mean must not become a division by zero.
-        return F.try_divide(F.sum(value).cast("double"), F.count(value)) if exact else F.avg(value)
+def _aggregate(function: str, value: Column, data_type: T.DataType, places: int | None) -> Column:
     if function == "count":
         return F.count(value)
-    edge = F.max(value) if function == "max" else F.min(value)
-    return edge.cast("double") if exact else edge
+    if function in ("max", "min"):
+        return F.max(value) if function == "max" else F.min(value)
+    if places is None:
+        return F.coalesce(F.sum(value), F.lit(0).cast("int")) if function == "sum" else F.avg(value)
+    added = exact_sum(value, data_type, places).cast("double")
+    # A mean of no values is missing, not a division by zero.
+    return F.coalesce(added, F.lit(0.0)) if function == "sum" else F.try_divide(added, F.count(value))
