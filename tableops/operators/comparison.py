@@ -27,7 +27,7 @@ from tableops.columns import (
     require_unique,
 )
 from tableops.functions import approx_equal, clean_text
-from tableops.plans.hotkeys import HOT_ROWS, SAMPLE, hot_hashes, key_hash
+from tableops.plans.hotkeys import HOT_ROWS, SAMPLE, hot_hashes, is_hot
 from tableops.plans.scratch import written
 
 # Occurrences of a hot key are matched in blocks of this many.
@@ -48,7 +48,7 @@ def align_keys(b: DataFrame, keys_a: Sequence[str], keys_b: Sequence[str]) -> Da
     renames = dict(zip(keys_b, keys_a))
     names = [renames.get(c, c) for c in b.columns]
     require_unique(names, "keys of B renamed to those of A")
-    return b.select(*[col(c).alias(n) for c, n in zip(b.columns, names)])
+    return b if names == b.columns else b.toDF(*names)
 
 
 def compare(
@@ -87,7 +87,7 @@ def compare(
     layout_b = _Layout.of(b, key_names, ordering)
     targets = [comparable_key_types(dtype(a, k), dtype(b, require(b, k)[0])) for k in keys]
     tagged = _tag(a, keys, targets, layout_a, "a", layout_b).unionByName(_tag(b, keys, targets, layout_b, "b", layout_a))
-    key_columns = [col(f"_k{i}") for i in range(len(keys))]
+    key_columns = [f"_k{i}" for i in range(len(keys))]
     hot = hot_hashes(tagged, key_columns, hot_rows, hot_sample)
     border = [*layout_a.border("_a"), *layout_b.border("_b")]
     return CompareResult(
@@ -181,23 +181,21 @@ def _tag(
     return df.select(*key_columns, F.lit(side).alias("_side"), packed, empty)
 
 
-def _match(tagged: DataFrame, keys: list[Column], border: list[Column], hot: list[int]) -> DataFrame:
+def _match(tagged: DataFrame, keys: list[str], border: list[Column], hot: list[int]) -> DataFrame:
     if not hot:
         return _match_by_key(tagged, keys)
-    is_hot = key_hash(keys).isin(hot)
-    return _match_by_key(tagged.filter(~is_hot), keys).unionByName(
-        _match_spread(tagged.filter(is_hot), keys, border)
-    )
+    spread = is_hot(keys, hot)
+    return _match_by_key(tagged.filter(~spread), keys).unionByName(_match_spread(tagged.filter(spread), keys, border))
 
 
-def _match_by_key(tagged: DataFrame, keys: list[Column]) -> DataFrame:
+def _match_by_key(tagged: DataFrame, keys: list[str]) -> DataFrame:
     """One shuffle: numbering and folding both reuse the partitioning by key."""
     occurrence = Window.partitionBy(*keys, "_side").orderBy("_a", "_b")
     numbered = tagged.repartition(*keys).withColumn("_occ", F.row_number().over(occurrence).cast("bigint"))
-    return _fold(numbered, [*keys, F.col("_occ")])
+    return _fold(numbered, [*keys, "_occ"])
 
 
-def _fold(numbered: DataFrame, by: list[Column]) -> DataFrame:
+def _fold(numbered: DataFrame, by: list[str]) -> DataFrame:
     """One record per (key, occurrence); a side without that row is NULL."""
     folded = numbered.groupBy(*by).agg(
         F.first("_a", ignorenulls=True).alias("_a"), F.first("_b", ignorenulls=True).alias("_b")
@@ -205,7 +203,7 @@ def _fold(numbered: DataFrame, by: list[Column]) -> DataFrame:
     return folded.select([c for c in folded.columns if c != "_block"])
 
 
-def _match_spread(tagged: DataFrame, keys: list[Column], border: list[Column]) -> DataFrame:
+def _match_spread(tagged: DataFrame, keys: list[str], border: list[Column]) -> DataFrame:
     """The same pairs for keys too big for one task.
 
     Identical rows are interchangeable, so they travel as one row with a
@@ -228,12 +226,12 @@ def _match_spread(tagged: DataFrame, keys: list[Column], border: list[Column]) -
     sizes = chunked.groupBy(*keys, "_side", "_chunk").agg(F.sum("_n").alias("_rows"))
     earlier = Window.partitionBy(*keys, "_side").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        *[k.alias(f"_o{i}") for i, k in enumerate(keys)],
+        *[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)],
         F.col("_side").alias("_oside"),
         F.col("_chunk").alias("_ochunk"),
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_base"),
     )
-    same = [k.eqNullSafe(F.col(f"_o{i}")) for i, k in enumerate(keys)]
+    same = [F.col(k).eqNullSafe(F.col(f"_o{i}")) for i, k in enumerate(keys)]
     same += [F.col("_side") == F.col("_oside"), F.col("_chunk") == F.col("_ochunk")]
     inside = (
         Window.partitionBy(*keys, "_side", "_chunk")
@@ -254,7 +252,7 @@ def _match_spread(tagged: DataFrame, keys: list[Column], border: list[Column]) -
     low = F.greatest(F.col("_from"), F.col("_block") * size)
     high = F.least(F.col("_to"), (F.col("_block") + 1) * size - 1)
     numbered = pieces.repartition(*keys, "_block").withColumn("_occ", F.explode(F.sequence(low + 1, high + 1)))
-    return _fold(numbered.select(*keys, "_block", "_occ", "_a", "_b"), [*keys, F.col("_block"), F.col("_occ")])
+    return _fold(numbered.select(*keys, "_block", "_occ", "_a", "_b"), [*keys, "_block", "_occ"])
 
 
 def _distance(x: Column, y: Column) -> Column:
@@ -283,7 +281,8 @@ class CompareResult:
     tidy_text: bool
 
     def __post_init__(self) -> None:
-        require_unique([name for name, _ in self._both_columns()], "compare")
+        compared = [f"{x}{end}" for x, _ in self.shared for end in ("_a", "_b", "_match")]
+        require_unique([*self.keys, *compared, *self.columns_only_a, *self.columns_only_b, "all_match"], "compare")
 
     def persist(self) -> CompareResult:
         self.matched.persist()
@@ -325,18 +324,19 @@ class CompareResult:
     def _all_equal(self) -> Column:
         return reduce(lambda x, y: x & y, [self._equal(x, y) for x, y in self.shared], F.lit(True))
 
-    def _key_columns(self) -> list[tuple[str, Column]]:
-        return [(k, self._shown(self._key(i), self.fields_a[k])) for i, k in enumerate(self.keys)]
+    def _key_columns(self) -> list[Column]:
+        return [self._shown(self._key(i), self.fields_a[k]).alias(k) for i, k in enumerate(self.keys)]
 
-    def _both_columns(self) -> list[tuple[str, Column]]:
+    def _with_flags(self, pairs: DataFrame) -> DataFrame:
         columns = self._key_columns()
         for x, y in self.shared:
-            columns.append((f"{x}_a", self._shown(col(x, "_a"), self.fields_a[x])))
-            columns.append((f"{x}_b", self._shown(col(y, "_b"), self.fields_b[y])))
-            columns.append((f"{x}_match", self._equal(x, y)))
-        columns += [(c, self._shown(col(c, "_a"), self.fields_a[c])) for c in self.columns_only_a]
-        columns += [(c, self._shown(col(c, "_b"), self.fields_b[c])) for c in self.columns_only_b]
-        return [*columns, ("all_match", self._all_equal())]
+            columns.append(self._shown(col(x, "_a"), self.fields_a[x]).alias(f"{x}_a"))
+            columns.append(self._shown(col(y, "_b"), self.fields_b[y]).alias(f"{x}_b"))
+            columns.append(self._equal(x, y).alias(f"{x}_match"))
+        columns += [self._shown(col(c, "_a"), self.fields_a[c]).alias(c) for c in self.columns_only_a]
+        columns += [self._shown(col(c, "_b"), self.fields_b[c]).alias(c) for c in self.columns_only_b]
+        flags = [col(f"{x}_match") for x, _ in self.shared]
+        return pairs.select(*columns).withColumn("all_match", reduce(lambda x, y: x & y, flags, F.lit(True)))
 
     def _one_side(self, fields: dict[str, T.DataType], side: str) -> list[Column]:
         place = {k.lower(): i for i, k in enumerate(self.keys)}
@@ -360,7 +360,7 @@ class CompareResult:
     @cached_property
     def both(self) -> DataFrame:
         """Paired rows: both values and a match flag per column, and ``all_match``."""
-        return self._paired().select(*[c.alias(name) for name, c in self._both_columns()])
+        return self._with_flags(self._paired())
 
     def _paired(self) -> DataFrame:
         return self.matched.filter(F.col("_a").isNotNull() & F.col("_b").isNotNull())
@@ -369,7 +369,7 @@ class CompareResult:
         """The first ``n`` pairs that differ, by key and occurrence."""
         order = [self._key(i) for i in range(len(self.keys))] + [F.col("_occ")]
         first = self._paired().filter(~self._all_equal()).orderBy(*order).limit(n)
-        return first.select(*[c.alias(name) for name, c in self._both_columns()])
+        return self._with_flags(first)
 
     # -- statistics --------------------------------------------------------
 

@@ -9,15 +9,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 # A key below this many rows is left to one task.
 HOT_ROWS = 2_000_000
 SAMPLE = 0.01
-MOST_HASHES = 1000
-
-
-def key_hash(keys: Sequence[Column]) -> Column:
-    return F.xxhash64(*keys)
+MOST_HASHES = 10_000
 
 
 def hot_hashes(
-    df: DataFrame, keys: Sequence[Column], hot_rows: int | None = HOT_ROWS, sample: float = SAMPLE
+    df: DataFrame, keys: Sequence[str], hot_rows: int | None = HOT_ROWS, sample: float = SAMPLE
 ) -> list[int]:
     """Hashes of the keys with about ``hot_rows`` rows or more, biggest first.
 
@@ -25,12 +21,18 @@ def hot_hashes(
     aggregated before its shuffle. At most ``MOST_HASHES`` numbers reach the
     driver. The list only chooses between two exact ways of computing the same
     rows, so neither a missed key nor a colliding hash can change a result.
+    ``hot_rows=None`` skips the pass.
     """
     if hot_rows is None:
         return []
-    hashes = df.select(key_hash(keys).alias("h"))
+    hashes = df.select(F.xxhash64(*keys).alias("h"))
     if sample < 1:
         hashes = hashes.sample(fraction=sample, seed=11)
     counts = hashes.groupBy("h").agg(F.count("*").alias("n"))
     big = counts.filter(F.col("n") >= F.lit(max(1.0, hot_rows * sample)))
     return [row.h for row in big.orderBy(F.desc("n")).limit(MOST_HASHES).collect()]
+
+
+def is_hot(keys: Sequence[str], hashes: Sequence[int]) -> Column:
+    """Does the row's key hash to one of ``hashes``? Never NULL."""
+    return F.expr(f"xxhash64({', '.join(keys)}) IN ({', '.join(f'{h}L' for h in hashes)})")
