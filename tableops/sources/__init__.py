@@ -2,6 +2,7 @@ from tableops.sources.csv import detect_sep, normalize_header, read_csv, write_c
 from tableops.sources.exports import read_exports
 from tableops.sources.files import preview, read_parquet_ordered
 from tableops.sources.ingest import null_tokens, numeric_cells, promote_numeric
+from tableops.sources.workbooks import read_workbooks
 
 __all__ = [
     "detect_sep",
@@ -13,5 +14,6 @@ __all__ = [
     "read_csv",
     "read_exports",
     "read_parquet_ordered",
+    "read_workbooks",
     "write_csv",
 ]
