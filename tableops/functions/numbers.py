@@ -10,8 +10,8 @@ from tableops.columns import is_floating, is_numeric, is_text
 
 # The accepted spellings of a number. Spark's own cast also takes
 # '1d', '1f' and 'NaN', which are text (or missing) in a spreadsheet.
-FINITE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-INFINITE = r"(?i)^\s*[+-]?inf(inity)?\s*$"
+NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)\s*$"
+INFINITY = r"(?i)inf"
 WHOLE = r"^\s*[+-]?\d+\s*$"
 TRUE_WORDS = ("True", "TRUE", "true")
 FALSE_WORDS = ("False", "FALSE", "false")
@@ -24,9 +24,8 @@ def to_number(c: Column, decimal_comma: bool = False) -> Column:
     """
     text = F.replace(c, F.lit(","), F.lit(".")) if decimal_comma else c
     value = text.try_cast("double")
-    return F.when(
-        (text.rlike(FINITE) & (F.abs(value) < F.lit(float("inf")))) | text.rlike(INFINITE), value
-    )
+    fits = (F.abs(value) < F.lit(float("inf"))) | text.rlike(INFINITY)
+    return F.when(text.rlike(NUMBER) & fits, value)
 
 
 def to_whole(c: Column) -> Column:

@@ -55,8 +55,5 @@ def distinct_values(df: DataFrame, column: str, sort: bool = True) -> DataFrame:
     """Distinct non-missing values of a column as text, ascending."""
     (column,) = require(df, as_list(column))
     value = missing_to_null(df, column)
-    # Distinct on the native value first: it is what the scan delivers, and the
-    # text is then made once per value instead of once per row.
-    values = df.select(value.alias("value")).where(F.col("value").isNotNull()).distinct()
-    text = values.select(as_text(F.col("value"), dtype(df, column)).alias("value")).distinct()
+    text = df.filter(value.isNotNull()).select(as_text(value, dtype(df, column)).alias("value")).distinct()
     return text.orderBy("value") if sort else text

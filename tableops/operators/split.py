@@ -12,8 +12,8 @@ PART = "part_key"
 EMPTY_LABEL = "__EMPTY__"
 
 
-def _part_key(df: DataFrame, column: str) -> Column:
-    text = as_text(missing_to_null(df, column), dtype(df, column))
+def _part_key(value: Column, data_type: T.DataType) -> Column:
+    text = as_text(value, data_type)
     return F.when(text == "", F.lit(EMPTY_LABEL)).otherwise(text)
 
 
@@ -25,21 +25,22 @@ def manifest(df: DataFrame, column: str) -> DataFrame:
     counts the rows that have no value and go to no part.
     """
     (column,) = require(df, column)
-    counted = (
-        df.select(_part_key(df, column).alias(PART), as_text(missing_to_null(df, column), dtype(df, column)).alias("_t"))
-        .groupBy(PART, slug(F.col("_t")).alias("slug"))
-        .agg(F.count("*").alias("n_rows"))
+    data_type = dtype(df, column)
+    counted = df.groupBy(missing_to_null(df, column).alias("_value")).agg(F.count("*").alias("n_rows"))
+    listed = counted.select(
+        _part_key(F.col("_value"), data_type).alias(PART), slug(as_text(F.col("_value"), data_type)).alias("slug"), "n_rows"
     )
-    # Counted per label and joined back rather than windowed: one label may be
-    # shared by any number of parts, and a join can be split where it is hot.
-    per_label = counted.filter(F.col(PART).isNotNull()).groupBy("slug").agg(F.count("*").alias("_parts"))
-    joined = counted.join(per_label, "slug", "left")
+    # A label with more rows than one of its parts has another part as well.
+    # Summed and joined, not windowed: any number of parts may share a label.
+    # Both branches need the same counts, so the table is scanned once.
+    labels = listed.groupBy(F.col("slug").alias("_slug")).agg(F.sum("n_rows").alias("_label_rows"))
+    joined = listed.join(labels, F.col("slug").eqNullSafe(F.col("_slug")))
     return joined.select(
         PART,
         "slug",
         "n_rows",
         F.col(PART).isNotNull().alias("written"),
-        (F.col(PART).isNotNull() & (F.coalesce(F.col("_parts"), F.lit(0)) > 1)).alias("collides"),
+        (F.col("_label_rows") > F.col("n_rows")).alias("collides"),
     )
 
 
@@ -53,7 +54,9 @@ def parts(df: DataFrame, column: str) -> DataFrame:
     (column,) = require(df, column)
     if PART in df.columns:
         raise ValueError(f"the table already has a column {PART!r}")
-    keyed = df.filter(missing_to_null(df, column).isNotNull()).withColumn(PART, _part_key(df, column))
+    keyed = df.filter(missing_to_null(df, column).isNotNull()).withColumn(
+        PART, _part_key(missing_to_null(df, column), dtype(df, column))
+    )
     return keyed.hint("rebalance", PART)
 
 

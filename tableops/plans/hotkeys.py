@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tableops.columns import col
+
 # A key below this many rows is left to one task.
 HOT_ROWS = 2_000_000
 SAMPLE = 0.01
@@ -25,7 +27,7 @@ def hot_hashes(
     """
     if hot_rows is None:
         return []
-    hashes = df.select(F.xxhash64(*keys).alias("h"))
+    hashes = df.select(F.xxhash64(*[col(k) for k in keys]).alias("h"))
     if sample < 1:
         hashes = hashes.sample(fraction=sample, seed=11)
     counts = hashes.groupBy("h").agg(F.count("*").alias("n"))
@@ -35,4 +37,5 @@ def hot_hashes(
 
 def is_hot(keys: Sequence[str], hashes: Sequence[int]) -> Column:
     """Does the row's key hash to one of ``hashes``? Never NULL."""
-    return F.expr(f"xxhash64({', '.join(keys)}) IN ({', '.join(f'{h}L' for h in hashes)})")
+    names = ", ".join("`" + k.replace("`", "``") + "`" for k in keys)
+    return F.expr(f"xxhash64({names}) IN ({', '.join(f'{h}L' for h in hashes)})")

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tableops.columns import col
-from tableops.sources.csv import detect_sep, normalize_header, read_header, read_text_cells
+from tableops.sources.csv import SEPARATORS, detect_sep, normalize_header, read_text_cells
 from tableops.sources.ingest import null_tokens
 
 SOURCE = "source_file"
 
 
 def header_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``path`` and ``header`` (first line) of every file; only file heads are read."""
+    """``path`` and ``header`` (first record) of every file; only file heads are read."""
 
     # Nested so that it travels by value and executors need no copy of the package.
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -32,11 +33,16 @@ def header_lines(spark: SparkSession, path: str) -> DataFrame:
                     system, place = fs.LocalFileSystem(), "/" + name.lstrip("/")
                 else:
                     system, place = fs.FileSystem.from_uri(uri)
-                head = b""
+                head, end = b"", -1
                 with system.open_input_stream(place) as stream:
-                    while b"\n" not in head and (more := stream.read(1 << 16)):
+                    while end < 0 and (more := stream.read(1 << 16)):
                         head += more
-                lines.append(head.split(b"\n", 1)[0].decode("utf-8", "replace").rstrip("\r").lstrip("\ufeff"))
+                        end = head.find(b"\n")
+                        # A line break between quotes is part of a name.
+                        while end >= 0 and head.count(b'"', 0, end) % 2:
+                            end = head.find(b"\n", end + 1)
+                line = head[:end] if end >= 0 else head
+                lines.append(line.decode("utf-8", "replace").rstrip("\r").lstrip("\ufeff"))
             yield pd.DataFrame({"path": batch["path"], "header": lines})
 
     # Selecting the path alone keeps the file contents out of the scan.
@@ -44,6 +50,13 @@ def header_lines(spark: SparkSession, path: str) -> DataFrame:
     return paths.mapInPandas(heads, "path string, header string")
 
 
+def _header_sep(header: str) -> str | None:
+    """The separator of a header line, unless several could be it."""
+    bare = re.sub('"[^"]*"', "", header)
+    found = [s for s in SEPARATORS if s in bare]
+    return found[0] if len(found) == 1 else None
+
+
 def read_exports(spark: SparkSession, path: str, sep: str | None = None, multi_line: bool = False) -> DataFrame:
     """All exports under ``path`` as one table of text cells plus ``source_file``.
 
@@ -63,8 +76,8 @@ def read_exports(spark: SparkSession, path: str, sep: str | None = None, multi_l
     tables = []
     for header in sorted(layouts):
         files = sorted(layouts[header])
-        separator = sep or detect_sep(spark, files[0])
-        names = normalize_header(read_header(spark, files[0], separator, multi_line), strip=False)
-        cells = read_text_cells(spark, files, separator, names, multi_line)
+        separator = sep or _header_sep(header) or detect_sep(spark, files[0])
+        names = normalize_header(next(csv.reader([header], delimiter=separator), [""]), strip=False)
+        cells = read_text_cells(spark, files, separator, names, multi_line or "\n" in header)
         tables.append(null_tokens(cells.select("*", F.col("_metadata.file_path").alias(SOURCE)), names))
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), tables)
