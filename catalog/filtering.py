@@ -22,7 +22,7 @@ def filter_total(t):
     return total(rows, "o_totalprice", places=2)
 
 
-@query("SELECT DISTINCT c_mktsegment AS value FROM customer")
+@query("SELECT DISTINCT c_mktsegment AS value FROM customer", name="distinct_values")
 def distinct_texts(t):
     return distinct_values(t("customer"), "c_mktsegment")
 
@@ -36,7 +36,7 @@ def distinct_numbers(t):
     SELECT position, name, kind, (SELECT count(*) FROM part) AS n_rows
     FROM (VALUES (0, 'p_partkey', 'numeric'), (1, 'p_name', 'text'), (2, 'p_brand', 'text'),
                  (3, 'p_type', 'text'), (4, 'p_size', 'numeric'), (5, 'p_retailprice', 'numeric')) v(position, name, kind)
-""")
+""", name="column_profile")
 def profile_columns(t):
     return column_profile(t("part"))
 
@@ -46,7 +46,7 @@ def profile_shape(t):
     return shape(t("lineitem"))
 
 
-@query("SELECT s_name AS supplier, s_suppkey, s_acctbal AS balance FROM supplier")
+@query("SELECT s_name AS supplier, s_suppkey, s_acctbal AS balance FROM supplier", name="keep_and_rename")
 def rename_columns(t):
     return keep_and_rename(
         t("supplier"), ["s_name", "s_suppkey", "s_acctbal"], {"s_name": "supplier", "s_acctbal": "balance"}

@@ -32,7 +32,7 @@ TYPED = """d AS (
     WITH {TYPED}
     SELECT id, balance, mixed, TRY_CAST(replace(balance, ',', '.') AS DOUBLE) AS balance_num,
            TRY_CAST(replace(mixed, ',', '.') AS DOUBLE) AS mixed_num FROM i
-""")
+""", name="numeric_cells")
 def numeric_cells_customer(t):
     return numeric_cells(typed_in(t).select("id", "balance", "mixed"), ["balance", "mixed"])
 
@@ -40,7 +40,7 @@ def numeric_cells_customer(t):
 @query(f"""
     WITH {TYPED}
     SELECT CAST(id AS BIGINT) AS id, CAST(replace(balance, ',', '.') AS DOUBLE) AS balance, mixed, in_debt, nothing FROM i
-""")
+""", name="promote_numeric")
 def promote_numeric_customer(t):
     return promote_numeric(typed_in(t))
 
@@ -76,7 +76,7 @@ def csv_long_cells(t):
            CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_totalprice AS o_totalprice_num,
            CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS o_orderpriority
     FROM orders
-""")
+""", name="read_exports")
 def exports_of_three_layouts(t):
     """Exports whose columns are swapped or absent, read by name in one go."""
     path = scratch_path(t.spark, "exports")

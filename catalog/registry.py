@@ -20,14 +20,14 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
-def query(sql: str | None = None) -> Callable:
-    """Register the decorated ``f(tables) -> DataFrame`` under its own name."""
+def query(sql: str | None = None, name: str | None = None) -> Callable:
+    """Register the decorated ``f(tables) -> DataFrame``, under its own name by default."""
 
     def register(function: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        name = function.__name__
-        QUERIES[name] = lambda spark, folder: function(Tables(spark, folder))
+        label = name or function.__name__
+        QUERIES[label] = lambda spark, folder: function(Tables(spark, folder))
         if sql is not None:
-            SQL[name] = sql
+            SQL[label] = sql
         return function
 
     return register

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tableops.columns import col
 from tableops.sources.ingest import null_tokens, promote_numeric
+from tableops.sources.records import WHOLE_FILE_BYTES, biggest_file, read_records
 
 SEPARATORS = (",", ";", "\t", "|")
 BOM = "\ufeff"
@@ -87,13 +88,37 @@ def read_header(spark: SparkSession, path: str | Sequence[str], sep: str, multi_
     return list(first)
 
 
-def read_text_cells(
-    spark: SparkSession, path: str | Sequence[str], sep: str, names: Sequence[str], multi_line: bool = False
+def read_cells(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    sep: str,
+    names: Sequence[str],
+    spans: bool = False,
+    source: str | None = None,
+    whole_file_bytes: int = WHOLE_FILE_BYTES,
 ) -> DataFrame:
-    """All cells as text under the given names, headers skipped, nothing inferred."""
+    """All cells as text under the given names, headers skipped, nothing inferred.
+
+    ``spans`` says that cells hold line breaks; ``source`` names a column for
+    the file a row comes from.
+    """
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    if spans and biggest_file(spark, path) > whole_file_bytes:
+        return read_spanning_cells(spark, path, sep, schema, source)
     reader = spark.read.schema(schema).options(**READ_OPTIONS)
-    return reader.options(sep=sep, header=True, enforceSchema=True, multiLine=multi_line).csv(path)
+    cells = reader.options(sep=sep, header=True, enforceSchema=True, multiLine=spans).csv(path)
+    return cells.select("*", F.col("_metadata.file_path").alias(source)) if source else cells
+
+
+def read_spanning_cells(
+    spark: SparkSession, path: str | Sequence[str], sep: str, schema: T.StructType, source: str | None = None
+) -> DataFrame:
+    """Cells that span lines, from files that are cut into splits all the same."""
+    records = read_records(spark, path).filter(~F.col("header"))
+    options = {**READ_OPTIONS, "sep": sep, "multiLine": "true", "mode": "PERMISSIVE"}
+    fields = ", ".join("`" + n.replace("`", "``") + "` string" for n in schema.names)
+    parsed = records.select(F.from_csv("record", fields, options).alias("cells"), "file")
+    return parsed.select("cells.*", *([F.col("file").alias(source)] if source else []))
 
 
 def read_csv(
@@ -103,12 +128,13 @@ def read_csv(
     multi_line: bool | str = "auto",
     promote: bool = True,
     decimal_comma: bool = True,
+    whole_file_bytes: int = WHOLE_FILE_BYTES,
 ) -> DataFrame:
     """Read files of one layout: header, missing-value words, numeric columns.
 
     ``sep=None`` looks at the first lines. ``multi_line="auto"`` looks for cells
-    that span lines, because such files cannot be cut into splits; pass True or
-    False to spare that pass. ``promote`` turns a column into numbers (or
+    that span lines; pass True or False to spare that pass. Spark reads a file
+    with such cells in one task, so big ones are cut by :mod:`.records`. ``promote`` turns a column into numbers (or
     booleans) when every cell that is not missing can be read as such.
     """
     if not path:
@@ -120,7 +146,7 @@ def read_csv(
     names = normalize_header(read_header(spark, paths, sep, spans))
     if len(names) <= 1:
         warnings.warn(f"{path!r} was read as a single column; check the separator", stacklevel=2)
-    cells = null_tokens(read_text_cells(spark, paths, sep, names, spans))
+    cells = null_tokens(read_cells(spark, paths, sep, names, spans, None, whole_file_bytes))
     return promote_numeric(cells, decimal_comma=decimal_comma) if promote else cells
 
 

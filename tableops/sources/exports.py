@@ -8,9 +8,9 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from tableops.sources.csv import SEPARATORS, detect_sep, normalize_header, read_text_cells
+from tableops.sources.csv import SEPARATORS, detect_sep, needs_multi_line, normalize_header, read_cells
 from tableops.sources.ingest import null_tokens
 
 SOURCE = "source_file"
@@ -57,13 +57,13 @@ def _header_sep(header: str) -> str | None:
     return found[0] if len(found) == 1 else None
 
 
-def read_exports(spark: SparkSession, path: str, sep: str | None = None, multi_line: bool = False) -> DataFrame:
+def read_exports(spark: SparkSession, path: str, sep: str | None = None, multi_line: bool | str = "auto") -> DataFrame:
     """All exports under ``path`` as one table of text cells plus ``source_file``.
 
     A plain directory read would assign cells by position from one file's
     header. Files are grouped by header line instead, each layout is read
     with its own names, and the layouts are combined by name; a column that a
-    layout lacks is NULL there.
+    layout lacks is NULL there. ``multi_line`` is as for ``read_csv``.
     """
     if not path:
         raise ValueError("no path given")
@@ -73,11 +73,12 @@ def read_exports(spark: SparkSession, path: str, sep: str | None = None, multi_l
         layouts.setdefault(row.header, []).append(row.path)
     if not layouts:
         raise ValueError(f"no files under {path!r}")
+    spans = needs_multi_line(spark, path) if multi_line == "auto" else bool(multi_line)
     tables = []
     for header in sorted(layouts):
         files = sorted(layouts[header])
         separator = sep or _header_sep(header) or detect_sep(spark, files[0])
         names = normalize_header(next(csv.reader([header], delimiter=separator), [""]), strip=False)
-        cells = read_text_cells(spark, files, separator, names, multi_line or "\n" in header)
-        tables.append(null_tokens(cells.select("*", F.col("_metadata.file_path").alias(SOURCE)), names))
+        cells = read_cells(spark, files, separator, names, spans, SOURCE)
+        tables.append(null_tokens(cells, names))
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), tables)

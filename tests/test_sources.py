@@ -1,5 +1,6 @@
-import warnings
+import csv
 import zipfile
+from random import Random
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from tableops import (
     read_workbooks,
     write_csv,
 )
-from tableops.sources.csv import needs_multi_line
+from tableops.sources.csv import needs_multi_line, read_cells
 from tests.conftest import rows
 
 
@@ -72,6 +73,34 @@ def test_cells_over_several_lines(spark, tmp_path):
     assert not needs_multi_line(spark, put(tmp_path / "p.csv", 'a,b\n1,"x, ""z"""\n'))
 
 
+@pytest.mark.parametrize("split_bytes", [40, 333, 1 << 20])
+def test_spanning_cells_are_read_from_splits(spark, tmp_path, split_bytes):
+    random = Random(split_bytes)
+    words = ["a", '"', "\n", ",", "é", "\r\n", " ", "long " * 12, "\n\n\n"]
+    cells = [["k", "first\nname", "z"]]
+    for i in range(300):
+        cells.append([str(i), *["".join(random.choices(words, k=random.choice([0, 1, 1, 2, 9]))) for _ in range(2)]])
+    for name, part in (("one", cells[:200]), ("two", cells[:1] + cells[200:])):
+        with open(tmp_path / f"{name}.csv", "w", encoding="utf-8", newline="") as file:
+            csv.writer(file, lineterminator="\r\n" if name == "two" else "\n").writerows(part)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        df = read_cells(spark, str(tmp_path), ",", ["k", "v", "w"], True, "from", 0)
+        found = {r.k: [r.v or "", r.w or ""] for r in df.collect()}
+        assert df.filter(F.col("from").endswith("/two.csv")).count() == 101
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert found == {k: [v, w] for k, v, w in cells[1:]}
+
+
+def test_big_files_are_cut(spark, tmp_path):
+    path = put(tmp_path / "q.csv", 'a,b\n1,"x\ny"\n2,w\n')
+    assert rows(read_csv(spark, path, whole_file_bytes=0)) == [(1, "x\ny"), (2, "w")]
+
+
 def test_empty_input(spark, tmp_path):
     for call in (lambda: read_csv(spark, ""), lambda: read_exports(spark, ""), lambda: read_workbooks(spark, "")):
         with pytest.raises(ValueError):
@@ -128,6 +157,12 @@ def test_exports_are_read_by_name(spark, tmp_path):
     ]
 
 
+def test_exports_with_line_breaks(spark, tmp_path):
+    put(tmp_path / "in" / "1.csv", 'a,"b\nb"\n1,"x\ny"\n')
+    put(tmp_path / "in" / "2.csv", '"b\nb",a\nz,2\n')
+    assert rows(read_exports(spark, str(tmp_path / "in")).select("a", "b\nb")) == [("1", "x\ny"), ("2", "z")]
+
+
 def test_file_order_and_preview(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(50).coalesce(1).select((F.col("id") * 7 % 50).alias("v")).write.parquet(path)
