@@ -4,6 +4,7 @@ Spark reads such a file whole in one task, because a split cannot tell whether
 it starts inside quotes. Whether it does follows from the number of quotes in
 the splits before it, one small number per split, so the lines can be read in
 parallel and only the lines of spanning records need to be brought together.
+The numbered lines are written to the shared scratch folder on the way.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from tableops.plans.scratch import written
+
 # A file above this size is worth cutting although its lines are then shuffled.
 WHOLE_FILE_BYTES = 256 << 20
 
@@ -46,9 +49,10 @@ def read_records(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     # A line opens a spanning record if it starts outside quotes and ends
     # inside. Which ones do depends on how the split starts: count both cases.
     upto = Window.partitionBy("file", "split").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    counted = numbered.withColumns(
-        {f"opened{p}": F.sum(_opens(F.lit(p)).cast("int")).over(upto) for p in (0, 1)}
-    )
+    opened = {f"opened{p}": F.sum(_opens(F.lit(p)).cast("int")).over(upto) for p in (0, 1)}
+    # Written once: how Spark cuts files into splits depends on which files a
+    # query needs, so two readings of the same files need not agree.
+    counted = written(numbered.withColumns(opened), "lines")
     splits = counted.groupBy("file", "split").agg(
         F.sum("odd").alias("odd"), F.max("opened0").alias("opened0"), F.max("opened1").alias("opened1")
     )
