@@ -17,6 +17,10 @@ TRUE_WORDS = ("True", "TRUE", "true")
 FALSE_WORDS = ("False", "FALSE", "false")
 
 
+# How exact_sum cuts a number of units in two.
+LOW_BITS = 20
+
+
 def to_number(c: Column, decimal_comma: bool = False) -> Column:
     """Text to double, NULL where the text is not a number.
 
@@ -41,13 +45,16 @@ def to_flag(c: Column) -> Column:
 def exact_sum(c: Column, data_type: T.DataType, places: int) -> Column:
     """Sum to ``places`` decimals that no order of addition can change; a decimal.
 
-    Floating values are added as whole multiples of the last place, several
-    times cheaper than casting each one to a decimal. NULL for no values.
+    Floating values are counted in units of the last place. The units go into
+    two whole-number sums, of their high and low bits, which cost far less per
+    row than decimals and leave room for 10^25 units. NULL for no values.
     """
     if not is_floating(data_type):
         return F.sum(c)
-    units = F.rint(c * F.lit(float(10**places))).cast("bigint").cast("decimal(18,0)")
-    return F.sum(units) * F.lit(Decimal(1).scaleb(-places))
+    units = F.rint(c * F.lit(float(10**places))).cast("bigint")
+    high = F.sum(F.shiftright(units, LOW_BITS)).cast("decimal(19,0)")
+    low = F.sum(units.bitwiseAND(F.lit((1 << LOW_BITS) - 1))).cast("decimal(19,0)")
+    return (high * F.lit(Decimal(1 << LOW_BITS)) + low) * F.lit(Decimal(1).scaleb(-places))
 
 
 def approx_equal(

@@ -2,7 +2,7 @@ import math
 
 from pyspark.sql import functions as F, types as T
 
-from tableops.functions import approx_equal, clean_text, slug, strip_ws, to_number
+from tableops.functions import approx_equal, clean_text, exact_sum, slug, strip_ws, to_number
 
 
 def apply(spark, values, function):
@@ -70,3 +70,13 @@ def test_tolerant_equality(spark):
 def test_whole_numbers_compare_exactly(spark):
     big = 2**62
     assert equal(spark, [(big, big + 1), (big, -big), (3, 3)], T.LongType()) == [False, False, True]
+
+
+def test_exact_sum(spark):
+    cents = [1, -1, 99, -12345, 10**15 + 7, -(10**15), 5, 0, -(2**20), 2**20 + 1]
+    df = spark.createDataFrame([(c / 100,) for c in cents] + [(None,)], "v double")
+    out = df.repartition(4).agg(exact_sum(F.col("v"), T.DoubleType(), 2).alias("s")).first().s
+    assert int(out * 100) == sum(cents)
+    assert df.filter("v is null").agg(exact_sum(F.col("v"), T.DoubleType(), 2)).first()[0] is None
+    many = spark.range(300_000).select(F.lit(9e12).alias("v")).agg(exact_sum(F.col("v"), T.DoubleType(), 2).alias("s"))
+    assert many.first().s == 9 * 10**12 * 300_000
