@@ -62,6 +62,15 @@ def csv_roundtrip(t):
     return read_csv(t.spark, path)
 
 
+@query("SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents")
+def csv_long_cells_in_splits(t):
+    """The same, with every file cut into splits however small it is."""
+    path = scratch_path(t.spark, "csv")
+    write_csv(t("documents"), path)
+    back = read_csv(t.spark, path, sep=",", multi_line=True, whole_file_bytes=0)
+    return back.select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars")
+
+
 @query("SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents")
 def csv_long_cells(t):
     """Cells with line breaks, quotes and separators in them."""

@@ -61,5 +61,5 @@ def split_roundtrip(t):
 def split_roundtrip_csv(t):
     customers = awkward_segments(t)
     path = scratch_path(t.spark, "split")
-    split_write(customers, "segment", path, format="csv", header=True)
-    return read_parts(t.spark, path, customers.schema, format="csv", header=True)
+    split_write(customers, "segment", path, format="csv")
+    return read_parts(t.spark, path, customers.schema, format="csv")

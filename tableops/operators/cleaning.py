@@ -6,7 +6,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tableops.columns import (
     as_list,
@@ -73,22 +73,30 @@ def drop_missing(df: DataFrame) -> DataFrame:
 def fill_missing(df: DataFrame, value: str = "0") -> DataFrame:
     """Replace missing cells by ``value``, cast to each column's type.
 
-    A column whose type cannot hold the value becomes text first.
+    A column whose type cannot hold the value becomes text first; nested
+    columns stay as they are.
     """
     castable = _castable(df, value)
     filled = []
     for name in df.columns:
         kept, data_type = missing_to_null(df, name), dtype(df, name)
-        if castable[data_type.simpleString()]:
+        if _is_nested(data_type):
+            filled.append(col(name))
+        elif castable[data_type.simpleString()]:
             filled.append(F.coalesce(kept, F.lit(value).try_cast(data_type)).alias(name))
         else:
             filled.append(F.coalesce(as_text(kept, data_type), F.lit(value)).alias(name))
     return df.select(*filled)
 
 
+def _is_nested(data_type: T.DataType) -> bool:
+    return isinstance(data_type, (T.ArrayType, T.MapType, T.StructType))
+
+
 def _castable(df: DataFrame, value: str) -> dict[str, bool]:
     """Which column types can hold ``value``. A constant query; reads no table."""
-    types = sorted({f.dataType.simpleString() for f in df.schema if not is_text(f.dataType)})
+    flat = [f.dataType for f in df.schema if not is_text(f.dataType) and not _is_nested(f.dataType)]
+    types = sorted({t.simpleString() for t in flat})
     if not types:
         return {f.dataType.simpleString(): True for f in df.schema}
     one_row = df.sparkSession.sql("SELECT 1")

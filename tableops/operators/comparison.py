@@ -427,11 +427,14 @@ class CompareResult:
         return self._paired().agg(*aggregates).select(F.inline(F.array(*rows)))
 
     def report(self, n: int = 10) -> str:
-        """Readable text: counts, per-column statistics, first differing pairs."""
+        """Readable text: counts, per-column statistics, first rows that differ or stand alone."""
         parts = [("Summary", self.summary().collect())]
         if self.shared:
             parts.append(("Columns", self.column_stats().collect()))
         parts.append((f"First {n} pairs that differ", self.samples(n).collect()))
+        for side, alone in (("A", self.only_a), ("B", self.only_b)):
+            first = alone.orderBy(*[col(k) for k in self.keys]).limit(n)
+            parts.append((f"First {n} rows only in {side}", first.collect()))
         lines = []
         for title, rows in parts:
             lines += [title, "-" * len(title)]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tableops.columns import col, dtype, missing_to_null, require
 from tableops.functions import as_text, slug
+from tableops.sources.csv import BOM, READ_OPTIONS, WRITE_OPTIONS
 
 PART = "part_key"
 # Stands in for the empty string, which a directory name cannot tell from NULL.
@@ -64,12 +65,12 @@ def split_write(
     df: DataFrame, column: str, path: str, format: str = "parquet", max_records_per_file: int | None = None, **options
 ) -> None:
     """Write one directory ``part_key=<value>`` per value, in one pass."""
-    writer = parts(df, column).write.partitionBy(PART).format(format)
+    laid_out = parts(df, column)
     if format == "csv":
-        # The same cell rules as every other CSV written by this package.
-        from tableops.sources.csv import WRITE_OPTIONS
-
-        writer = writer.options(**WRITE_OPTIONS)
+        # Header, byte order mark and cell rules as in every CSV of this package.
+        laid_out = laid_out.withColumnsRenamed({df.columns[0]: BOM + df.columns[0]})
+        options = {**WRITE_OPTIONS, "header": True, **options}
+    writer = laid_out.write.partitionBy(PART).format(format)
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
     writer.options(**options).save(path)
@@ -83,7 +84,5 @@ def read_parts(spark: SparkSession, path: str, schema: T.StructType, format: str
     with_key = T.StructType([*schema.fields, T.StructField(PART, T.StringType())])
     reader = spark.read.schema(with_key).format(format)
     if format == "csv":
-        from tableops.sources.csv import READ_OPTIONS
-
-        reader = reader.options(**READ_OPTIONS)
+        options = {**READ_OPTIONS, "header": True, **options}
     return reader.options(**options).load(path)

@@ -7,10 +7,25 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tableops.columns import col, require
+from tableops.sources.csv import read_csv
+from tableops.sources.exports import SOURCE
+from tableops.sources.ingest import promote_numeric
+from tableops.sources.workbooks import ROW as SHEET_ROW, read_workbooks
 
 FILE, ROW = "_file", "_row"
 
 
+def read_file(spark: SparkSession, path: str, **options) -> DataFrame:
+    """A .csv or .xlsx file as a typed table; anything else is refused."""
+    if not path:
+        raise ValueError("no path given")
+    if path.lower().endswith(".csv"):
+        return read_csv(spark, path, **options)
+    if path.lower().endswith(".xlsx"):
+        return promote_numeric(read_workbooks(spark, path, **options).drop(SOURCE, SHEET_ROW))
+    raise ValueError(f"neither a .csv nor an .xlsx file: {path!r}")
+
+
 def read_parquet_ordered(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table plus ``_file`` and ``_row``: file order as real columns.
 

@@ -44,7 +44,8 @@ def test_outputs(spark):
     assert stats["amt"].max_difference == pytest.approx(0.00011)
     assert stats["txt"].max_difference is None
     assert [r["id"] for r in result.samples(1).collect()] == [2]
-    assert "n_different=2" in result.report()
+    report = result.report()
+    assert "n_different=2" in report and "First 10 rows only in A" in report and "id=9" in report
 
 
 def test_keys_of_another_name_and_extra_columns(spark):

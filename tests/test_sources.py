@@ -14,6 +14,7 @@ from tableops import (
     promote_numeric,
     read_csv,
     read_exports,
+    read_file,
     read_parquet_ordered,
     read_workbooks,
     write_csv,
@@ -101,6 +102,13 @@ def test_big_files_are_cut(spark, tmp_path):
     assert rows(read_csv(spark, path, whole_file_bytes=0)) == [(1, "x\ny"), (2, "w")]
 
 
+def test_read_file(spark, tmp_path):
+    assert rows(read_file(spark, put(tmp_path / "f.CSV", "a;b\n1;2,5\n"))) == [(1, 2.5)]
+    for bad in ("", "x.ods", "x"):
+        with pytest.raises(ValueError):
+            read_file(spark, bad)
+
+
 def test_empty_input(spark, tmp_path):
     for call in (lambda: read_csv(spark, ""), lambda: read_exports(spark, ""), lambda: read_workbooks(spark, "")):
         with pytest.raises(ValueError):
@@ -203,4 +211,6 @@ def test_workbooks(spark, tmp_path):
     ]
     assert promote_numeric(df.select("n")).dtypes == [("n", "double")]
     assert df.filter("other is not null").count() == 1
+    single = read_file(spark, str(tmp_path / "a.xlsx"))
+    assert single.dtypes == [("n", "double"), ("n.1", "string"), ("when", "string")]
     assert read_workbooks(spark, str(tmp_path), ["n"]).columns == ["source_file", "row_number", "n"]

@@ -45,8 +45,10 @@ def test_write_and_read_back(spark, tmp_path):
 def test_csv_parts(spark, tmp_path):
     df = spark.createDataFrame([("x", 'q"1', 1), ("y", " b ", 2)], "k string, t string, n int")
     path = str(tmp_path / "csv")
-    split_write(df, "k", path, format="csv", header=True)
-    assert rows(read_parts(spark, path, df.schema, format="csv", header=True).drop("part_key")) == rows(df)
+    split_write(df, "k", path, format="csv")
+    assert rows(read_parts(spark, path, df.schema, format="csv").drop("part_key")) == rows(df)
+    (part,) = (tmp_path / "csv" / "part_key=y").glob("*.csv")
+    assert part.read_bytes() == b"\xef\xbb\xbfk,t,n\ny, b ,2\n"
 
 
 def test_hot_part_is_cut(spark, tmp_path):
