@@ -98,25 +98,25 @@ def clean_html(t):
     )
 
 
-PIPELINE = CleanSpec(
+STEPS = CleanSpec(
     duplicates=("user_id", "event_type"), order_by=("event_id",), missing="drop", text_actions=("strip", "upper")
 )
 
-PIPELINE_SQL = f"""{GAPPY},
+STEPS_SQL = f"""{GAPPY},
     d AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1),
     n AS (SELECT * FROM d WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND value IS NOT NULL AND ts IS NOT NULL),
     c AS (SELECT event_id, user_id, upper(trim(event_type)) AS event_type, value, ts FROM n)"""
 
 
-@query(f"WITH {PIPELINE_SQL} SELECT * FROM c")
-def clean_pipeline(t):
-    return clean(gappy_events(t), PIPELINE)
+@query(f"WITH {STEPS_SQL} SELECT * FROM c")
+def clean_in_order(t):
+    return clean(gappy_events(t), STEPS)
 
 
 @query(f"""
-    WITH {PIPELINE_SQL}
+    WITH {STEPS_SQL}
     SELECT (SELECT count(*) FROM g) AS rows_before, (SELECT count(*) FROM c) AS rows_after
 """)
 def clean_report(t):
     before = gappy_events(t)
-    return report(before, clean(before, PIPELINE))
+    return report(before, clean(before, STEPS))

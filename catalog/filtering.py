@@ -1,5 +1,5 @@
 from catalog.registry import query
-from tableops import column_profile, distinct_values, filter_eq, keep_and_rename, preview, shape, total
+from tableops import column_profile, distinct_values, filter_eq, keep_and_rename, preview, read_parquet_ordered, shape, total
 
 
 @query("SELECT * FROM events WHERE event_type = 'purchase' AND user_id = 8")
@@ -56,3 +56,10 @@ def rename_columns(t):
 @query("SELECT * FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 5")
 def preview_rows(t):
     return preview(t("orders"), ["o_totalprice", "o_orderkey"])
+
+
+@query("SELECT * FROM lineitem LIMIT 5")
+def preview_file_order(t):
+    """The rows that stand first in the file."""
+    lines = read_parquet_ordered(t.spark, f"{t.folder}/lineitem.parquet")
+    return preview(lines, ["_file", "_row"]).drop("_file", "_row")

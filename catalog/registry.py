@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+# Schemas already looked up, by path: it takes a job to read them from a footer.
+_SCHEMAS: dict[str, StructType] = {}
+
+
 class Tables:
     """The Parquet tables of one data folder, read on demand."""
 
@@ -17,7 +22,10 @@ class Tables:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def __call__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable:

@@ -135,3 +135,12 @@ def test_hot_key_is_cut_into_many_tasks(spark):
     assert sizes.count() >= 8
     assert sizes.agg(F.max("n")).first()[0] < only.distinct().count() / 2
     assert spread.matches()
+
+
+def test_spreadsheet_names_on_the_spread_road(spark):
+    names = "`cod. (id)` bigint, `valor (R$), total;` double, `obs\n=` string"
+    a = spark.createDataFrame([(1, float(i), f"t{i % 3}") for i in range(50)], names)
+    b = a.withColumn("valor (R$), total;", F.col("`valor (R$), total;`") + 0.00001)
+    result = compare(a, b, "cod. (id)", hot_rows=5, hot_sample=1.0)
+    assert "tableops/compare-" in result.both._jdf.queryExecution().toString()
+    assert result.matches() and result.summary().first().both == 50

@@ -76,3 +76,9 @@ def test_hot_part_is_cut(spark, tmp_path):
 def test_parts_scan_once(spark):
     text = parts(awkward(spark), "k")._jdf.queryExecution().toString()
     assert text[text.index("== Physical Plan ==") :].count("Exchange") == 1
+
+
+def test_manifest_reads_the_table_once(spark):
+    out = manifest(awkward(spark), "k")
+    out.collect()
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
