@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tableops.columns import col, dtype, missing_to_null, require
 from tableops.functions import as_text, slug
-from tableops.sources.csv import BOM, READ_OPTIONS, WRITE_OPTIONS
+from tableops.sources.csv import READ_OPTIONS, WRITE_OPTIONS, printable
 
 PART = "part_key"
 # Stands in for the empty string, which a directory name cannot tell from NULL.
@@ -68,7 +68,7 @@ def split_write(
     laid_out = parts(df, column)
     if format == "csv":
         # Header, byte order mark and cell rules as in every CSV of this package.
-        laid_out = laid_out.withColumnsRenamed({df.columns[0]: BOM + df.columns[0]})
+        laid_out = printable(laid_out, bom=True)
         options = {**WRITE_OPTIONS, "header": True, **options}
     writer = laid_out.write.partitionBy(PART).format(format)
     if max_records_per_file:

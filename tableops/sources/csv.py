@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tableops.columns import col
+from tableops.functions import as_text
 from tableops.sources.ingest import null_tokens, promote_numeric
 from tableops.sources.records import WHOLE_FILE_BYTES, biggest_file, read_records
 
@@ -24,8 +25,6 @@ READ_OPTIONS = {
 WRITE_OPTIONS = {
     **READ_OPTIONS,
     "emptyValue": "",
-    "timestampFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
-    "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
 }
 
 
@@ -150,14 +149,24 @@ def read_csv(
     return promote_numeric(cells, decimal_comma=decimal_comma) if promote else cells
 
 
+def printable(df: DataFrame, bom: bool) -> DataFrame:
+    """Cells as they shall stand in a file, and the mark on the first name.
+
+    Moments read ``2024-01-31 13:05:00``, flags True or False. The header is
+    the first thing in each part file, so the byte order mark is, too.
+    """
+    moments = (T.TimestampType, T.TimestampNTZType)
+    cells = []
+    for i, field in enumerate(df.schema):
+        shown = isinstance(field.dataType, (*moments, T.BooleanType))
+        cell = as_text(col(field.name), field.dataType) if shown else col(field.name)
+        cells.append(cell.alias(BOM + field.name if bom and i == 0 else field.name))
+    return df.select(*cells)
+
+
 def write_csv(df: DataFrame, path: str, bom: bool = True, sep: str = ",", mode: str = "errorifexists") -> bool:
     """Write with a header in every file; returns False, writing nothing, for no rows."""
     if df.isEmpty():
         return False
-    names = list(df.columns)
-    if bom:
-        # The header is the first thing in each part file, so the mark is too.
-        names[0] = BOM + names[0]
-    marked = df.select(*[col(c).alias(n) for c, n in zip(df.columns, names)])
-    marked.write.options(**WRITE_OPTIONS).options(header=True, sep=sep).mode(mode).csv(path)
+    printable(df, bom).write.options(**WRITE_OPTIONS).options(header=True, sep=sep).mode(mode).csv(path)
     return True

@@ -16,7 +16,9 @@ from tableops import (
     read_exports,
     read_file,
     read_parquet_ordered,
+    read_parts,
     read_workbooks,
+    split_write,
     write_csv,
 )
 from tableops.sources.csv import needs_multi_line, read_cells
@@ -128,6 +130,21 @@ def test_write_csv(spark, tmp_path):
     assert not (tmp_path / "none").exists()
 
 
+def test_moments_and_flags_in_csv(spark, tmp_path):
+    df = spark.sql(
+        "SELECT TIMESTAMP_NTZ'2024-01-31 13:05:00' AS t, TIMESTAMP_NTZ'2024-01-31 13:05:00.25' AS u, "
+        "DATE'2024-01-31' AS d, true AS f, 2.5D AS x"
+    )
+    path = tmp_path / "out"
+    write_csv(df, str(path))
+    (part,) = path.glob("*.csv")
+    assert part.read_text("utf-8-sig") == (
+        "t,u,d,f,x\n2024-01-31 13:05:00,2024-01-31 13:05:00.25,2024-01-31,True,2.5\n"
+    )
+    split_write(df, "f", str(tmp_path / "parts"), format="csv")
+    assert rows(read_parts(spark, str(tmp_path / "parts"), df.schema, format="csv").drop("part_key")) == rows(df)
+
+
 def test_numeric_cells_keep_the_text(spark):
     df = spark.createDataFrame([("1,5",), ("x",), (None,)], "v string")
     assert rows(numeric_cells(df, "v")) == [("1,5", 1.5), ("x", None), (None, None)]
