@@ -83,8 +83,10 @@ def compare(
         if name not in {c.lower() for c in [*a.columns, *b.columns]}:
             raise ValueError(f"unknown column to ignore {name!r}")
 
-    layout_a = _Layout.of(a, key_names, ordering)
-    layout_b = _Layout.of(b, key_names, ordering)
+    in_b = {c.lower(): c for c in b.columns if c.lower() not in key_names | hidden}
+    shared = [c for c in a.columns if c.lower() in in_b and _is_bulky(a, c) == _is_bulky(b, in_b[c.lower()])]
+    layout_a = _Layout.of(a, key_names, ordering, shared)
+    layout_b = _Layout.of(b, key_names, ordering, shared)
     targets = [comparable_key_types(dtype(a, k), dtype(b, require(b, k)[0])) for k in keys]
     tagged = _tag(a, keys, targets, layout_a, "a", layout_b).unionByName(_tag(b, keys, targets, layout_b, "b", layout_a))
     key_columns = [f"_k{i}" for i in range(len(keys))]
@@ -105,40 +107,47 @@ def compare(
 class _Layout:
     """The non-key columns of a table, packed in the order that sorts its rows.
 
-    Requested order columns come first. Ties are broken by the other columns
-    of fixed width, a hash of the bulky ones, and at last the bulky ones
+    Requested order columns come first. Ties are broken by the columns both
+    tables have, then by the table's own: in each of the two groups by those of
+    fixed width and a hash of the bulky ones. At last stand the bulky columns
     themselves, so that only identical rows tie.
     """
 
     df: DataFrame
     requested: list[str]
-    narrow: list[str]
-    bulky: list[str]
+    shared: list[str]
+    own: list[str]
 
     @classmethod
-    def of(cls, df: DataFrame, key_names: set[str], ordering: Sequence[str]) -> _Layout:
+    def of(cls, df: DataFrame, key_names: set[str], ordering: Sequence[str], shared: Sequence[str]) -> _Layout:
         requested = require(df, ordering, "order column")
-        rest = [c for c in df.columns if c.lower() not in key_names and c not in requested]
-        return cls(df, requested, [c for c in rest if not _is_bulky(df, c)], [c for c in rest if _is_bulky(df, c)])
+        common = [c for c in require(df, shared) if c not in requested]
+        own = [c for c in df.columns if c.lower() not in key_names and c not in requested and c not in common]
+        return cls(df, requested, common, own)
+
+    def _narrow(self, names: Sequence[str]) -> list[str]:
+        return [c for c in names if not _is_bulky(self.df, c)]
+
+    def _bulky(self, names: Sequence[str]) -> list[str]:
+        return [c for c in names if _is_bulky(self.df, c)]
+
+    def _hash(self, names: Sequence[str]) -> Column:
+        bulky = [col(c) for c in self._bulky(names)]
+        return F.xxhash64(*bulky) if bulky else F.lit(0).cast("bigint")
 
     def fields(self) -> list[Column]:
-        # The marker keeps the record non-empty for tables made of keys only.
-        hashed = F.xxhash64(*[col(c) for c in self.bulky]) if self.bulky else F.lit(0).cast("bigint")
         return [
+            # The marker keeps the record non-empty for tables made of keys only.
             F.lit(True).alias("_here"),
-            *[col(c) for c in [*self.requested, *self.narrow]],
-            hashed.alias("_hash"),
-            *[col(c) for c in self.bulky],
+            *[col(c) for c in [*self.requested, *self._narrow(self.shared)]],
+            self._hash(self.shared).alias("_hash"),
+            *[col(c) for c in self._narrow(self.own)],
+            self._hash(self.own).alias("_own_hash"),
+            *[col(c) for c in self._bulky([*self.shared, *self.own])],
         ]
 
     def row_type(self) -> T.StructType:
-        schema = self.df.schema
-        return T.StructType(
-            [T.StructField("_here", T.BooleanType())]
-            + [schema[c] for c in [*self.requested, *self.narrow]]
-            + [T.StructField("_hash", T.LongType())]
-            + [schema[c] for c in self.bulky]
-        )
+        return self.df.select(F.struct(*self.fields()).alias("row")).schema["row"].dataType
 
     def border(self, parent: str) -> list[Column]:
         """Columns ordering rows as the packed row does, free of long cells.
@@ -156,7 +165,8 @@ class _Layout:
                 whole = whole & ~cut
             else:
                 columns.append(F.when(whole, cell))
-        return columns + [F.when(whole, col(c, parent)) for c in [*self.narrow, "_hash"]]
+        rest = [*self._narrow(self.shared), "_hash", *self._narrow(self.own), "_own_hash"]
+        return columns + [F.when(whole, col(c, parent)) for c in rest]
 
 
 def _is_bulky(df: DataFrame, name: str) -> bool:

@@ -88,6 +88,15 @@ def test_order_by_and_ignore(spark):
     assert not compare(a, reverse, "k", order_by="pos", ignore="pos").matches()
 
 
+@pytest.mark.parametrize("hot_rows", [None, 1])
+def test_copies_pair_by_what_the_tables_share(spark, hot_rows):
+    """Columns that only one table has must not decide which rows pair up."""
+    a = spark.createDataFrame([(1, i, f"t{i}", f"own{-i}") for i in range(40)], "k int, n int, t string, mine string")
+    b = spark.createDataFrame([(1, f"x{i * 7 % 40}", f"t{i}", i) for i in range(40)], "k int, more string, T string, N int")
+    assert compare(a, b, "k", hot_rows=hot_rows, hot_sample=1.0).matches()
+    assert compare(a.drop("n"), b.drop("N"), "k", hot_rows=hot_rows, hot_sample=1.0).matches()
+
+
 def test_keys_only_and_dotted_names(spark):
     a = spark.createDataFrame([(1,), (2,), (2,)], "`k.1` int")
     b = spark.createDataFrame([(2,), (3,)], "`k.1` int")
