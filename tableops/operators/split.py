@@ -10,6 +10,8 @@ from tableops.sources.csv import READ_OPTIONS, WRITE_OPTIONS, printable
 
 PART = "part_key"
 # Stands in for the empty string, which a directory name cannot tell from NULL.
+# A value of that very spelling shares the folder; the split column is kept in
+# the rows and tells them apart.
 EMPTY_LABEL = "__EMPTY__"
 
 

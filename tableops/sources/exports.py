@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tableops.sources.csv import SEPARATORS, detect_sep, needs_multi_line, normalize_header, read_cells
 from tableops.sources.ingest import null_tokens
+from tableops.sources.remote import file_opener
 
 SOURCE = "source_file"
 
@@ -19,22 +20,15 @@ SOURCE = "source_file"
 def header_lines(spark: SparkSession, path: str) -> DataFrame:
     """``path`` and ``header`` (first record) of every file; only file heads are read."""
 
-    # Nested so that it travels by value and executors need no copy of the package.
-    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from urllib.parse import unquote
-
-        from pyarrow import fs
+    open_file = file_opener()
 
+    # Nested so that it travels by value, like the opener.
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             lines = []
             for uri in batch["path"]:
-                name = unquote(uri[len("file:") :]) if uri.startswith("file:") else uri
-                if uri.startswith("file:"):
-                    system, place = fs.LocalFileSystem(), "/" + name.lstrip("/")
-                else:
-                    system, place = fs.FileSystem.from_uri(uri)
                 head, end = b"", -1
-                with system.open_input_stream(place) as stream:
+                with open_file(uri) as stream:
                     while end < 0 and (more := stream.read(1 << 16)):
                         head += more
                         end = head.find(b"\n")

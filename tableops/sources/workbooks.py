@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tableops.sources.exports import SOURCE
 from tableops.sources.ingest import null_tokens
+from tableops.sources.remote import file_opener
 
 ROW = "row_number"
 
@@ -20,16 +21,15 @@ def workbook_rows(spark: SparkSession, path: str) -> DataFrame:
     about a million rows, so none is too big for that.
     """
 
-    # Nested so that it travels by value and executors need no copy of the package.
+    open_file = file_opener()
+
+    # Nested so that it travels by value, like the opener.
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import re
         import zipfile
         from datetime import datetime, timedelta
-        from urllib.parse import unquote
         from xml.etree.ElementTree import iterparse
 
-        from pyarrow import fs
-
         # The built-in number formats that show a date or time.
         date_formats = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
 
@@ -122,11 +122,7 @@ def workbook_rows(spark: SparkSession, path: str) -> DataFrame:
 
         for batch in batches:
             for uri in batch["path"]:
-                if uri.startswith("file:"):
-                    system, where = fs.LocalFileSystem(), "/" + unquote(uri[len("file:") :]).lstrip("/")
-                else:
-                    system, where = fs.FileSystem.from_uri(uri)
-                with system.open_input_file(where) as file, zipfile.ZipFile(file) as book:
+                with open_file(uri, seekable=True) as file, zipfile.ZipFile(file) as book:
                     header, out = None, []
                     for number, cells in sheet_rows(book):
                         if header is None:
