@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from catalog import QUERIES
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -19,7 +20,7 @@ def connection():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, connection, name):
     from tools.check import differences
 
