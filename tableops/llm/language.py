@@ -177,7 +177,7 @@ def fit(docs: DataFrame, how: Fitting | None = None, doc_id: str = "doc_id", tex
         return Model([], np.zeros((1 << BITS, 1), np.float32), np.zeros(1), 1.0)
     idf = np.log((1 + total) / (1 + seen)) + 1
     sent = docs.sparkSession.sparkContext.broadcast(idf)
-    chosen = known.join(sample_ids(known, "id", how.most_rows), "id")
+    chosen = known.join(F.broadcast(sample_ids(known, "id", how.most_rows)), "id")  # at most most_rows ids
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, rows, names = _is_letter(), [], []

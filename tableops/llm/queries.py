@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableops.llm import language, toxicity
+from tableops.llm import decontaminate, jaccard, language, toxicity
 from tableops.llm.frames import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,12 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = jaccard.grouped(table(spark, folder, "documents"), jaccard.Rule(size=4, under=85, over=100))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 @query
 def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -37,3 +43,33 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.fit(docs.where(~held_out(F.col("doc_id"))), labels.where(~held_out(F.col("doc_id"))))
     found = toxicity.scored(docs, model, keep=["doc_id"])
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.found(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "similarity", "start", "words")
+
+
+#: Words, shingles and links as the Jaccard join defines them; components by following links.
+SQL["op2_jaccard_join"] = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+  FROM words
+), items AS (
+  SELECT r, len(s) AS n, unnest(s) AS item FROM sets
+), pairs AS (
+  SELECT a.r AS a, b.r AS b FROM items a JOIN items b ON a.item = b.item AND a.r <> b.r
+  WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT r AS a, r AS b FROM sets UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a
+)
+SELECT x.doc_id, len(x.s) AS n_shingles, min(y.doc_id) AS component_id
+FROM sets x JOIN reach ON reach.a = x.r JOIN sets y ON y.r = reach.b GROUP BY x.r, x.doc_id, x.s
+"""

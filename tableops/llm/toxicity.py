@@ -103,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, how: Fitting | None = None, doc_id:
     how = how or Fitting()
     marks = labels.where(F.col(doc_id).isNotNull() & F.col(toxic).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(F.col(toxic).cast("int")).alias("mark"))
     marks = marks.join(sample_ids(labels.where(F.col(toxic).isNotNull()).join(docs.select(doc_id), doc_id, "left_semi"), doc_id, how.most_rows).withColumnRenamed(doc_id, "id"), "id")
-    chosen = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(marks, "id")
+    chosen = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(marks), "id")  # at most most_rows ids
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, marks = [], []
