@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableops.llm import decontaminate, jaccard, language, toxicity
+from tableops.llm import decontaminate, jaccard, language, packing, token_files, toxicity
 from tableops.llm.frames import held_out
+from tableops.plans.scratch import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -18,6 +20,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def tokenizer_json(name: str = "word_bpe_49k.json") -> str:
+    """The text of a public tokenizer file, read once where the query is built."""
+    import public_tokenizers
+
+    return Path(public_tokenizers.path(name)).read_text()
+
+
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[function.__name__] = function
     return function
@@ -29,6 +38,12 @@ def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+@query
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    placed = packing.packed_documents(table(spark, folder, "documents"), tokenizer_json(), end_id=1)
+    return placed.select(F.col("id").alias("doc_id"), "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
 @query
 def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -45,6 +60,13 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@query
+def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    token_files.write(table(spark, folder, "documents"), path, tokenizer_json(), end_id=2)
+    return token_files.checked(token_files.read(spark, path))
+
+
 @query
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.found(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
