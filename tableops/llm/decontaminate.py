@@ -27,7 +27,7 @@ nothing. Rows that repeat an id are judged one by one by their text; rows that r
 text give one row. An item id that occurs twice stands for both texts. Ties between places go to
 the earliest. Other columns, whatever their names, are ignored or passed through.
 
-The items' shingles are broadcast as long as they are fewer than ``MOST_SENT``; beyond that the
+The items' shingles are broadcast as long as they are few (``frames.MOST_SENT``); beyond that the
 join is left to Spark.
 """
 
@@ -38,18 +38,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableops.llm.frames import free_name
+from tableops.llm.frames import free_name, sent_if_small
 from tableops.plans.scratch import written
 
 SIZE = 5
-#: Rows of 24 bytes or so that are broadcast at most.
-MOST_SENT = 1_000_000
-
-
-def sent_if_small(df: DataFrame) -> DataFrame:
-    """``df``, a written table of short rows, with a broadcast hint if it has few enough."""
-    return F.broadcast(df) if df.count() <= MOST_SENT else df
-
 
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")

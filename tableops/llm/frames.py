@@ -11,6 +11,16 @@ from pyspark.sql import types as T
 
 from tableops.llm.texts import slices
 
+#: Bytes that are broadcast at most: 16 for each value, and what texts and lists hold besides.
+MOST_SENT = 32 << 20
+
+
+def sent_if_small(df: DataFrame) -> DataFrame:
+    """``df``, a written table, with a broadcast hint if its rows are counted to be small together."""
+    sizes = [F.octet_length(c) for c, kind in df.dtypes if kind in ("string", "binary")] + [F.size(c) * 16 for c, kind in df.dtypes if kind.startswith("array")]
+    row = sum((F.coalesce(x, F.lit(0)) for x in sizes), F.lit(16 * len(df.columns)))
+    return F.broadcast(df) if (df.agg(F.sum(row.cast("long"))).first()[0] or 0) <= MOST_SENT else df
+
 
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of ``df`` has it (in any case)."""

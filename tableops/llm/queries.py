@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableops.llm import decontaminate, jaccard, language, packing, token_files, toxicity
+from tableops.llm import decontaminate, jaccard, language, packing, token_files, toxicity, urls
 from tableops.llm.frames import held_out
 from tableops.plans.scratch import scratch_path
 
@@ -32,6 +32,22 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+#: Rules that the url query is asked to apply.
+URL_RULES = [
+    urls.Rule("org", "/", "allow"),
+    urls.Rule("example.org", "/es/", "block"),
+    urls.Rule("example.org", "/en/1", "block"),
+    urls.Rule("com", "/fr/", "allow"),
+    urls.Rule("com", "/de/", "block"),
+]
+
+
+@query
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    found = urls.judged(table(spark, folder, "pages").select("page_id", "url"), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
 @query
 def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     found = jaccard.grouped(table(spark, folder, "documents"), jaccard.Rule(size=4, under=85, over=100))
