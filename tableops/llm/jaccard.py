@@ -21,7 +21,9 @@ Rare shingles are indexed alone. No link is lost, and the index stays in proport
 shingles; a few rounds of this join almost every group of copies. What is still in different
 components afterwards is compared pair by pair, so the result is exact whatever the groups are.
 
-*Check.* Candidates are compared on all shingles of both whole texts (64-bit hashes).
+*Check.* A set's outline says how many of its shingles fall into each of about n bins. The sum of the
+smaller counts of two outlines is at least their overlap, so pairs whose outlines rule out a link are
+left out at little cost. The rest are compared on all shingles of both whole texts (64-bit hashes).
 
 Defined results: a text that is missing, empty or white space has no shingle and links with
 nothing, not even with another such text. With fewer words than a shingle has, the whole
@@ -88,6 +90,28 @@ def sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
+def outline(x: np.ndarray) -> bytes:
+    """How many shingles of a set fall into each of n / 2 to n bins."""
+    bins = 4
+    while bins < len(x) / 2:
+        bins *= 2
+    counts = np.bincount((x >> np.uint64(CLASS_BITS)).astype(np.int64) & (bins - 1), minlength=bins)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def may_link(a: bytes, b: bytes, rule: Rule, n_a: int, n_b: int) -> bool:
+    """Whether two sets can link, as far as their outlines tell."""
+    if not a or not b:
+        return True
+    x, y = np.frombuffer(a, np.uint8).astype(np.int32), np.frombuffer(b, np.uint8).astype(np.int32)
+    while len(x) > len(y):
+        x = x.reshape(2, -1).sum(axis=0)
+    while len(y) > len(x):
+        y = y.reshape(2, -1).sum(axis=0)
+    most = int(np.minimum(x, y).sum())
+    return most * rule.over >= (n_a + n_b - most) * rule.under
+
+
 def _part_bits(n: int) -> int:
     bits = 0
     while n >> bits > 2 * PART:
@@ -123,6 +147,8 @@ def keys(x: np.ndarray, is_frequent: np.ndarray, rule: Rule) -> np.ndarray:
 def _scan(docs: DataFrame, rule: Rule) -> DataFrame:
     """For each document its size and set key, and for each task its shingle counts by class, in blocks."""
 
+    names = ["id", "print", "n", "set", "outline", "block", "counts"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << CLASS_BITS, np.uint32)
         for batch in batches:
@@ -133,16 +159,17 @@ def _scan(docs: DataFrame, rule: Rule) -> DataFrame:
                 sums = [[int(s.sum()) & (2**64 - 1) for s in pair] for pair in spread]
                 key = [b"".join(v.to_bytes(8, "little") for v in pair) for pair in sums]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("print"), pa.array([len(x) for x in own], pa.int64()), pa.array(key, pa.binary()), pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.binary())],
-                    names=["id", "print", "n", "set", "block", "counts"],
+                    [part.column("id"), part.column("print"), pa.array([len(x) for x in own], pa.int64()), pa.array(key, pa.binary()), pa.array(map(outline, own), pa.binary()), pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.binary())],
+                    names=names,
                 )
         blocks = counts.reshape(-1, 1 << BLOCK_BITS)
         some = [i for i in range(len(blocks)) if blocks[i].any()]
         packed = [zlib.compress(blocks[i].astype("<u4").tobytes(), 1) for i in some]
         empty = pa.nulls(len(some), pa.int64())
-        yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=["id", "print", "n", "set", "block", "counts"])
+        none = pa.nulls(len(some), pa.binary())
+        yield pa.RecordBatch.from_arrays([empty, empty, empty, none, none, pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "id long, print long, n long, set binary, block int, counts binary")
+    return docs.mapInArrow(run, "id long, print long, n long, set binary, outline binary, block int, counts binary")
 
 
 def _frequent(scan: DataFrame) -> np.ndarray:
@@ -216,7 +243,18 @@ def _grouped(index: DataFrame) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """Of the pairs (a, b) of classes those that link, checked on whole texts."""
+    """Of the pairs (a, b) of classes those that link, checked on outlines and then on whole texts."""
+    outlines = classes.select("class", "n", F.col("first.outline").alias("outline"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("o_a", "o_b", "n_a", "n_b"))
+            keep = [may_link(x, y, rule, n, m) for x, y, n, m in zip(*columns, strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    right = pairs.join(outlines.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("outline").alias("o_b")), "b")
+    both = right.join(outlines.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("outline").alias("o_a")), "a")
+    pairs = written(both.select("a", "b", "n_a", "n_b", "o_a", "o_b").mapInArrow(compare, "a long, b long"), "near")
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
     own = written(classes.join(wanted, "class").select("class", F.col("first.id").alias("cid"), F.col("first.print").alias("cprint")), "wanted")
     marks = np.zeros(1 << (MARK_BITS - 5), np.uint32)
@@ -288,8 +326,8 @@ def prepare(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "te
     """Classes of equal sets, and the classes under each key of the index."""
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("print", F.xxhash64("id", "text"))
     scan = written(_scan(texts, rule), "scan")
-    members = scan.where("block is null").select("id", "print", "n", "set")
-    classes = members.where("n > 0").groupBy("set").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "print")).alias("first"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    members = scan.where("block is null").select("id", "print", "n", "set", "outline")
+    classes = members.where("n > 0").groupBy("set").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "print", "outline")).alias("first"), F.first("n").alias("n"), F.count("*").alias("copies"))
     classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     groups = written(_grouped(_indexed(texts, classes, _frequent(scan), rule)), "groups")
     return Prepared(texts, members, classes, groups, rule)
