@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableops.llm import decontaminate, html_text, jaccard, language, packing, token_files, toxicity, urls
+from tableops.llm import decontaminate, html_text, jaccard, language, neighbours, packing, token_files, toxicity, urls
 from tableops.llm.frames import held_out
 from tableops.plans.scratch import scratch_path
 
@@ -60,6 +60,11 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select(F.col("id").alias("doc_id"), "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
+@query
+def op4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
 @query
 def op5_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extracted(table(spark, folder, "pages")).drop("path")
