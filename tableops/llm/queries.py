@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableops.llm import decontaminate, html_text, jaccard, language, neighbours, packing, token_files, toxicity, urls
+from tableops.llm import decontaminate, html_text, jaccard, language, neighbours, packing, quality, token_files, toxicity, urls
 from tableops.llm.frames import held_out
 from tableops.plans.scratch import scratch_path
 
@@ -93,6 +93,13 @@ def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.checked(token_files.read(spark, path))
 
 
+@query
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = quality.scored(docs, quality.fit(docs), keep=["doc_id"])
+    return found.select("doc_id", "score", "weak_label", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.found(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -65,14 +65,9 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[
         start = end
 
 
-def words(data: np.ndarray, bounds: np.ndarray, between: bytes = WHITE, stem: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, A-Z taken as a-z, and the n + 1 bounds of each row's words.
-
-    With ``stem``, only the first so many bytes of each word count.
-    """
+def spans(data: np.ndarray, bounds: np.ndarray, between: bytes = WHITE) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end; a word never crosses the bounds of its row."""
     n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
     is_between = np.zeros(256, bool)
     is_between[list(between)] = True
     gap = np.ones(n + 2, bool)
@@ -80,8 +75,18 @@ def words(data: np.ndarray, bounds: np.ndarray, between: bytes = WHITE, stem: in
     new = np.zeros(n + 1, bool)
     new[bounds] = True
     inside = ~gap[1:-1]
-    starts = np.flatnonzero(inside & (gap[:-2] | new[:-1]))
-    ends = np.flatnonzero(inside & (gap[2:] | new[1:])) + 1
+    return np.flatnonzero(inside & (gap[:-2] | new[:-1])), np.flatnonzero(inside & (gap[2:] | new[1:])) + 1
+
+
+def words(data: np.ndarray, bounds: np.ndarray, between: bytes = WHITE, stem: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, A-Z taken as a-z, and the n + 1 bounds of each row's words.
+
+    With ``stem``, only the first so many bytes of each word count.
+    """
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
+    starts, ends = spans(data, bounds, between)
     if stem:
         ends = np.minimum(ends, starts + stem)
     out, done = np.empty(len(starts), np.uint64), 0
