@@ -60,13 +60,11 @@ def drop_null_rows(t):
 
 @query(f"""
     WITH {GAPPY} SELECT event_id, COALESCE(user_id, 0) AS user_id, COALESCE(event_type, '0') AS event_type,
-        COALESCE(value, 0) AS value, COALESCE(strftime(ts, '%Y-%m-%d'), '0') AS day FROM g
+        COALESCE(value, 0) AS value, COALESCE(regexp_replace(regexp_replace(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), '0+$', ''), '\\.$', ''), '0') AS ts FROM g
 """)
 def fill_nulls_typed(t):
-    filled = fill_missing(gappy_events(t), "0")
-    # ts cannot hold '0', so it came out as text; its fraction digits are
-    # printed differently by each engine, hence the day.
-    return filled.withColumn("day", F.when(F.col("ts") == "0", "0").otherwise(F.left("ts", F.lit(10)))).drop("ts")
+    # ts cannot hold '0', so it comes out as text.
+    return fill_missing(gappy_events(t), "0")
 
 
 @query(f"""

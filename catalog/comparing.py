@@ -190,3 +190,18 @@ def compare_hot_keys(t):
     events = t("events").select("event_type", "event_id", "value", "user_id")
     a, b = events.drop("user_id"), events.filter(F.col("user_id") != 8).drop("user_id")
     return compare(a, b, "event_type", order_by="event_id", hot_rows=100, hot_sample=1.0).both
+
+
+@query("""
+    WITH j AS (SELECT o_orderkey, 12345678901234560000 + o_orderkey + CAST(0.01 AS DECIMAL(38,2)) AS a,
+                      12345678901234560000 + o_orderkey + CAST(CASE WHEN o_custkey % 3 = 0 THEN 0.99 ELSE 0.01 END AS DECIMAL(38,2)) AS b
+               FROM orders)
+    SELECT o_orderkey, a = b AS amount_match FROM j
+""")
+def compare_big_decimals(t):
+    """Amounts that a floating number could not tell apart."""
+    base = F.lit("12345678901234560000").cast("decimal(38,2)") + F.col("o_orderkey")
+    cents = F.when(F.col("o_custkey") % 3 == 0, "0.99").otherwise("0.01").cast("decimal(3,2)")
+    a = t("orders").select("o_orderkey", (base + F.lit("0.01").cast("decimal(3,2)")).cast("decimal(38,2)").alias("amount"))
+    b = t("orders").select("o_orderkey", (base + cents).cast("decimal(38,2)").alias("amount"))
+    return compare(a, b, "o_orderkey").both.select("o_orderkey", "amount_match")

@@ -63,3 +63,9 @@ def preview_file_order(t):
     """The rows that stand first in the file."""
     lines = read_parquet_ordered(t.spark, f"{t.folder}/lineitem.parquet")
     return preview(lines, ["_file", "_row"]).drop("_file", "_row")
+
+
+@query("SELECT event_id, user_id FROM events WHERE user_id = 9 AND false")
+def filter_literal_must_fit(t):
+    """A value the column's type would round matches nothing."""
+    return filter_eq(t("events").select("event_id", "user_id"), [("user_id", "8.5")])

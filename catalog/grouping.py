@@ -59,3 +59,14 @@ def summarize_null_keys(t):
 """)
 def summarize_key_is_metric(t):
     return summarize(t("nation"), "n_regionkey", "n_regionkey", ["sum", "count"])
+
+
+@query("""
+    SELECT l_suppkey, CAST(round(sum(CAST(l_tax / 100 AS DECIMAL(18,6))), 2) AS DOUBLE) AS part_sum,
+           round(CAST(sum(CAST(l_tax / 100 AS DECIMAL(18,6))) AS DOUBLE) / count(*), 9) AS part_mean
+    FROM lineitem GROUP BY l_suppkey
+""")
+def summarize_small_parts(t):
+    """Many values below the last place that is asked for."""
+    parts = t("lineitem").select("l_suppkey", F.round(F.col("l_tax") / 100, 6).alias("part"))
+    return summarize(parts, "l_suppkey", "part", ["sum", "mean"], places=2).withColumn("part_mean", F.round("part_mean", 9))

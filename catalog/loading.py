@@ -2,7 +2,9 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query
 from tableops import null_tokens, numeric_cells, promote_numeric, read_csv, read_exports, write_csv
+from tableops.operators import dedupe
 from tableops.plans.scratch import scratch_path
+from tableops.sources.csv import ORDER
 
 MONEY = "decimal(18,2)"
 
@@ -64,10 +66,10 @@ def csv_roundtrip(t):
 
 @query("SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents")
 def csv_long_cells_in_splits(t):
-    """The same, with every file cut into splits however small it is."""
+    """The same from many files, which are read in parallel."""
     path = scratch_path(t.spark, "csv")
-    write_csv(t("documents"), path)
-    back = read_csv(t.spark, path, sep=",", multi_line=True, whole_file_bytes=0)
+    write_csv(t("documents").repartition(16, "doc_id"), path)
+    back = read_csv(t.spark, path, multi_line=True)
     return back.select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars")
 
 
@@ -76,7 +78,7 @@ def csv_long_cells(t):
     """Cells with line breaks, quotes and separators in them."""
     path = scratch_path(t.spark, "csv")
     write_csv(t("documents"), path)
-    back = read_csv(t.spark, path, sep=",")
+    back = read_csv(t.spark, path)
     return back.select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars")
 
 
@@ -96,3 +98,28 @@ def exports_of_three_layouts(t):
     back = numeric_cells(read_exports(t.spark, f"{path}/*"), "o_totalprice")
     layout = F.regexp_extract("source_file", "layout=([^/]*)/", 1)
     return back.select(layout.alias("layout"), "o_orderkey", "o_totalprice_num", "o_orderpriority")
+
+
+@query("""
+    SELECT doc_id, md5(doc_id || ',5" pipe ' || n_chars) AS note_md5, n_chars FROM documents
+""")
+def csv_stray_quotes(t):
+    """Inch marks inside cells that are not quoted, an odd number of them in a line."""
+    path = scratch_path(t.spark, "csv")
+    line = F.concat_ws(";", F.col("doc_id"), F.concat(F.col("doc_id"), F.lit(',5" pipe '), F.col("n_chars")), F.col("n_chars"))
+    header = t.spark.range(1).select(F.lit("doc_id;note;n_chars").alias("value"))
+    header.union(t("documents").select(line)).coalesce(1).write.text(path)
+    return read_csv(t.spark, path).select("doc_id", F.md5("note").alias("note_md5"), "n_chars")
+
+
+@query("""
+    SELECT CAST(event_id AS BIGINT) AS event_id, user_id, event_type FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY file_row_number) = 1
+""".replace("file_row_number", "event_id % 7, event_id"))
+def dedupe_first_in_csv(t):
+    """Events in a file whose order no column tells: the first row of each group in the file stays."""
+    path = scratch_path(t.spark, "csv")
+    rows = t("events").select("event_id", "user_id", "event_type")
+    write_csv(rows.orderBy(F.col("event_id") % 7, "event_id").coalesce(1), path)
+    read = read_csv(t.spark, path, ordered=True)
+    return dedupe(read, ["user_id", "event_type"], order_by=ORDER).drop(*ORDER)

@@ -63,3 +63,13 @@ def split_roundtrip_csv(t):
     path = scratch_path(t.spark, "split")
     split_write(customers, "segment", path, format="csv")
     return read_parts(t.spark, path, customers.schema, format="csv")
+
+
+@query("SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars, lang AS part_key FROM documents")
+def split_roundtrip_documents(t):
+    """Whole texts, line breaks and quotes in them, through CSV parts."""
+    documents = t("documents")
+    path = scratch_path(t.spark, "split")
+    split_write(documents, "lang", path, format="csv")
+    back = read_parts(t.spark, path, documents.schema, format="csv")
+    return back.withColumn("text", F.md5("text")).withColumnRenamed("text", "text_md5")

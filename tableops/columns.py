@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
 def col(name: str, parent: str | None = None) -> Column:
@@ -34,6 +34,32 @@ def require(df: DataFrame, names: str | Iterable[str], what: str = "column") ->
     return found
 
 
+def free_name(name: str, *taken: Iterable[str]) -> str:
+    """``name``, with underscores before it until none of the given columns has it."""
+    used = {c.lower() for columns in taken for c in columns}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
+def literal_fits(spark: SparkSession, value: object, types: Sequence[T.DataType]) -> list[bool]:
+    """Which types hold the constant ``value`` as it is, nothing rounded or cut off. Reads no table."""
+    literal, tests = F.lit(value), []
+    for data_type in types:
+        held = literal.try_cast(data_type)
+        if isinstance(data_type, (T.IntegralType, T.DecimalType)) and not isinstance(value, bool):
+            text = F.trim(literal.cast("string"))
+            fits = text.try_cast("decimal(38,18)") == held.cast("string").try_cast("decimal(38,18)")
+        elif isinstance(data_type, T.DateType):
+            fits = literal.try_cast("timestamp") == held.cast("timestamp")
+        elif isinstance(data_type, T.BooleanType):
+            fits = F.lower(F.trim(literal.cast("string"))) == held.cast("string")
+        else:
+            fits = held.isNotNull()
+        tests.append(F.coalesce(held.isNotNull() & fits, F.lit(False)))
+    return list(spark.sql("SELECT 1").select(*[t.alias(f"t{i}") for i, t in enumerate(tests)]).first()) if tests else []
+
+
 def require_unique(names: Sequence[str], what: str) -> None:
     seen: set[str] = set()
     for name in names:

@@ -17,8 +17,9 @@ TRUE_WORDS = ("True", "TRUE", "true")
 FALSE_WORDS = ("False", "FALSE", "false")
 
 
-# How exact_sum cuts a number of units in two.
+# How exact_sum cuts a number of units in two, and how much finer than asked for it counts.
 LOW_BITS = 20
+FINER = 6
 
 
 def to_number(c: Column, decimal_comma: bool = False) -> Column:
@@ -43,18 +44,38 @@ def to_flag(c: Column) -> Column:
 
 
 def exact_sum(c: Column, data_type: T.DataType, places: int) -> Column:
-    """Sum to ``places`` decimals that no order of addition can change; a decimal.
+    """Sum to ``places`` decimals that no order of addition can change.
 
-    Floating values are counted in units of the last place. The units go into
-    two whole-number sums, of their high and low bits, which cost far less per
-    row than decimals and leave room for 10^25 units. NULL for no values.
+    Floating values are counted in units six digits finer than asked for and rounded once, at the
+    end. The units go into two whole-number sums, of their high and low bits, which cost far less
+    per row than decimals; values too large for that are added as decimals. Infinities come out as
+    such (both signs: NaN). Only with values beyond 10^30 is the sum a floating one. NULL for no values.
     """
     if not is_floating(data_type):
         return F.sum(c)
-    units = F.rint(c * F.lit(float(10**places))).cast("bigint")
-    high = F.sum(F.shiftright(units, LOW_BITS)).cast("decimal(19,0)")
-    low = F.sum(units.bitwiseAND(F.lit((1 << LOW_BITS) - 1))).cast("decimal(19,0)")
-    return (high * F.lit(Decimal(1 << LOW_BITS)) + low) * F.lit(Decimal(1).scaleb(-places))
+    scale = places + FINER
+    infinite, size = F.lit(float("inf")), F.abs(c)
+    small = F.when(size < F.lit(9e18 / 10**scale), c)
+    units = F.rint(small * F.lit(float(10**scale))).cast("bigint")
+    high = F.coalesce(F.sum(F.shiftright(units, LOW_BITS)).cast("decimal(19,0)"), F.lit(0))
+    low = F.coalesce(F.sum(units.bitwiseAND(F.lit((1 << LOW_BITS) - 1))).cast("decimal(19,0)"), F.lit(0))
+    fine = ((high * F.lit(Decimal(1 << LOW_BITS)) + low) * F.lit(Decimal(1).scaleb(-scale))).cast(f"decimal(38,{scale})")
+    large = F.when((size >= F.lit(9e18 / 10**scale)) & (size <= F.lit(10.0 ** min(30, 34 - places))), c).cast(f"decimal(38,{places})")
+    added = F.round(fine, places).cast("double") + F.lit(0.0)
+    exact = F.round(fine + F.coalesce(F.try_sum(large), F.lit(0)), places).cast("double")
+    beyond = F.count_if((size > F.lit(10.0 ** min(30, 34 - places))) & (size < infinite)) > 0
+    plus, minus = F.count_if(c == infinite) > 0, F.count_if(c == F.lit(float("-inf"))) > 0
+    odd = F.when(plus & minus, F.lit(float("nan"))).when(plus, infinite).when(minus, F.lit(float("-inf"))).when(beyond, F.sum(c))
+    return F.when(F.count(c) > 0, F.coalesce(odd, F.when(F.count(large) > 0, exact).otherwise(added)))
+
+
+def exact_gap(a: Column, b: Column) -> Column:
+    """Absolute difference of two whole or decimal numbers, without a floating step; NULL beyond 38 digits."""
+    return F.abs(F.try_subtract(_as_decimal(a), _as_decimal(b)))
+
+
+def _as_decimal(c: Column) -> Column:
+    return F.try_add(c, F.lit(Decimal(0)))
 
 
 def approx_equal(
@@ -76,6 +97,8 @@ def approx_equal(
         x, y = a.cast("double"), b.cast("double")
         gap = F.abs(x - y)
         near = gap <= F.lit(float(abs_tol))
+        if not (is_floating(type_a) or is_floating(type_b)):
+            near = exact_gap(a, b) <= F.lit(Decimal(str(abs_tol)))
         if rel_tol:
             # NaN sorts above every number here, so keep NaN and infinity out
             # of a bound that is multiplied by the value itself.

@@ -37,6 +37,15 @@ def slug(c: Column) -> Column:
 
 
 def as_text(c: Column, data_type: T.DataType) -> Column:
-    """Cell text as shown to a user; booleans read True / False."""
+    """Cell text as shown to a user; booleans read True / False, numbers without an exponent.
+
+    Floating numbers keep all their digits. Those of 10^28 and more, or below 10^-20, keep the exponent.
+    """
     text = c.cast("string")
+    if isinstance(data_type, (T.DoubleType, T.FloatType)):
+        size = F.abs(c)
+        kind = F.when((size >= 1e7) & (size < 1e28), F.replace(text, F.lit("E"), F.lit("e")).try_cast("decimal(38,10)").cast("string"))
+        kind = kind.when((size < 1e-3) & (size >= 1e-20), text.try_cast("decimal(38,37)").cast("string"))
+        plain = F.regexp_replace(F.regexp_replace(kind, r"0+$", ""), r"\.$", ".0")
+        return F.coalesce(plain, text)
     return F.initcap(text) if isinstance(data_type, T.BooleanType) else text

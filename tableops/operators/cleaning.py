@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tableops.columns import (
+    free_name,
+    literal_fits,
     as_list,
     col,
     dtype,
@@ -44,7 +46,7 @@ class CleanSpec:
 def dedupe(df: DataFrame, subset: str | Iterable[str] | None = None, order_by: str | Iterable[str] = ()) -> DataFrame:
     """First row of each ``subset`` group in ``order_by`` order.
 
-    Missing equals missing. Remaining columns break ties, so the result is
+    Missing equals missing, and NaN comes out as missing. Remaining columns break ties, so the result is
     the same on every run. Spark keeps one row per group and map task before
     the shuffle (WindowGroupLimit), so a hot group is no burden.
     """
@@ -58,8 +60,9 @@ def dedupe(df: DataFrame, subset: str | Iterable[str] | None = None, order_by: s
     # Order columns may be part of the subset, where they are constant.
     order = [col(c).asc_nulls_last() for c in [*first, *rest]]
     window = Window.partitionBy(*[missing_to_null(df, c) for c in names]).orderBy(*order)
-    numbered = df.withColumn("_row_number", F.row_number().over(window))
-    return numbered.filter(F.col("_row_number") == 1).drop("_row_number")
+    number = free_name("_row_number", df.columns)
+    numbered = df.withColumn(number, F.row_number().over(window)).filter(F.col(number) == 1)
+    return numbered.select(*[missing_to_null(df, c).alias(c) for c in df.columns])
 
 
 def drop_missing(df: DataFrame) -> DataFrame:
@@ -99,9 +102,8 @@ def _castable(df: DataFrame, value: str) -> dict[str, bool]:
     types = sorted({t.simpleString() for t in flat})
     if not types:
         return {f.dataType.simpleString(): True for f in df.schema}
-    one_row = df.sparkSession.sql("SELECT 1")
-    tried = one_row.select(*[F.lit(value).try_cast(t).isNotNull().alias(f"t{i}") for i, t in enumerate(types)])
-    answer = dict(zip(types, tried.first()))
+    by_name = {t.simpleString(): t for t in flat}
+    answer = dict(zip(types, literal_fits(df.sparkSession, value, [by_name[t] for t in types])))
     return {f.dataType.simpleString(): answer.get(f.dataType.simpleString(), True) for f in df.schema}
 
 

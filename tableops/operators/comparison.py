@@ -20,13 +20,14 @@ from tableops.columns import (
     col,
     comparable_key_types,
     dtype,
+    is_floating,
     is_numeric,
     is_text,
     missing_to_null,
     require,
     require_unique,
 )
-from tableops.functions import approx_equal, clean_text
+from tableops.functions import approx_equal, clean_text, exact_gap
 from tableops.plans.hotkeys import HOT_ROWS, SAMPLE, hot_hashes, is_hot
 from tableops.plans.scratch import written
 
@@ -232,7 +233,7 @@ def _match_spread(tagged: DataFrame, keys: list[str], border: list[Column]) -> D
         "compare",
     )
 
-    # At most one row per chunk border and key: safe to broadcast.
+    # At most one row per chunk border and key; Spark broadcasts them if they are small.
     sizes = chunked.groupBy(*keys, "_side", "_chunk").agg(F.sum("_n").alias("_rows"))
     earlier = Window.partitionBy(*keys, "_side").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -249,7 +250,7 @@ def _match_spread(tagged: DataFrame, keys: list[str], border: list[Column]) -> D
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     counted = chunked.withColumn("_upto", F.sum("_n").over(inside))
-    placed = counted.join(F.broadcast(offsets), reduce(lambda x, y: x & y, same)).select(
+    placed = counted.join(offsets, reduce(lambda x, y: x & y, same)).select(
         *keys,
         "_a",
         "_b",
@@ -265,9 +266,9 @@ def _match_spread(tagged: DataFrame, keys: list[str], border: list[Column]) -> D
     return _fold(numbered.select(*keys, "_block", "_occ", "_a", "_b"), [*keys, "_block", "_occ"])
 
 
-def _distance(x: Column, y: Column) -> Column:
+def _distance(x: Column, y: Column, floating: bool) -> Column:
     """Absolute difference; NULL where there is none to speak of."""
-    gap = F.abs(x.cast("double") - y.cast("double"))
+    gap = F.abs(x.cast("double") - y.cast("double")) if floating else exact_gap(x, y).cast("double")
     return F.when(x.eqNullSafe(y), F.when(x.isNotNull(), F.lit(0.0))).otherwise(F.when(~F.isnan(gap), gap))
 
 
@@ -418,7 +419,8 @@ class CompareResult:
         for i, (x, y) in enumerate(self.shared):
             va, vb, equal = col(x, "_a"), col(y, "_b"), self._equal(x, y)
             numbers = is_numeric(self.fields_a[x]) and is_numeric(self.fields_b[y])
-            gap = _distance(va, vb) if numbers else F.lit(None).cast("double")
+            floating = any(is_floating(t) or isinstance(t, T.BooleanType) for t in (self.fields_a[x], self.fields_b[y]))
+            gap = _distance(va, vb, floating) if numbers else F.lit(None).cast("double")
             aggregates += [
                 F.count_if(equal).alias(f"equal{i}"),
                 F.count_if(~equal).alias(f"different{i}"),

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tableops.columns import as_list, col, dtype, is_floating, missing_to_null, require
+from tableops.columns import as_list, col, dtype, is_floating, literal_fits, missing_to_null, require
 from tableops.functions import as_text, exact_sum
 from tableops.operators.profile import numeric_columns
 
@@ -16,7 +16,8 @@ def filter_eq(df: DataFrame, filters: Iterable[tuple[str, object]]) -> DataFrame
     """Rows meeting every ``(column, value)`` pair; a blank value is no condition.
 
     The value is cast to the column's type and the column stays bare, so the
-    predicate reaches the file scan. A value that cannot be cast matches nothing.
+    predicate reaches the file scan. A value that the type cannot hold as it is
+    (8.5 for a whole number, a time for a day, "yes" for a flag) matches nothing.
     """
     filters = list(filters)
     if not filters:
@@ -26,7 +27,8 @@ def filter_eq(df: DataFrame, filters: Iterable[tuple[str, object]]) -> DataFrame
         (name,) = require(df, name, "filter column")
         if value is None or value == "":
             continue
-        conditions.append(col(name) == F.lit(value).try_cast(dtype(df, name)))
+        fits = literal_fits(df.sparkSession, value, [dtype(df, name)])[0]
+        conditions.append(col(name) == F.lit(value).try_cast(dtype(df, name)) if fits else F.lit(False))
     return df.filter(reduce(lambda x, y: x & y, conditions)) if conditions else df
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tableops.columns import as_list, col, dtype, is_numeric, is_text, missing_to_null, require, require_unique
+from tableops.columns import as_list, col, dtype, free_name, is_numeric, is_text, missing_to_null, require, require_unique
 from tableops.functions import exact_sum, to_number
 
 FUNCTIONS = ("sum", "mean", "count", "max", "min")
@@ -25,8 +25,8 @@ def summarize(
 
     Text metrics are parsed, cells that are not numbers count as missing. Rows
     with a missing key are left out. The sum of no values is 0; the other
-    functions are NULL (count 0). The metric may itself be a key. ``exact``
-    names a decimal type to add in, which makes sums independent of task order.
+    functions are NULL (count 0). The metric may itself be a key. ``places``
+    adds to that many decimals, rounded once, whatever order the tasks finish in.
     Everything is a partial aggregate before the one shuffle on ``keys``, so a
     hot key costs one row per map task.
     """
@@ -42,9 +42,10 @@ def summarize(
     require_unique([*keys, *outputs.values()], "summarize")
 
     value, data_type = _number(df, metric)
-    narrowed = df.select(*[missing_to_null(df, k).alias(k) for k in keys], value.cast(data_type).alias("_metric"))
+    inner = free_name("_metric", df.columns)
+    narrowed = df.select(*[missing_to_null(df, k).alias(k) for k in keys], value.cast(data_type).alias(inner))
     present = narrowed.filter(reduce(lambda x, y: x & y, [col(k).isNotNull() for k in keys]))
-    aggregates = [_aggregate(f, F.col("_metric"), data_type, places).alias(outputs[f]) for f in functions]
+    aggregates = [_aggregate(f, col(inner), data_type, places).alias(outputs[f]) for f in functions]
     result = present.groupBy(*[col(k) for k in keys]).agg(*aggregates)
     return result.orderBy(*[col(k) for k in keys]) if sort else result
 
@@ -67,6 +68,7 @@ def _aggregate(function: str, value: Column, data_type: T.DataType, places: int
         return F.max(value) if function == "max" else F.min(value)
     if places is None:
         return F.coalesce(F.sum(value), F.lit(0).cast("int")) if function == "sum" else F.avg(value)
-    added = exact_sum(value, data_type, places).cast("double")
-    # A mean of no values is missing, not a division by zero.
-    return F.coalesce(added, F.lit(0.0)) if function == "sum" else F.try_divide(added, F.count(value))
+    if function == "sum":
+        return F.coalesce(exact_sum(value, data_type, places).cast("double"), F.lit(0.0))
+    # The sum is not rounded to ``places`` first. A mean of no values is missing, not a division by zero.
+    return F.try_divide(exact_sum(value, data_type, places + 4).cast("double"), F.count(value))

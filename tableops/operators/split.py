@@ -86,5 +86,6 @@ def read_parts(spark: SparkSession, path: str, schema: T.StructType, format: str
     with_key = T.StructType([*schema.fields, T.StructField(PART, T.StringType())])
     reader = spark.read.schema(with_key).format(format)
     if format == "csv":
-        options = {**READ_OPTIONS, "header": True, **options}
+        # Cells may hold line breaks; a part is several files where it is big.
+        options = {**READ_OPTIONS, "header": True, "multiLine": True, **options}
     return reader.options(**options).load(path)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import warnings
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tableops.columns import col
+from tableops.columns import col, free_name
 from tableops.functions import as_text
 from tableops.sources.ingest import null_tokens, promote_numeric
-from tableops.sources.records import WHOLE_FILE_BYTES, biggest_file, read_records
 
+#: Columns that give the place of a row: its file, the split of the file, a number that rises within the split.
+ORDER = ("_file", "_split", "_row")
 SEPARATORS = (",", ";", "\t", "|")
 BOM = "\ufeff"
 
@@ -29,34 +32,44 @@ WRITE_OPTIONS = {
 
 
 def detect_sep(spark: SparkSession, path: str | Sequence[str], lines: int = 200) -> str:
-    """Separator that cuts the first lines into the same number of cells.
+    """Separator that cuts the first records into the same number of cells.
 
-    Quoted parts are left out of the count. A file without any separator reads
-    as one column, with a comma.
+    Quoted cells are left out of the count, line breaks in them included; a quote within a cell
+    is no quote. A file without any separator reads as one column, with a comma.
     """
-    head = spark.read.text(path).limit(lines)
-    bare = F.regexp_replace("value", r'"[^"]*"', "")
-    filled = head.filter(F.length(F.trim("value")) > 0).select(
-        *[(F.size(F.split(bare, f"\\Q{s}\\E", -1)) - 1).alias(f"n{i}") for i, s in enumerate(SEPARATORS)]
-    )
-    votes = filled.agg(
-        *[F.mode(f"n{i}", deterministic=True).alias(f"m{i}") for i in range(len(SEPARATORS))],
-        *[F.collect_list(f"n{i}").alias(f"l{i}") for i in range(len(SEPARATORS))],
-    ).first()
+    head = "\n".join(row.value for row in spark.read.text(path).limit(lines).collect())
     best, best_score = SEPARATORS[0], (0.0, 0)
-    for i, separator in enumerate(SEPARATORS):
-        usual, counts = votes[f"m{i}"], votes[f"l{i}"]
-        if usual:
-            score = (sum(n == usual for n in counts) / len(counts), usual)
-            if score > best_score:
+    for separator in SEPARATORS:
+        # A quoted cell stands between separators or line ends; the last one may be cut off by the limit.
+        bare = re.sub(rf'(?:(?<=^)|(?<={re.escape(separator)}))"(?:[^"]|"")*(?:"|\Z)', "", head, flags=re.M)
+        counts = Counter(line.count(separator) for line in bare.split("\n") if line.strip())
+        if counts:
+            usual = max(counts, key=lambda n: (counts[n], n))
+            score = (counts[usual] / counts.total(), usual)
+            if usual and score > best_score:
                 best, best_score = separator, score
     return best
 
 
-def needs_multi_line(spark: SparkSession, path: str | Sequence[str]) -> bool:
-    """Does any line hold an odd number of quotes, i.e. does a cell span lines?"""
+def survey(spark: SparkSession, path: str | Sequence[str]) -> tuple[list[str], bool]:
+    """The distinct first lines of all files, and whether any line has an odd number of quotes.
+
+    Such a line can begin a cell that spans lines. One pass; a row per file is summed up by first line
+    before anything reaches the driver.
+    """
+    lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
-    return not spark.read.text(path).filter(quotes % 2 == 1).limit(1).isEmpty()
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = lines.select("value", (quotes % 2 == 1).alias("odd"), place.alias("place"), F.col("_metadata.file_path").alias("file"))
+    files = lines.groupBy("file").agg(F.min_by("value", "place").alias("first"), F.bool_or("odd").alias("odd"))
+    firsts = files.groupBy(F.rtrim(F.ltrim("first", F.lit(BOM)), F.lit("\r")).alias("first")).agg(F.bool_or("odd").alias("odd"))
+    found = firsts.orderBy("first").limit(1000).collect()
+    return [row.first for row in found], any(row.odd for row in found)
+
+
+def needs_multi_line(spark: SparkSession, path: str | Sequence[str]) -> bool:
+    """Does any line hold an odd number of quotes, so that a cell may span lines?"""
+    return survey(spark, path)[1]
 
 
 def normalize_header(cells: Sequence[str | None], strip: bool = True) -> list[str]:
@@ -94,30 +107,26 @@ def read_cells(
     names: Sequence[str],
     spans: bool = False,
     source: str | None = None,
-    whole_file_bytes: int = WHOLE_FILE_BYTES,
+    ordered: bool = False,
 ) -> DataFrame:
     """All cells as text under the given names, headers skipped, nothing inferred.
 
-    ``spans`` says that cells hold line breaks; ``source`` names a column for
-    the file a row comes from.
+    ``spans`` says that cells hold line breaks: Spark then reads each file in one task, whatever
+    its size, so deliver such data in files of a size that suits a task. ``source`` names a column for
+    the file a row comes from. A row with a cell to the right of the header ends the query with an error that
+    names the file; rows that are too short are filled up with missing cells.
     """
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    if spans and biggest_file(spark, path) > whole_file_bytes:
-        return read_spanning_cells(spark, path, sep, schema, source)
+    beyond = free_name("_beyond_header", names)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, beyond]])
     reader = spark.read.schema(schema).options(**READ_OPTIONS)
     cells = reader.options(sep=sep, header=True, enforceSchema=True, multiLine=spans).csv(path)
-    return cells.select("*", F.col("_metadata.file_path").alias(source)) if source else cells
-
-
-def read_spanning_cells(
-    spark: SparkSession, path: str | Sequence[str], sep: str, schema: T.StructType, source: str | None = None
-) -> DataFrame:
-    """Cells that span lines, from files that are cut into splits all the same."""
-    records = read_records(spark, path).filter(~F.col("header"))
-    options = {**READ_OPTIONS, "sep": sep, "multiLine": "true", "mode": "PERMISSIVE"}
-    fields = ", ".join("`" + n.replace("`", "``") + "` string" for n in schema.names)
-    parsed = records.select(F.from_csv("record", fields, options).alias("cells"), "file")
-    return parsed.select("cells.*", *([F.col("file").alias(source)] if source else []))
+    file = F.col("_metadata.file_path")
+    start = F.concat_ws(sep, *[F.left(F.coalesce(col(n), F.lit("")), F.lit(40)) for n in names[:3]])
+    told = F.concat(F.lit("a row has more cells than the header: "), file, F.lit(", row starting "), start)
+    fits = F.when(col(beyond).isNotNull(), F.raise_error(told).cast("boolean")).otherwise(F.lit(True))
+    place = [file.alias(ORDER[0]), F.col("_metadata.file_block_start").alias(ORDER[1]), F.monotonically_increasing_id().alias(ORDER[2])]
+    kept = [col(n) for n in names] + ([file.alias(source)] if source else []) + (place if ordered else [])
+    return cells.filter(fits).select(*kept)
 
 
 def read_csv(
@@ -127,38 +136,47 @@ def read_csv(
     multi_line: bool | str = "auto",
     promote: bool = True,
     decimal_comma: bool = True,
-    whole_file_bytes: int = WHOLE_FILE_BYTES,
+    ordered: bool = False,
 ) -> DataFrame:
     """Read files of one layout: header, missing-value words, numeric columns.
 
     ``sep=None`` looks at the first lines. ``multi_line="auto"`` looks for cells
-    that span lines; pass True or False to spare that pass. Spark reads a file
-    with such cells in one task, so big ones are cut by :mod:`.records`. ``promote`` turns a column into numbers (or
-    booleans) when every cell that is not missing can be read as such.
+    that span lines. Files whose headers differ are refused (see :func:`read_exports`), and so are rows
+    with more cells than the header. ``promote`` turns a column into numbers (or
+    booleans) when every cell that is not missing can be read as such. ``ordered`` adds ``_file``,
+    ``_split`` and ``_row``, which together order the rows as the files do.
     """
     if not path:
         raise ValueError("no path given")
     paths = path if isinstance(path, str) else list(path)
     if sep is None:
         sep = detect_sep(spark, paths)
-    spans = needs_multi_line(spark, paths) if multi_line == "auto" else bool(multi_line)
+    firsts, odd = survey(spark, paths)
+    if len(firsts) > 1:
+        raise ValueError(f"files under {path!r} have different headers; read them with read_exports: {firsts[:3]}")
+    spans = odd if multi_line == "auto" else bool(multi_line)
     names = normalize_header(read_header(spark, paths, sep, spans))
     if len(names) <= 1:
         warnings.warn(f"{path!r} was read as a single column; check the separator", stacklevel=2)
-    cells = null_tokens(read_cells(spark, paths, sep, names, spans, None, whole_file_bytes))
-    return promote_numeric(cells, decimal_comma=decimal_comma) if promote else cells
+    if taken := set(ORDER) & {n.lower() for n in names} if ordered else None:
+        raise ValueError(f"the files have columns called {sorted(taken)}")
+    cells = read_cells(spark, paths, sep, names, spans, ordered=ordered)
+    cells = null_tokens(cells, names)
+    return promote_numeric(cells, names, decimal_comma=decimal_comma) if promote else cells
 
 
 def printable(df: DataFrame, bom: bool) -> DataFrame:
     """Cells as they shall stand in a file, and the mark on the first name.
 
-    Moments read ``2024-01-31 13:05:00``, flags True or False. The header is
-    the first thing in each part file, so the byte order mark is, too.
+    Moments read ``2024-01-31 13:05:00``, flags True or False, numbers without an exponent. The header is
+    the first thing in each part file, so the byte order mark is, too; only where
+    the first name has to be quoted is the mark left out, since it would land within the quotes.
     """
+    bom = bom and not any(c in df.columns[0] for c in '",;|\t\r\n') if df.columns else False
     moments = (T.TimestampType, T.TimestampNTZType)
     cells = []
     for i, field in enumerate(df.schema):
-        shown = isinstance(field.dataType, (*moments, T.BooleanType))
+        shown = isinstance(field.dataType, (*moments, T.BooleanType, T.DoubleType, T.FloatType))
         cell = as_text(col(field.name), field.dataType) if shown else col(field.name)
         cells.append(cell.alias(BOM + field.name if bom and i == 0 else field.name))
     return df.select(*cells)

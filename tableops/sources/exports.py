@@ -10,6 +10,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from tableops.columns import free_name
 from tableops.sources.csv import SEPARATORS, detect_sep, needs_multi_line, normalize_header, read_cells
 from tableops.sources.ingest import null_tokens
 from tableops.sources.remote import file_opener
@@ -68,11 +69,13 @@ def read_exports(spark: SparkSession, path: str, sep: str | None = None, multi_l
     if not layouts:
         raise ValueError(f"no files under {path!r}")
     spans = needs_multi_line(spark, path) if multi_line == "auto" else bool(multi_line)
-    tables = []
+    tables, found = [], {}
     for header in sorted(layouts):
         files = sorted(layouts[header])
         separator = sep or _header_sep(header) or detect_sep(spark, files[0])
-        names = normalize_header(next(csv.reader([header], delimiter=separator), [""]), strip=False)
-        cells = read_cells(spark, files, separator, names, spans, SOURCE)
+        found[header] = separator, files, normalize_header(next(csv.reader([header], delimiter=separator), [""]), strip=False)
+    source = free_name(SOURCE, *[names for _, _, names in found.values()])
+    for separator, files, names in found.values():
+        cells = read_cells(spark, files, separator, names, spans, source)
         tables.append(null_tokens(cells, names))
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), tables)

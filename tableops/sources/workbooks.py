@@ -84,7 +84,7 @@ def workbook_rows(spark: SparkSession, path: str) -> DataFrame:
             if kind == "b":
                 return "True" if raw == "1" else "False"
             if kind == "n" and int(cell.get("s", 0)) in dates:
-                return str(epoch + timedelta(seconds=round(float(raw) * 86400)))
+                return str(epoch + timedelta(milliseconds=round(float(raw) * 86_400_000)))
             return raw
 
         def sheet_rows(book):
@@ -128,7 +128,9 @@ def workbook_rows(spark: SparkSession, path: str) -> DataFrame:
                         if header is None:
                             header = header_names(cells)
                             continue
-                        out.append((uri, number, {name: cells.get(i) for i, name in header.items()}))
+                        # Cells right of the header get the name of their place.
+                        beyond = {f"Unnamed: {i}": v for i, v in cells.items() if i not in header and v is not None}
+                        out.append((uri, number, {**beyond, **{name: cells.get(i) for i, name in header.items()}}))
                         if len(out) == 5000:
                             yield pd.DataFrame(out, columns=["source_file", "row_number", "cells"])
                             out = []

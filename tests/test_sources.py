@@ -1,12 +1,13 @@
-import csv
 import zipfile
-from random import Random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tableops import (
+    dedupe,
     detect_sep,
+    fill_missing,
+    filter_eq,
     normalize_header,
     null_tokens,
     numeric_cells,
@@ -19,9 +20,11 @@ from tableops import (
     read_parts,
     read_workbooks,
     split_write,
+    summarize,
+    unify,
     write_csv,
 )
-from tableops.sources.csv import needs_multi_line, read_cells
+from tableops.sources.csv import needs_multi_line
 from tests.conftest import rows
 
 
@@ -76,32 +79,75 @@ def test_cells_over_several_lines(spark, tmp_path):
     assert not needs_multi_line(spark, put(tmp_path / "p.csv", 'a,b\n1,"x, ""z"""\n'))
 
 
-@pytest.mark.parametrize("split_bytes", [40, 333, 1 << 20])
-def test_spanning_cells_are_read_from_splits(spark, tmp_path, split_bytes):
-    random = Random(split_bytes)
-    words = ["a", '"', "\n", ",", "é", "\r\n", " ", "long " * 12, "\n\n\n"]
-    cells = [["k", "first\nname", "z"]]
-    for i in range(300):
-        cells.append([str(i), *["".join(random.choices(words, k=random.choice([0, 1, 1, 2, 9]))) for _ in range(2)]])
-    for name, part in (("one", cells[:200]), ("two", cells[:1] + cells[200:])):
-        with open(tmp_path / f"{name}.csv", "w", encoding="utf-8", newline="") as file:
-            csv.writer(file, lineterminator="\r\n" if name == "two" else "\n").writerows(part)
+def test_one_meaning_of_a_record(spark, tmp_path):
+    stray = 'id,t\n1,5" pipe\n2,x\n3,y\n4,z\n5,6" tube\n6,q\n'
+    want = [(1, '5" pipe'), (2, "x"), (3, "y"), (4, "z"), (5, '6" tube'), (6, "q")]
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
-        spark.conf.set("spark.sql.files.openCostInBytes", 0)
-        df = read_cells(spark, str(tmp_path), ",", ["k", "v", "w"], True, "from", 0)
-        found = {r.k: [r.v or "", r.w or ""] for r in df.collect()}
-        assert df.filter(F.col("from").endswith("/two.csv")).count() == 101
+        for split in ("7", "40", "333", "1g"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            for multi_line in (True, "auto"):
+                assert rows(read_csv(spark, put(tmp_path / f"{split}{multi_line}.csv", stray), multi_line=multi_line)) == want
+            assert rows(read_csv(spark, put(tmp_path / f"{split}.csv", '\n\nid;t\n1;"a,\nb,c"\n2;"d,""\n"\n'))) == [(1, "a,\nb,c"), (2, 'd,"\n')]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-        spark.conf.unset("spark.sql.files.openCostInBytes")
-    assert found == {k: [v, w] for k, v, w in cells[1:]}
 
 
-def test_big_files_are_cut(spark, tmp_path):
-    path = put(tmp_path / "q.csv", 'a,b\n1,"x\ny"\n2,w\n')
-    assert rows(read_csv(spark, path, whole_file_bytes=0)) == [(1, "x\ny"), (2, "w")]
+def test_rows_beyond_the_header_are_refused(spark, tmp_path):
+    ragged = read_csv(spark, put(tmp_path / "r.csv", "a,b\n1,2\n3,4,5\n"), promote=False)
+    with pytest.raises(Exception, match="more cells than the header"):
+        ragged.collect()
+    assert rows(read_csv(spark, put(tmp_path / "s.csv", "a,b\n1,2\n3\n4,5,\n"))) == [(1, 2), (3, None), (4, 5)]
+
+
+def test_headers_that_differ_are_refused(spark, tmp_path):
+    put(tmp_path / "in" / "1.csv", "a,b\n1,2\n")
+    put(tmp_path / "in" / "2.csv", "b,a\n1,2\n")
+    with pytest.raises(ValueError, match="different headers"):
+        read_csv(spark, str(tmp_path / "in"))
+
+
+def test_rows_in_file_order(spark, tmp_path):
+    path = put(tmp_path / "o.csv", "a,b\n" + "".join(f"{i * 7 % 50},{i}\n" for i in range(50)))
+    found = read_csv(spark, path, ordered=True).orderBy("_file", "_split", "_row").collect()
+    assert [r.b for r in found] == list(range(50))
+    first = dedupe(read_csv(spark, put(tmp_path / "p.csv", "k,v\nx,z\nx,a\n"), ordered=True), "k", order_by=["_file", "_split", "_row"])
+    assert [r.v for r in first.collect()] == ["z"]
+
+
+def test_plain_numbers_and_mark(spark, tmp_path):
+    df = spark.createDataFrame([(12345678.9, 1e16), (0.0001, -2.5e-7), (float("inf"), 5.0)], "x double, y double").coalesce(1)
+    assert write_csv(df, str(tmp_path / "n"))
+    (file,) = (tmp_path / "n").glob("part-*")
+    assert file.read_text(encoding="utf-8") == "\ufeffx,y\n12345678.9,10000000000000000.0\n0.0001,-0.00000025\nInfinity,5.0\n"
+    assert write_csv(df.withColumnRenamed("x", "a,b"), str(tmp_path / "q"))
+    (file,) = (tmp_path / "q").glob("part-*")
+    assert file.read_text(encoding="utf-8").startswith('"a,b",y\n')
+
+
+def test_private_names_are_free(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2.0, 3), (1, 1.0, 4)], "_metric int, _row_number double, _key_a int")
+    assert dedupe(df, "_metric", order_by="_row_number").columns == df.columns
+    assert rows(summarize(df, "_metric", "_row_number", ["sum"])) == [(1, 3.0)]
+    assert rows(unify(df, df.select("_metric", F.lit(7).alias("z")).distinct(), "_metric", "_metric")) == [(1, 1.0, 4, 7), (1, 2.0, 3, 7)]
+    put(tmp_path / "in" / "1.csv", "source_file,b\n1,2\n")
+    assert read_exports(spark, str(tmp_path / "in")).columns == ["source_file", "b", "_source_file"]
+
+
+def test_literals_that_do_not_fit(spark):
+    df = spark.sql("SELECT 8L AS n, 1.01BD AS d, date'2024-01-01' AS day, true AS flag")
+    for wrong in (("n", 8.5), ("n", "8.5"), ("d", "1.005"), ("day", "2024-01-01 10:00:00"), ("flag", "yes"), ("n", "x")):
+        assert filter_eq(df, [wrong]).count() == 0
+    for right in (("n", 8), ("n", "8"), ("n", 8.0), ("d", "1.01"), ("d", 1.01), ("day", "2024-01-01"), ("flag", "True"), ("flag", True)):
+        assert filter_eq(df, [right]).count() == 1
+    filled = fill_missing(spark.sql("SELECT CAST(NULL AS decimal(9,2)) AS d, CAST(NULL AS double) AS x"), "1.005")
+    assert rows(filled) == [("1.005", 1.005)]
+
+
+def test_sums_are_rounded_once(spark):
+    df = spark.createDataFrame([("a", 0.004)] * 2 + [("b", 1e18), ("b", 0.5), ("c", float("inf")), ("d", 1e200), ("d", 1.0)], "k string, v double")
+    found = {r.k: (r.v_sum, r.v_mean) for r in summarize(df, "k", "v", ["sum", "mean"], places=2).collect()}
+    assert found == {"a": (0.01, 0.004), "b": (1e18, 5e17), "c": (float("inf"), float("inf")), "d": (1e200, 5e199)}
 
 
 def test_read_file(spark, tmp_path):
@@ -219,15 +265,15 @@ def test_workbooks(spark, tmp_path):
     workbook(tmp_path / "a.xlsx")
     workbook(tmp_path / "b c.xlsx", SHEET.replace(">when<", ">other<"))
     df = read_workbooks(spark, str(tmp_path))
-    assert df.columns == ["source_file", "row_number", "n", "n.1", "other", "when"]
+    assert df.columns == ["source_file", "row_number", "Unnamed: 26", "n", "n.1", "other", "when"]
     first = df.filter(F.col("source_file").endswith("a.xlsx")).drop("source_file", "other")
     assert rows(first) == [
-        (2, "1.5", "rich", "2024-01-01 12:00:00"),
-        (3, None, None, None),
-        (4, "2", "True", None),
+        (2, None, "1.5", "rich", "2024-01-01 12:00:00"),
+        (3, None, None, None, None),
+        (4, "far", "2", "True", None),
     ]
     assert promote_numeric(df.select("n")).dtypes == [("n", "double")]
     assert df.filter("other is not null").count() == 1
     single = read_file(spark, str(tmp_path / "a.xlsx"))
-    assert single.dtypes == [("n", "double"), ("n.1", "string"), ("when", "string")]
+    assert single.dtypes == [("Unnamed: 26", "string"), ("n", "double"), ("n.1", "string"), ("when", "string")]
     assert read_workbooks(spark, str(tmp_path), ["n"]).columns == ["source_file", "row_number", "n"]
