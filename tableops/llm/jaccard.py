@@ -3,8 +3,8 @@
 Every text is a set of word shingles. Texts with the same set are one class, and only classes
 are joined. Two sets link when ``over * intersection >= under * union`` (85 / 100 by default).
 
-*Order.* Shingles are counted over all documents in 2^20 hash classes; a shingle whose class is
-far above the mean is frequent. Sets are ordered rare shingles first, then frequent ones, by
+*Order.* Shingles are counted over all documents in 2^24 hash classes; a shingle whose class is
+well above the mean is frequent. Sets are ordered rare shingles first, then frequent ones, by
 hash among themselves.
 
 *Parts.* The universe is cut by hash into 4^j parts, so that a set has some 20 to 80 shingles in
@@ -19,7 +19,10 @@ Rare shingles are indexed alone. No link is lost, and the index stays in proport
 
 *Candidates.* The sets under one key are compared with one of them, the one with the fewest rare
 shingles; a few rounds of this join almost every group of copies. What is still in different
-components afterwards is compared pair by pair, so the result is exact whatever the groups are.
+components afterwards is compared pair by pair, so the result is exact whatever the groups are:
+under each key, the sets outside the component that has most sets there with all others. The parity of a
+set's shingles over 512 bins keeps most of these pairs from being made: where two parities differ in
+more bins than linked sets can differ in shingles, the sets don't link.
 
 *Check.* A set's outline says how many of its shingles fall into each of about n bins. The sum of the
 smaller counts of two outlines is at least their overlap, so pairs whose outlines rule out a link are
@@ -47,8 +50,10 @@ from tableops.llm.frames import free_name
 from tableops.llm.texts import WHITE, distinct, flat, mixed, ngrams, slices, words
 from tableops.plans.scratch import written
 
-CLASS_BITS = 20
-BLOCK_BITS = 14
+CLASS_BITS = 24
+BLOCK_BITS = 16
+#: Bits of the parity that tells sets apart in the last round.
+PARITY_BITS = 512
 #: Texts that no candidate pair needs are left out of the check by a filter of 2^22 bits.
 MARK_BITS = 22
 #: Shingles of a part that sizes aim at; sizes of parts are within a factor of two of it.
@@ -99,6 +104,12 @@ def outline(x: np.ndarray) -> bytes:
     return np.minimum(counts, 255).astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
 
+def parity(x: np.ndarray) -> list[int]:
+    """For each of 512 bins whether an odd number of a set's shingles is in it, as eight 64-bit numbers."""
+    odd = np.bincount((x >> np.uint64(CLASS_BITS)).astype(np.int64) & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def may_link(a: bytes, b: bytes, rule: Rule, n_a: int, n_b: int) -> bool:
     """Whether two sets can link, as far as their outlines tell."""
     if not a or not b:
@@ -147,48 +158,51 @@ def keys(x: np.ndarray, is_frequent: np.ndarray, rule: Rule) -> np.ndarray:
 def _scan(docs: DataFrame, rule: Rule) -> DataFrame:
     """For each document its size and set key, and for each task its shingle counts by class, in blocks."""
 
-    names = ["id", "print", "n", "set", "outline", "block", "counts"]
+    names = ["id", "print", "n", "set", "outline", "parity", "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << CLASS_BITS, np.uint32)
+        counts = np.zeros(1 << CLASS_BITS, np.uint16)  # 65,535 stands for more
         for batch in batches:
             for part in slices(batch, "text"):
                 own = sets(part.column("text"), rule.size)
-                counts += np.bincount((np.concatenate(own) & np.uint64((1 << CLASS_BITS) - 1)).astype(np.int64), minlength=1 << CLASS_BITS).astype(np.uint32)
+                seen, often = np.unique(np.concatenate(own) & np.uint64((1 << CLASS_BITS) - 1), return_counts=True)
+                seen = seen.astype(np.int64)
+                counts[seen] = np.minimum(counts[seen] + often, 65_535)
                 spread = [(mixed(x), mixed(x ^ np.uint64(0x5DEECE66D))) for x in own]
                 sums = [[int(s.sum()) & (2**64 - 1) for s in pair] for pair in spread]
                 key = [b"".join(v.to_bytes(8, "little") for v in pair) for pair in sums]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("print"), pa.array([len(x) for x in own], pa.int64()), pa.array(key, pa.binary()), pa.array(map(outline, own), pa.binary()), pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.binary())],
+                    [part.column("id"), part.column("print"), pa.array([len(x) for x in own], pa.int64()), pa.array(key, pa.binary()), pa.array(map(outline, own), pa.binary()), pa.array(map(parity, own), pa.list_(pa.int64())), pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.binary())],
                     names=names,
                 )
         blocks = counts.reshape(-1, 1 << BLOCK_BITS)
         some = [i for i in range(len(blocks)) if blocks[i].any()]
-        packed = [zlib.compress(blocks[i].astype("<u4").tobytes(), 1) for i in some]
+        packed = [zlib.compress(blocks[i].astype("<u2").tobytes(), 1) for i in some]
         empty = pa.nulls(len(some), pa.int64())
         none = pa.nulls(len(some), pa.binary())
-        yield pa.RecordBatch.from_arrays([empty, empty, empty, none, none, pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([empty, empty, empty, none, none, pa.nulls(len(some), pa.list_(pa.int64())), pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "id long, print long, n long, set binary, outline binary, block int, counts binary")
+    return docs.mapInArrow(run, "id long, print long, n long, set binary, outline binary, parity array<long>, block int, counts binary")
 
 
 def _frequent(scan: DataFrame) -> np.ndarray:
     """Which shingle classes are frequent: their counts over all tasks, summed a block at a time."""
+    total = scan.where("block is null").agg(F.sum("n")).first()[0] or 0
+    bound = 3 * total / (1 << CLASS_BITS) + 8
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, packed in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                own = np.frombuffer(zlib.decompress(packed), "<u4").astype(np.int64)
+                own = np.frombuffer(zlib.decompress(packed), "<u2").astype(np.int64)
                 sums[block] = sums[block] + own if block in sums else own
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(v.astype("<i8").tobytes(), 1) for v in sums.values()], pa.binary())], names=["block", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.packbits(v > bound).tobytes() for v in sums.values()], pa.binary())], names=["block", "frequent"])
 
     blocks = 1 << (CLASS_BITS - BLOCK_BITS)
-    total = np.zeros((blocks, 1 << BLOCK_BITS), np.int64)
-    for row in scan.where("block is not null").select("block", "counts").repartition(blocks, "block").mapInArrow(add, "block int, counts binary").collect():
-        total[row["block"]] = np.frombuffer(zlib.decompress(row["counts"]), "<i8")
-    total = total.ravel()
-    return np.packbits(total > 4 * total.mean() + 64)
+    out = np.zeros((blocks, 1 << (BLOCK_BITS - 3)), np.uint8)
+    for row in scan.where("block is not null").select("block", "counts").repartition(F.col("block")).mapInArrow(add, "block int, frequent binary").collect():
+        out[row["block"]] = np.frombuffer(row["frequent"], np.uint8)
+    return out.ravel()
 
 
 def _indexed(docs: DataFrame, classes: DataFrame, frequent: np.ndarray, rule: Rule) -> DataFrame:
@@ -326,13 +340,29 @@ def prepare(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "te
     """Classes of equal sets, and the classes under each key of the index."""
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("print", F.xxhash64("id", "text"))
     scan = written(_scan(texts, rule), "scan")
-    members = scan.where("block is null").select("id", "print", "n", "set", "outline")
-    classes = members.where("n > 0").groupBy("set").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "print", "outline")).alias("first"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    members = scan.where("block is null").select("id", "print", "n", "set", "outline", "parity")
+    classes = members.where("n > 0").groupBy("set").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "print", "outline", "parity")).alias("first"), F.first("n").alias("n"), F.count("*").alias("copies"))
     classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     groups = written(_grouped(_indexed(texts, classes, _frequent(scan), rule)), "groups")
     return Prepared(texts, members, classes, groups, rule)
 
 
+def _apart(own: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """All pairs under a key that are in different components and may link: a, class.
+
+    One of the two is always outside the component that has most of the key's sets.
+    """
+    most = own.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    own = own.join(most, "key").join(classes.select("class", F.col("first.parity").alias("parity")), "class")
+    own = written(own.select("key", "class", "n", "root", "main", *[F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(PARITY_BITS // 64)]), "apart")
+    outside = own.where("root <> main").select("key", *[F.col(c).alias(c + "_a") for c in own.columns if c not in ("key", "main")])
+    differ = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"p{i}_a"))) for i in range(PARITY_BITS // 64)), F.lit(0))
+    can = differ * (rule.over + rule.under) <= (F.col("n") + F.col("n_a")) * (rule.over - rule.under)
+    once = (F.col("root") == F.col("main")) | (F.col("class") < F.col("class_a"))
+    pairs = outside.join(own, "key").where((F.col("root") != F.col("root_a")) & once & rule.sized(F.col("n"), F.col("n_a")) & can)
+    return pairs.select(F.col("class_a").alias("a"), "class")
+
+
 def joined(ready: Prepared, rounds: int = 2) -> DataFrame:
     """The component of every class that links with another: node, root."""
     rule, links, roots = ready.rule, None, None
@@ -342,9 +372,11 @@ def joined(ready: Prepared, rounds: int = 2) -> DataFrame:
         if rank:
             split = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
             own = written(own.join(split, "key", "left_semi"), "unjoined")
-        hub = own.where(F.col("rank") == rank) if rank < rounds else own
-        hub = hub.select("key", F.col("rank").alias("rank_a"), F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-        pairs = hub.join(own, "key").where((F.col("rank") > F.col("rank_a")) & (F.col("root") != F.col("root_a")) & rule.sized(F.col("n"), F.col("n_a")))
+        if rank < rounds:
+            hub = own.where(F.col("rank") == rank).select("key", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
+            pairs = hub.join(own.where(F.col("rank") > rank), "key").where((F.col("root") != F.col("root_a")) & rule.sized(F.col("n"), F.col("n_a")))
+        else:
+            pairs = _apart(own, ready.classes, rule)
         pairs = written(pairs.select("a", F.col("class").alias("b")).distinct(), "pairs")
         if pairs.isEmpty():
             if rank:
