@@ -5,8 +5,8 @@ window is a place in a document that is as long as a benchmark item.
 
 *Windows.* Wherever a document and an item have a shingle in common, the item is laid over the
 document with the two shingles on each other, and the words it covers are a window (cut at the
-document's ends). Any other window has no shingle in common with an item of its length in that
-place, so its similarity is nought and nothing is lost by leaving it out.
+document's ends). Every shingle of every item is laid on every equal one of every document, so a
+place that is left out has none of the item's shingles where the item has it.
 
 *Fingerprints.* Bit i of a window's 64-bit SimHash is the majority of bit i of its shingles'
 hashes. Equal windows, as copies of a passage make them, are fingerprinted once.
@@ -88,8 +88,8 @@ def found(docs: DataFrame, benchmark: DataFrame, least: int = 80, radius: int =
     hits = own.select("id", "print", "all", F.posexplode("all").alias("place", "h")).join(sent_if_small(anchors), "h")
     start = F.greatest(F.col("place") - F.col("at"), F.lit(0))
     end = F.least(F.col("place") - F.col("at") + F.col("length") - SIZE + 1, F.size("all"))
-    windows = hits.select("id", "print", "length", start.alias("start"), F.slice("all", start + 1, end - start).alias("content"))
-    windows = windows.groupBy("id", "print", "length", "start").agg(F.first("content").alias("content"))
+    windows = hits.select("id", "print", "length", start.alias("start"), end.alias("end"), F.slice("all", start + 1, end - start).alias("content"))
+    windows = windows.groupBy("id", "print", "length", "start", "end").agg(F.first("content").alias("content"))
     windows = written(windows.withColumn("wid", F.xxhash64("length", "content")), "windows")
 
     contents = windows.groupBy("wid", "length").agg(F.first("content").alias("content"))

@@ -124,6 +124,8 @@ def patterns(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def label_model(counts: np.ndarray, steps: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
     """Posterior of good for each pattern, vote rates (good or bad, labeller, vote), and the share of good."""
     seen = np.flatnonzero(counts)
+    if not len(seen):
+        return np.full(len(counts), 0.5), np.full((2, len(LABELLERS), 3), 1 / 3), 0.5
     votes = seen[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
     weight = counts[seen].astype(float)
     posterior = (1 + (votes == 1).sum(axis=1)) / (2 + (votes == 1).sum(axis=1) + 4 * (votes == 2).sum(axis=1))

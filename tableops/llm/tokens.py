@@ -17,7 +17,7 @@ from unicodedata import is_normalized
 import numpy as np
 import pyarrow as pa
 
-#: Distinct pieces a task remembers at most; then it starts anew (ids don't depend on it).
+#: Distinct pieces a task remembers before it starts anew (ids don't depend on it).
 REMEMBERED = 1_000_000
 #: White space to Python's ``split`` but not to the tokenizer's expressions.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -92,18 +92,16 @@ def encoder(tokenizer_json: str) -> Callable[[list[str]], Iterator[np.ndarray]]:
             known[piece] = known[core] + (known[marks] if marks else b"")
 
     def pieces(texts: list[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            if any(c in text for c in _SEPARATORS):
-                yield np.frombuffer(ids_of([text])[0], "<u4")
-                continue
-            parts = text.split()
-            new = [p for p in set(parts) if p not in known]
-            if new:
-                if len(known) + 2 * len(new) > REMEMBERED:
-                    known.clear()
-                    new = list(set(parts))
-                learn(new)
-            yield np.frombuffer(b"".join([known[p] for p in parts]), "<u4")
+        split = [None if any(c in text for c in _SEPARATORS) else text.split() for text in texts]
+        used = set().union(*(x for x in split if x))
+        new = used - known.keys()
+        if new:
+            if len(known) + 2 * len(new) > REMEMBERED:
+                known.clear()
+                new = used
+            learn(list(new))
+        for text, parts in zip(texts, split, strict=True):
+            yield np.frombuffer(ids_of([text])[0] if parts is None else b"".join([known[p] for p in parts]), "<u4")
 
     return pieces
 

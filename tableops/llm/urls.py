@@ -7,10 +7,10 @@ starts with theirs; the longest wins. Their verdicts are the labels that the tre
 are mostly seen but once or twice, or are ``MOST_BRANCHES`` or more, has a variable segment: its
 children become one wildcard, and so do children with a digit in any node. Of the other children, those that go on in the same way (end here
 or go on) and whose share of blocked urls is alike, tested against their parent's share at two standard errors,
-are merged into one branch. Segments beyond ``DEPTH`` are one wildcard.
+are merged into one branch; without labels a child stays on its own. Segments beyond ``DEPTH`` are one wildcard.
 
 *Purity.* A template's share of blocked labels is smoothed with the share of the same template on
-all hosts, and that with the share of all labels, as so many (``WEIGHT``) more labels. Templates
+all hosts, and that with one half, as so many (``WEIGHT``) more labels. Templates
 of at least ``least`` are rejected: their urls without a rule are blocked; all others are allowed.
 
 Counts come before every join, so a host with a third of all urls is summed up where it is read.
@@ -94,7 +94,7 @@ def templates(paths: DataFrame) -> DataFrame:
         share = F.col("all_blocked") / F.greatest("all_labelled", F.lit(1))
         spread = F.sqrt(share * (1 - share) / F.greatest("labelled", F.lit(1)))
         off = F.col("blocked") / F.greatest("labelled", F.lit(1)) - share
-        like = F.when(F.col("labelled") == 0, "?").when(off > 2 * spread, "+").when(off < -2 * spread, "-").otherwise("=")
+        like = F.when(F.col("labelled") == 0, F.concat(F.lit("?"), "child")).when(off > 2 * spread, "+").when(off < -2 * spread, "-").otherwise("=")
         varies = (F.col("children") > 1) & (F.col("all") < 3 * F.col("children")) | (F.col("children") >= MOST_BRANCHES) | F.rlike("child", F.lit("[0-9]"))
         own = own.select("host", "template", "child", varies.alias("varies"), F.concat(like, F.col("on").cast("string")).alias("kind"))
         names = own.where(~F.col("varies")).groupBy("host", "template", "kind").agg(F.array_join(F.array_sort(F.collect_list("child")), "|").alias("branch"))
@@ -115,9 +115,7 @@ def rejected(found: DataFrame, least: float = 0.8) -> DataFrame:
     sums = [F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")]
     own = written(found.groupBy("host", "template").agg(*sums), "own")
     everywhere = own.groupBy("template").agg(F.sum("labelled").alias("labelled_everywhere"), F.sum("blocked").alias("blocked_everywhere"))
-    total = own.agg(F.sum("labelled"), F.sum("blocked")).first()
-    base = (total[1] or 0) / max(total[0] or 0, 1)
-    wide = (F.col("blocked_everywhere") + WEIGHT * base) / (F.col("labelled_everywhere") + WEIGHT)
+    wide = (F.col("blocked_everywhere") + WEIGHT / 2) / (F.col("labelled_everywhere") + WEIGHT)
     joined = own.join(sent_if_small(written(everywhere, "everywhere")), "template")
     purity = (F.col("blocked") + WEIGHT * wide) / (F.col("labelled") + WEIGHT)
     return joined.select("host", "template", purity.alias("purity"), (purity >= least).alias("rejected"))
