@@ -10,14 +10,16 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import zlib
 from collections.abc import Callable, Iterator
+from types import ModuleType
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 
-#: Distinct pieces a task remembers before it starts anew (ids don't depend on it).
+#: Distinct pieces a worker remembers before it starts anew (ids don't depend on it).
 REMEMBERED = 1_000_000
 #: White space to Python's ``split`` but not to the tokenizer's expressions.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -42,18 +44,20 @@ def separable(tokenizer_json: str) -> bool:
     return plain and drops and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
 
 
-def _core(piece: str) -> tuple[str, str]:
-    """A piece in small letters, without the marks after it, and those marks; as it is where that could matter."""
-    if "\u03a3" in piece or not is_normalized("NFC", piece):  # capital sigma has two small forms
-        return piece, ""
-    core = piece.rstrip(_MARKS)
-    if core and core[-1].isalpha():
-        return core.lower(), piece[len(core) :]
-    return piece, ""
+def encoder(tokenizer_json: str) -> Callable[[list[str]], Iterator[np.ndarray]]:
+    """A function from texts to their ids (uint32 arrays), without special tokens.
+
+    Tasks that a Python worker runs one after another share it, and what it remembers; functions
+    are sent to workers by value, so it is kept under a name of its own.
+    """
+    kept = sys.modules.setdefault("_tableops_encoders", ModuleType("_tableops_encoders")).__dict__
+    name = f"of_{zlib.crc32(tokenizer_json.encode())}_{len(tokenizer_json)}"
+    if name not in kept:
+        kept[name] = _encoder(tokenizer_json)
+    return kept[name]
 
 
-def encoder(tokenizer_json: str) -> Callable[[list[str]], Iterator[np.ndarray]]:
-    """A function from texts to their ids (uint32 arrays), without special tokens, for one task."""
+def _encoder(tokenizer_json: str) -> Callable[[list[str]], Iterator[np.ndarray]]:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
@@ -74,22 +78,35 @@ def encoder(tokenizer_json: str) -> Callable[[list[str]], Iterator[np.ndarray]]:
     def ids_of(texts: list[str]) -> list[bytes]:
         return [np.array(found.ids, "<u4").tobytes() for found in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(new: list[str]) -> None:
-        """Encode new pieces: words of letters many at a time, with the marks that follow them apart."""
-        split = [_core(p) for p in new]
-        cores = sorted({core for core, _ in split if core.isalpha() and core not in known})
-        others = sorted({x for core, marks in split for x in (core, marks) if x and not x.isalpha() and x not in known})
-        groups = [cores[i : i + 512] for i in range(0, len(cores), 512)]
+    def learn(new: set[str]) -> None:
+        """Encode new pieces: words of letters many at a time, in small letters and without the marks after them."""
+        split, cores, others = [], set(), set()
+        for piece in new:
+            core = piece.rstrip(_MARKS)
+            # Capital sigma has two small forms; what is not composed could change when it is.
+            if core.isalpha() and (piece.isascii() or "\u03a3" not in piece and is_normalized("NFC", piece)):
+                marks, core = piece[len(core) :], core.lower()
+                if piece != core:
+                    split.append((piece, core, marks))
+                if core not in known:
+                    cores.add(core)
+                if marks and marks not in known:
+                    others.add(marks)
+            else:
+                others.add(piece)
+        words, others = list(cores), list(others)
+        groups = [words[i : i + 512] for i in range(0, len(words), 512)]
         for group, found in zip(groups, tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, "<u4")
-            ends = np.flatnonzero(end[ids]) + 1
+            ends = (4 * np.flatnonzero(end[ids]) + 4).tolist()
             if len(ends) == len(group):
-                known.update(zip(group, (x.tobytes() for x in np.split(ids, ends[:-1])), strict=True))
+                raw = ids.tobytes()
+                known.update(zip(group, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
             else:  # a letter that is more than one when lower-cased, or no such suffix
                 known.update(zip(group, ids_of(group), strict=True))
         known.update(zip(others, ids_of(others), strict=True))
-        for piece, (core, marks) in zip(new, split, strict=True):
-            known[piece] = known[core] + (known[marks] if marks else b"")
+        for piece, core, marks in split:
+            known[piece] = known[core] + known[marks] if marks else known[core]
 
     def pieces(texts: list[str]) -> Iterator[np.ndarray]:
         split = [None if any(c in text for c in _SEPARATORS) else text.split() for text in texts]
@@ -99,7 +116,7 @@ def encoder(tokenizer_json: str) -> Callable[[list[str]], Iterator[np.ndarray]]:
             if len(known) + 2 * len(new) > REMEMBERED:
                 known.clear()
                 new = used
-            learn(list(new))
+            learn(new)
         for text, parts in zip(texts, split, strict=True):
             yield np.frombuffer(ids_of([text])[0] if parts is None else b"".join([known[p] for p in parts]), "<u4")
 
