@@ -1,15 +1,12 @@
-"""Random small tables: the operators against the same steps in pandas."""
+"""Random small tables: keeping first rows, distinct values and pairing, against pandas."""
 
-import re
 from random import Random
 
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
-from tableops import CleanSpec, clean, compare, dedupe, distinct_values, summarize, unify
-from tableops.functions import clean_text, slug, strip_ws, to_number
+from tableops import compare, dedupe, distinct_values
 
 SCHEMA = "pos int, k string, g bigint, x double, s string"
 
@@ -50,44 +47,12 @@ def same(df, pdf):
     assert cells(df.collect()) == cells(pdf.itertuples(index=False))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("how", ["left", "inner"])
-@pytest.mark.parametrize("key", ["k", "x"])
-def test_unify(spark, seed, how, key):
-    a, b = table(seed, 30), table(seed + 50, 20)
-    merged = pd.merge(a, b[[key, "pos", "s"]], left_on=key, right_on=key, how=how, suffixes=("_A", "_B"))
-    same(unify(to_spark(spark, a), to_spark(spark, b), key, key, ["pos", "s"], how=how), merged)
-
-
-@pytest.mark.parametrize("keys", [["k"], ["g", "k"], ["x"]])
-def test_summarize(spark, keys):
-    a = table(3, 80)
-    functions = ["sum", "mean", "count", "max", "min"]
-    for metric in ("x", "s", "g"):
-        if metric in keys:
-            continue
-        numbers = a.assign(**{metric: pd.to_numeric(a[metric], errors="coerce")})
-        expected = numbers.groupby(keys, as_index=False).agg({metric: functions})
-        expected.columns = [c[0] if not c[1] else "_".join(c) for c in expected.columns]
-        same(summarize(to_spark(spark, a), keys, metric, functions), expected)
-
-
 @pytest.mark.parametrize("subset", [["k"], ["k", "x"], ["s", "g"]])
 def test_dedupe(spark, subset):
     a = table(4, 60)
     same(dedupe(to_spark(spark, a), subset, "pos"), a.drop_duplicates(subset=subset))
 
 
-def test_clean(spark):
-    a = table(5, 60)
-    expected = a.drop_duplicates(subset=["k", "x"]).dropna()
-    expected = expected.assign(s=expected["s"].str.strip().str.upper().str.lower())
-    spec = CleanSpec(
-        duplicates=("k", "x"), order_by=("pos",), missing="drop", text_columns=("s",), text_actions=("lower", "upper", "strip")
-    )
-    same(clean(to_spark(spark, a), spec), expected)
-
-
 def test_distinct_values(spark):
     a = table(6, 40)
     for column in ("k", "x", "g", "s"):
@@ -95,26 +60,6 @@ def test_distinct_values(spark):
         assert [r.value for r in distinct_values(to_spark(spark, a), column).collect()] == expected
 
 
-def test_cell_functions(spark):
-    r = Random(7)
-    letters = " \t\n  ​\x1fabZ019.,+-eE_/!éßéª€×\U0001f600日²d"
-    texts = ["".join(r.choices(letters, k=r.randint(0, 7))) for _ in range(4000)]
-    texts += ["".join(r.choices("0123456789.,+-eE ", k=r.randint(1, 6))) for _ in range(4000)]
-    # pandas gives up on zero with a huge exponent, too.
-    texts = [t for t in texts if not re.search(r"(?i)e[+-]?\d{3}", t)]
-    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    out = df.orderBy("i").select(
-        strip_ws(F.col("t")), clean_text(F.col("t")), slug(F.col("t")), to_number(F.col("t"), True)
-    ).collect()
-    numbers = pd.to_numeric(pd.Series(texts, dtype=object).str.replace(",", "."), errors="coerce")
-    for text, number, row in zip(texts, numbers, out):
-        kept = re.sub(r"[^\x20-\x7EÀ-ÿ]", "", text.replace(" ", " ")).strip()
-        label = re.sub(r"[^\w\s-]", "", text).strip().replace(" ", "_")
-        # Which texts are numbers is pandas' word; float() rounds better than it.
-        expected = None if np.isnan(number) else float(text.replace(",", "."))
-        assert tuple(row) == (text.strip(), kept, label, expected), repr(text)
-
-
 @pytest.mark.parametrize("seed", [8, 9])
 @pytest.mark.parametrize("hot_rows", [None, 3])
 def test_compare(spark, seed, hot_rows):
