@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tableops.llm.frames import free_name
+from tableops.llm.frames import free_name, sent_if_small
 from tableops.llm.texts import WHITE, distinct, flat, mixed, ngrams, slices, words
 from tableops.plans.scratch import written
 
@@ -418,12 +418,22 @@ def without_near_copies(docs: DataFrame, rule: Rule | None = None, doc_id: str =
     ready = prepare(docs, rule or Rule(), doc_id, text)
     roots = joined(ready).withColumnRenamed("node", "class")
     own = ready.classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    first = own.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("kept_id"), F.col("first.print").alias("kept_print"))
-    first = written(first.union(ready.members.where("n = 0").select("id", "print").distinct()), "kept")
-    key, number, empty = free_name(docs, "print"), free_name(docs, "number"), free_name(docs, "bare")
+    first = own.groupBy("root").agg(F.min(F.struct("first.none", "first.id", "first.print")).alias("kept"))
+    first = own.select("set", "root").join(first, "root").select("set", F.col("kept.id").alias("kept_id"), F.col("kept.print").alias("kept_print"))
+    members = ready.members.where("n > 0").select("id", "print", "set")
+    other = ~F.col("id").eqNullSafe(F.col("kept_id")) | (F.col("print") != F.col("kept_print"))
+    removed = written(members.join(first, "set").where(other).select("id", "print").distinct(), "removed")
+    repeated = written(members.groupBy("id", "print").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
+
+    key, number = free_name(docs, "print"), free_name(docs, "number")
     marked = docs.withColumn(key, F.xxhash64(F.col(doc_id).cast("long"), F.coalesce(F.col(text), F.lit(""))))
-    kept = marked.join(first, (marked[key] == first["kept_print"]) & marked[doc_id].cast("long").eqNullSafe(first["kept_id"]), "left_semi")
+
+    def among(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        return rows.join(sent_if_small(ids), (rows[key] == ids["print"]) & rows[doc_id].cast("long").eqNullSafe(ids["id"]), how)
+
+    kept = among(marked, removed, "left_anti")
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
     same = Window.partitionBy(key, doc_id).orderBy(key)
-    bare = F.trim(F.coalesce(F.translate(F.col(text), "\t\n\x0b\x0c\r", "     "), F.lit(""))) == ""
-    kept = kept.withColumn(empty, bare).withColumn(number, F.row_number().over(same))
-    return kept.where(F.col(empty) | (F.col(number) == 1)).select(*docs.columns)
+    once = among(kept, repeated, "left_semi").withColumn(number, F.row_number().over(same)).where(F.col(number) == 1)
+    return among(kept, repeated, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
