@@ -17,9 +17,8 @@ prefix is extended by one shingle, and pairs of frequent shingles are indexed in
 ones: if the first common shingle is frequent, so is the second, and both are in the prefix.
 Rare shingles are indexed alone. No link is lost, and the index stays in proportion to the text.
 
-*Candidates.* The sets under one key are compared with one of them, the one with the fewest rare
-shingles; a few rounds of this join almost every group of copies. What is still in different
-components afterwards is compared pair by pair, so the result is exact whatever the groups are:
+*Candidates.* The sets under one key are compared with two of them, those with the fewest rare
+shingles, which joins almost every group of copies. What is still in different components afterwards is compared pair by pair, so the result is exact whatever the groups are:
 under each key, the sets outside the component that has most sets there with all others. The parity of a
 set's shingles over 512 bins keeps most of these pairs from being made: where two parities differ in
 more bins than linked sets can differ in shingles, the sets don't link.
@@ -363,29 +362,24 @@ def _apart(own: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     return pairs.select(F.col("class_a").alias("a"), "class")
 
 
-def joined(ready: Prepared, rounds: int = 2) -> DataFrame:
+def joined(ready: Prepared, hubs: int = 2) -> DataFrame:
     """The component of every class that links with another: node, root."""
-    rule, links, roots = ready.rule, None, None
-    for rank in range(rounds + 1):
-        own = ready.groups.where(F.col("rank") >= rank)
-        own = own.withColumn("root", F.col("class")) if roots is None else own.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        if rank:
-            split = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-            own = written(own.join(split, "key", "left_semi"), "unjoined")
-        if rank < rounds:
-            hub = own.where(F.col("rank") == rank).select("key", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-            pairs = hub.join(own.where(F.col("rank") > rank), "key").where((F.col("root") != F.col("root_a")) & rule.sized(F.col("n"), F.col("n_a")))
-        else:
-            pairs = _apart(own, ready.classes, rule)
-        pairs = written(pairs.select("a", F.col("class").alias("b")).distinct(), "pairs")
-        if pairs.isEmpty():
-            if rank:
-                break
-            return ready.groups.select(F.col("class").alias("node"), F.col("class").alias("root")).limit(0)
-        found = written(_linked(pairs, ready.docs, ready.classes, rule), "links")
-        links = found if links is None else links.union(found)
-        roots = written(components(links), "roots")
-    return roots
+    rule, groups = ready.rule, ready.groups
+    hub = groups.where(F.col("rank") < hubs).select("key", F.col("rank").alias("rank_a"), F.col("class").alias("a"), F.col("n").alias("n_a"))
+    pairs = hub.join(groups, "key").where((F.col("rank") > F.col("rank_a")) & rule.sized(F.col("n"), F.col("n_a")))
+    pairs = written(pairs.select("a", F.col("class").alias("b")).distinct(), "pairs")
+    if pairs.isEmpty():
+        return groups.select(F.col("class").alias("node"), F.col("class").alias("root")).limit(0)
+    roots = written(components(_linked(pairs, ready.docs, ready.classes, rule)), "roots")
+
+    own = groups.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    split = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    own = written(own.join(split, "key", "left_semi"), "unjoined")
+    pairs = written(_apart(own, ready.classes, rule).select("a", F.col("class").alias("b")).distinct(), "pairs")
+    if pairs.isEmpty():
+        return roots
+    more = _linked(pairs, ready.docs, ready.classes, rule)
+    return written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "roots")
 
 
 def links(docs: DataFrame, rule: Rule | None = None, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
