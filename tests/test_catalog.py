@@ -31,3 +31,10 @@ def test_query(spark, connection, name):
 def test_entry(spark):
     assert entry(spark).count() == 9
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_queries_without_the_optional_package(monkeypatch):
+    import importlib.util
+
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name: None)
+    assert set(queries()) == set(QUERIES) and set(oracle_sql()) <= set(QUERIES)
