@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tableops.llm import neighbours
@@ -42,6 +43,23 @@ def test_odd_vectors(spark):
     assert neighbours.nearest(frame.limit(0), F.col("id") >= 0).count() == 0
 
 
+def test_probes_grow_until_recall_holds(spark):
+    x = np.random.default_rng(4).normal(size=(20_000, 32))
+    frame = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float64()))}))
+    # One table of 64 buckets and one probe find few: what many buckets do to twelve tables.
+    found = {(r["query_id"], r["vec_id"]) for r in neighbours.nearest(frame, F.col("id") % 500 == 0, tables=1, probes=1).collect()}
+    hits = 0
+    for q in range(0, 20_000, 500):
+        score = ((x - x[q]) ** 2).sum(axis=1)
+        score[q] = np.inf
+        hits += sum((q, int(i)) in found for i in np.argsort(score)[:10])
+    assert hits >= 0.9 * 400
+
+
+def test_no_hash_for_a_rounding_excess():
+    assert neighbours.widths(51_282, 64) == [64]
+
+
 def test_turning_keeps_lengths_and_tables_grow():
     x = np.random.default_rng(1).normal(size=(5, 16))
     y = neighbours.turned(x, neighbours._signs(16, 0, 0))
