@@ -1,12 +1,14 @@
 """Main text of web pages by the consensus of their hosts.
 
 1. Each page's containers (elements that hold blocks) are scored by the text in them, links
-   counted against them, and the innermost one with at least nine tenths of the page's score is the page's vote.
+   counted against them. The innermost one with at least nine tenths of the page's score, widened to
+   those around it as long as they add nothing but text without links (a headline, a lead), is the page's vote.
    Its path is generalised: tags and classes from the top down, classes without digits.
 2. Votes are counted for each host in Spark; the path with most votes (then most text, then the
-   first in the alphabet) wins.
-3. Every page is read again with its host's path: the blocks in all containers on that path, or
-   in the page's own choice where it has none.
+   first in the alphabet) comes first, and all others with two votes or more follow: a host's other templates.
+3. Every page is read again with its host's paths: the blocks in all containers on the first one, or,
+   if that holds less than half of what the page's own choice does, on the own choice if other pages share it, else on the next
+   path that holds as much. A choice of one page alone counts only where its host's first path holds nothing.
 
 Blocks in menus, footers, sidebars, notices, adverts, forms and reader comments are left out, by
 tag or by class and id, and so are page headers; a header within an article holds its headline
@@ -22,7 +24,7 @@ one. A url without a host votes with all others like it. Other columns are ignor
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html import unescape
 from typing import NamedTuple
 
@@ -148,12 +150,14 @@ def within(path: str, of: str) -> bool:
 
 
 def chosen(found: list[Block]) -> tuple[str, int]:
-    """The path of the innermost container with nine tenths of the page's score, and its score."""
+    """The path of the innermost container with nine tenths of the page's score, widened by text without links, and its score."""
     scores: dict[str, int] = {}
+    links: dict[str, int] = {}
     for block in found:
         gain, path = len(block.text) - 2 * block.linked, block.path
         while True:
             scores[path] = scores.get(path, 0) + gain
+            links[path] = links.get(path, 0) + block.linked
             if not path:
                 break
             path = path[: path.rfind(">")]
@@ -161,21 +165,33 @@ def chosen(found: list[Block]) -> tuple[str, int]:
     for path, score in sorted(scores.items(), key=lambda x: (x[0].count(">"), -x[1], x[0])):
         if 10 * score >= 9 * scores[""] > 0 and within(path, best[0]):
             best = (path, score)
+    around = best[0][: best[0].rfind(">")] if best[0] else ""
+    while around and links[around] == links[best[0]]:
+        best = (around, scores[around])
+        around = around[: around.rfind(">")]
     return best
 
 
-def main_text(html: str, path: str | None) -> str:
-    """The text under ``path``, or under the page's own choice if nothing is there."""
+def main_text(html: str, path: str | None, others: Sequence[str] = ()) -> str:
+    """The text under ``path``, its host's first, or under another one that holds the page's article."""
     found = blocks(html)
+    own, most = chosen(found)
+
+    def enough(path: str) -> bool:
+        return 2 * sum(len(b.text) - 2 * b.linked for b in found if within(b.path, path)) >= most
+
+    if path is not None and own in others and (own and within(path, own) or not enough(path)):
+        path = own
+    elif path is not None and not enough(path):
+        path = next((x for x in others if enough(x)), path)
     kept = [b.text for b in found if within(b.path, path)] if path is not None else []
     if not kept:
-        own = chosen(found)[0]
         kept = [b.text for b in found if within(b.path, own)]
     return "\n".join(kept)
 
 
 def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """The path that most pages of each host vote for: host, path, votes."""
+    """The path that most pages of each host vote for, and the others with two votes or more: host, path, votes, others."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,20 +202,22 @@ def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     texts = pages.select(F.coalesce(host_of(F.col(url)), F.lit("")).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     votes = texts.mapInArrow(vote, "host string, path string, score long").where("score > 0")
     votes = votes.groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
-    best = votes.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("v"), (-F.col("score")).alias("s"), "path")).alias("best"))
-    return best.select("host", F.col("best.path").alias("path"), (-F.col("best.v")).alias("votes"))
+    place = F.struct((-F.col("votes")).alias("v"), (-F.col("score")).alias("s"), "path")
+    best = votes.groupBy("host").agg(F.min(place).alias("best"), F.array_sort(F.collect_list(F.when(F.col("votes") > 1, place))).alias("shared"))
+    others = F.filter(F.col("shared.path"), lambda x: x != F.col("best.path"))
+    return best.select("host", F.col("best.path").alias("path"), (-F.col("best.v")).alias("votes"), others.alias("others"))
 
 
 def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """The main text of every page: page_id, url, text, n_chars, path (its host's)."""
-    winners = written(host_paths(pages, url, html).select("host", "path"), "host-paths")
+    winners = written(host_paths(pages, url, html).select("host", "path", "others"), "host-paths")
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     rows = rows.withColumn("host", F.coalesce(host_of(F.col("url")), F.lit(""))).join(sent_if_small(winners), "host", "left")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "html"):
-                texts = [main_text(x, p) for x, p in zip(part.column("html").to_pylist(), part.column("path").to_pylist(), strict=True)]
+                texts = [main_text(x, p, o or ()) for x, p, o in zip(*[part.column(c).to_pylist() for c in ("html", "path", "others")], strict=True)]
                 made = [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *made, part.column("path")], names=["page_id", "url", "text", "n_chars", "path"])
 

@@ -38,3 +38,20 @@ def test_hosts_agree(spark):
     assert len(found) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in found)
     assert (5, "short") in texts and (6, ("other text " * 20).strip()) in texts and (7, "") in texts and (8, "") in texts and (8, ("word " * 100_000).strip()) in texts
     assert html_text.extracted(frame.limit(0)).count() == 0
+
+
+def test_second_template_of_a_host(spark):
+    usual = '<div class="main"><p>{0}</p></div><div class="other"><p>short</p></div>'
+    odd = '<div class="main"><p>short</p></div><div class="other"><p>{0}</p></div>'
+    text = ("long text " * 20).strip()
+    rows = [(i, "http://a.b/x", (odd if i % 3 == 0 else usual).format(text)) for i in range(9)]
+    found = html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["text"] for r in found} == {text}
+
+
+def test_headline_and_lead_outside_the_body(spark):
+    page = '<div class="top"><a href="/">Home</a></div><article><h1>Headline</h1><p>Lead</p><div class="body"><p>{0}</p></div></article>'
+    rows = [(i, "http://a.b/x", page.format("long text " * 20)) for i in range(3)]
+    found = html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["text"] for r in found} == {"Headline\nLead\n" + ("long text " * 20).strip()}
+    assert html_text.main_text(page.format("long text " * 20), None).startswith("Headline\nLead\n")
