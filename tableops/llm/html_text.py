@@ -11,8 +11,11 @@
    path that holds as much. A choice of one page alone counts only where its host's first path holds nothing.
 
 Blocks in menus, footers, sidebars, notices, adverts, forms and reader comments are left out, by
-tag or by class and id, and so are page headers; a header within an article holds its headline
-and stays. Character references are decoded, white space within a block becomes one space, and
+tag or by class, id and role, and so are page headers; a header within an article holds its headline
+and stays. A class, id or role counts if its last piece is such a word (and the first does not say ``no`` or ``has``),
+or if its other pieces only name a box; ``article``, ``main`` and headings are never judged by theirs. A container
+with most of the page's text without links is not left out by its names if it holds an h1 or ``main``, or if less than a tenth of that text
+stands outside the parts left out; if that tenth is still not reached, no names are looked at. Character references are decoded, white space within a block becomes one space, and
 blocks are joined by a line feed, in page order.
 
 Defined results: a missing, empty or textless page gives an empty text. A page cut off within a tag or a
@@ -41,6 +44,7 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"
 _NAMES = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _CLASS = re.compile(r"""(?:^|[\s"'/])class\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_TOKEN = re.compile(r"[^\s\"']+")
 _DIGITS = re.compile(r"\d+")
 
 #: Elements whose content is not markup.
@@ -56,9 +60,13 @@ APART = frozenset("nav aside form footer button select menu dialog noscript temp
 NOT_MAIN = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion banner sidebar sidebars aside widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager toc footer footnav masthead topbar toolbar comment comments commentlist respond reply replies disqus discussion cookie cookies consent gdpr notice notices alert popup modal overlay paywall newsletter subscribe subscription signup login share sharing social related recommended recommendations popular trending search hidden complementary contentinfo".split()
 )
+#: Pieces that may follow or precede those words, and pieces that say that the part stands beside or is missing.
+BOXES = frozenset("area areas bar block blocks body box boxes button buttons container content form group holder icons inner item items left link links list menu outer panel post posts primary right secondary section slot text title unit wrap wrapper top bottom main site page cat".split())
+BESIDE = frozenset("no not without has with hide".split())
 #: These are the page's outside an article and its own inside.
 HEADERS = frozenset(("header", "head", "hero"))
 ARTICLE = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Block(NamedTuple):
@@ -67,9 +75,41 @@ class Block(NamedTuple):
     linked: int
 
 
+def named(rest: str, among: frozenset[str]) -> bool:
+    """Does a class, id or role of a tag name one of the parts ``among``?"""
+    for value in _NAMES.findall(rest):
+        for token in _TOKEN.findall(value.lower()):
+            pieces = _WORD.findall(token)
+            if not pieces or pieces[0] in BESIDE or among.isdisjoint(pieces):
+                continue
+            if pieces[-1] in among or all(x in among or x in BOXES for x in pieces):
+                return True
+    return False
+
+
 def blocks(html: str) -> list[Block]:
     """The blocks of a page outside the parts that are not the article's, with the paths of their containers."""
+    out, lost = _blocks(html)
+    if not lost:
+        return out
+    kept = sum(len(b.text) - b.linked for b in out)
+    total = kept + sum(n for n, _, outermost in lost.values() if outermost)
+    large = frozenset(at for at, (n, main, _) in lost.items() if 2 * n > total and (main or 10 * kept < total))
+    if large:
+        out, _ = _blocks(html, large)
+        kept = sum(len(b.text) - b.linked for b in out)
+    return _blocks(html, None)[0] if 10 * kept < total else out
+
+
+def _blocks(html: str, spared: frozenset[int] | None = frozenset()) -> tuple[list[Block], dict[int, list]]:
+    """The blocks, and for each container left out by its names: text without links in it, whether it holds an h1 or main, whether it is in no other.
+
+    ``spared`` are the places of containers whose names are not looked at; None spares all.
+    """
     out: list[Block] = []
+    lost: dict[int, list] = {}
+    by_name: list[tuple[int, int]] = []  # depth and place of the containers that are left out by name
+    apart = 0  # depth of the first one that is left out by tag, from 1
     stack: list[tuple[str, str, bool]] = []  # tag, path, left out
     words: list[str] = []
     path, left_out, linked, in_link = "", False, 0, False
@@ -81,9 +121,20 @@ def blocks(html: str) -> list[Block]:
             text = " ".join(unescape("".join(words)).split())
             if text and not left_out:
                 out.append(Block(path, text, min(linked, len(text))))
+            elif text and by_name and not apart:
+                for _, place in by_name:
+                    lost[place][0] += max(0, len(text) - linked)
             words.clear()
         linked, in_link = 0, False
 
+    def cut(depth: int) -> None:
+        nonlocal path, left_out, apart
+        del stack[depth:]
+        while by_name and by_name[-1][0] > depth:
+            by_name.pop()
+        apart = apart if apart <= depth else 0
+        path, left_out = stack[-1][1:] if stack else ("", False)
+
     while at < end:
         found = _TAG.search(html, at)
         stop = found.start() if found else end
@@ -111,28 +162,35 @@ def blocks(html: str) -> list[Block]:
         if not inline:
             flush()
             if stack and stack[-1][0] == "p":
-                stack.pop()
-                path, left_out = stack[-1][1:] if stack else ("", False)
+                cut(len(stack) - 1)
         elif tag == "a":
             in_link = not slash
         if slash:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     flush()
-                    del stack[i:]
-                    path, left_out = stack[-1][1:] if stack else ("", False)
+                    cut(i)
                     break
             continue
         if tag in VOID or tag in ("html", "body"):
             continue
-        names = {w for m in _NAMES.findall(rest) for w in _WORD.findall(m.lower())} if "=" in rest else frozenset()
-        out_now = left_out or tag in APART or not NOT_MAIN.isdisjoint(names)
-        if not out_now and (tag == "header" or not HEADERS.isdisjoint(names)) and tag not in ("h1", "h2", "h3"):
-            out_now = not any(t in ARTICLE for t, _, _ in stack)
+        inside = any(t in ARTICLE for t, _, _ in stack) if tag == "header" or "=" in rest else False
+        out_tag = tag in APART or tag == "header" and not inside
+        judged = "=" in rest and spared is not None and at not in spared and tag not in ARTICLE and tag not in HEADINGS
+        out_name = judged and not out_tag and (named(rest, NOT_MAIN) or not inside and named(rest, HEADERS))
+        out_now = left_out or out_tag or out_name
+        if tag in ("h1", "main") and not apart:
+            for _, place in by_name:
+                lost[place][1] = True
         if out_now:
             flush()
             stack.append((tag, path, True))
             left_out = True
+            if out_tag:
+                apart = apart or len(stack)
+            elif out_name:
+                lost[at] = [0, False, not by_name]
+                by_name.append((len(stack), at))
         elif not inline and tag not in LEAVES:
             classes = _CLASS.search(rest) if "=" in rest else None
             label = tag
@@ -142,7 +200,7 @@ def blocks(html: str) -> list[Block]:
             path = f"{path}>{label}"
             stack.append((tag, path, False))
     flush()
-    return out
+    return out, lost
 
 
 def within(path: str, of: str) -> bool:

@@ -55,3 +55,18 @@ def test_headline_and_lead_outside_the_body(spark):
     found = html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r["text"] for r in found} == {"Headline\nLead\n" + ("long text " * 20).strip()}
     assert html_text.main_text(page.format("long text " * 20), None).startswith("Headline\nLead\n")
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<div class="content-sidebar-wrap"><div class="no-sidebar"><p>text</p></div></div>', "text"),
+        ('<div class="sidebar-wrap"><h1>Head</h1><p>text of it</p><div class="widget"><p>w</p></div></div>', "Head\ntext of it"),
+        ('<article class="post tag-social category-search"><p>text</p></article>', "text"),
+        ('<article><p>text</p><section id="social-history"><h2 id="discussion">Head</h2><p>more</p></section></article>', "text\nHead\nmore"),
+        ('<div class="widget"><p>one part</p></div><div class="widget"><p>two part</p></div><div class="ad"><p>tri part</p></div>', "one part\ntwo part\ntri part"),
+        ('<article><p>text of some length</p></article><div class="comments-area"><p>' + "long " * 30 + '</p></div><div class="widget-area"><p>w</p></div><ul class="related-posts"><li>r</ul>', "text of some length"),
+    ],
+)
+def test_names_of_parts_that_hold_the_article(html, text):
+    assert html_text.main_text(html, None) == text
