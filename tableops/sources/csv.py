@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 import warnings
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tableops.columns import col, free_name
@@ -63,7 +64,7 @@ def survey(spark: SparkSession, path: str | Sequence[str]) -> tuple[list[str], b
     lines = lines.select("value", (quotes % 2 == 1).alias("odd"), place.alias("place"), F.col("_metadata.file_path").alias("file"))
     files = lines.groupBy("file").agg(F.min_by("value", "place").alias("first"), F.bool_or("odd").alias("odd"))
     firsts = files.groupBy(F.rtrim(F.ltrim("first", F.lit(BOM)), F.lit("\r")).alias("first")).agg(F.bool_or("odd").alias("odd"))
-    found = firsts.orderBy("first").limit(1000).collect()
+    found = firsts.select("first", F.expr("bool_or(odd) OVER ()").alias("odd")).orderBy("first").limit(1000).collect()
     return [row.first for row in found], any(row.odd for row in found)
 
 
@@ -72,6 +73,51 @@ def needs_multi_line(spark: SparkSession, path: str | Sequence[str]) -> bool:
     return survey(spark, path)[1]
 
 
+def ends_inside(line: str, inside: bool, sep: str) -> bool:
+    """Does a line end within a quoted cell, if it starts within one or not?"""
+    at = 0
+    while True:
+        if not inside and line[at : at + 1] == '"':
+            inside, at = True, at + 1
+        if inside:
+            at = line.find('"', at)
+            while at >= 0 and line[at + 1 : at + 2] == '"':
+                at = line.find('"', at + 2)
+            if at < 0:
+                return True
+            inside = False
+        at = line.find(sep, at)
+        if at < 0:
+            return False
+        at += len(sep)
+
+
+def refuse_open_quotes(spark: SparkSession, path: str | Sequence[str], sep: str) -> None:
+    """Raise, naming the files, if a quoted cell does not close: Spark would take the rest of the file for it.
+
+    One pass over the lines with quotes: each split tells where it ends if it starts inside or outside a cell.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = lines.where(F.contains("value", F.lit('"')))
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict[tuple[str, int], tuple[bool, bool]] = {}
+        for batch in batches:
+            for line, file, start in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                out, inn = state.get((file, start), (False, True))
+                line = line.removeprefix(BOM)
+                out_end = ends_inside(line, out, sep)
+                state[file, start] = out_end, out_end if inn == out else ends_inside(line, inn, sep)
+        made = [[f for f, _ in state], [s for _, s in state], [o for o, _ in state.values()], [i for _, i in state.values()]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, (pa.string(), pa.int64(), pa.bool_(), pa.bool_()), strict=True)], names=["file", "start", "out", "inn"])
+
+    splits = lines.mapInArrow(ends, "file string, start long, out boolean, inn boolean")
+    files = splits.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("start", "out", "inn"))).alias("splits"))
+    last = F.aggregate("splits", F.lit(False), lambda inside, x: F.when(inside, x["inn"]).otherwise(x["out"]))
+    if found := [r["file"] for r in files.where(last).select("file").orderBy("file").limit(3).collect()]:
+        raise ValueError(f"a quoted cell is not closed before the end of the file: {found}")
+
+
 def normalize_header(cells: Sequence[str | None], strip: bool = True) -> list[str]:
     """Column names from header cells: blanks get a place name, repeats a number."""
     names: list[str] = []
@@ -112,10 +158,13 @@ def read_cells(
     """All cells as text under the given names, headers skipped, nothing inferred.
 
     ``spans`` says that cells hold line breaks: Spark then reads each file in one task, whatever
-    its size, so deliver such data in files of a size that suits a task. ``source`` names a column for
+    its size, so deliver such data in files of a size that suits a task; a quoted cell that does not close is
+    refused, with the name of its file. ``source`` names a column for
     the file a row comes from. A row with a cell to the right of the header ends the query with an error that
     names the file; rows that are too short are filled up with missing cells.
     """
+    if spans:
+        refuse_open_quotes(spark, path, sep)
     beyond = free_name("_beyond_header", names)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, beyond]])
     reader = spark.read.schema(schema).options(**READ_OPTIONS)

@@ -277,3 +277,18 @@ def test_workbooks(spark, tmp_path):
     single = read_file(spark, str(tmp_path / "a.xlsx"))
     assert single.dtypes == [("Unnamed: 26", "string"), ("n", "double"), ("n.1", "string"), ("when", "string")]
     assert read_workbooks(spark, str(tmp_path), ["n"]).columns == ["source_file", "row_number", "n"]
+
+
+def test_a_quote_that_does_not_close_is_refused(spark, tmp_path):
+    (tmp_path / "good.csv").write_text('id,t\n1,"a\nb"\n2,5" pipe\n3,"say ""x"", y"\n')
+    assert read_csv(spark, str(tmp_path), sep=",").count() == 3
+    (tmp_path / "bad.csv").write_text('id,t\n1,"abc\n2,x\n3,y\n4,z')
+    with pytest.raises(ValueError, match="bad.csv"):
+        read_csv(spark, str(tmp_path), sep=",")
+
+
+def test_odd_quotes_beyond_a_thousand_headers(spark, tmp_path):
+    for i in range(1001):
+        (tmp_path / f"{i:04}.csv").write_text(f"h{i:04},t\n1,2\n")
+    (tmp_path / "z.csv").write_text('z,t\n1,"a\nb"\n')
+    assert needs_multi_line(spark, str(tmp_path))
