@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableops.llm import decontaminate, html_text, jaccard, language, neighbours, packing, quality, token_files, toxicity, urls
+from tableops.llm import decontaminate, html_text, jaccard, language, manifest, neighbours, packing, quality, token_files, toxicity, urls
 from tableops.llm.frames import held_out
 from tableops.plans.scratch import scratch_path
 
@@ -106,6 +106,12 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "similarity", "start", "words")
 
 
+@query
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return manifest.manifest(table(spark, folder, "documents"), tampered, {"n_chars": F.col("n_chars") + 1}, ["doc_id", "source", "lang", "n_chars", "text"])
+
+
 #: Words, shingles and links as the Jaccard join defines them; components by following links.
 SQL["op2_jaccard_join"] = r"""
 WITH RECURSIVE words AS (
@@ -128,3 +134,54 @@ WITH RECURSIVE words AS (
 SELECT x.doc_id, len(x.s) AS n_shingles, min(y.doc_id) AS component_id
 FROM sets x JOIN reach ON reach.a = x.r JOIN sets y ON y.r = reach.b GROUP BY x.r, x.doc_id, x.s
 """
+
+#: Leaves, levels and siblings by plain recursion; CRC-32 bit by bit.
+SQL["op13_merkle_manifest"] = """
+WITH RECURSIVE rows AS (
+  SELECT doc_id, lang, source, n_chars, text,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+        lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)) AS crc
+  FROM documents
+), parts AS (
+  SELECT *, coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+      || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+    coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail, coalesce(xor(crc, 4294967295::BIGINT) % 7 = 0, false) AS tampered
+  FROM rows
+), leaves AS (
+  SELECT doc_id, lang, sha256(head || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+    CASE WHEN tampered THEN sha256(head || coalesce(octet_length(encode((n_chars + 1)::VARCHAR)) || ':' || (n_chars + 1), '-') || tail) END AS forged
+  FROM parts
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+), lower_tree AS (
+  SELECT lang, 0 AS level, pos, n, leaf AS h FROM placed
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM lower_tree WHERE n > 1 GROUP BY lang, level, pos // 2
+), subroots AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM lower_tree WHERE n = 1
+), upper_tree AS (
+  SELECT 0 AS level, pos, n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM upper_tree WHERE n > 1 GROUP BY level, pos // 2
+), climb AS (
+  SELECT lang, pos AS leaf_pos, 0 AS tree, 0 AS level, pos, n, coalesce(forged, leaf) AS h, '' AS proof FROM placed
+  UNION ALL
+  SELECT c.lang, c.leaf_pos, CASE WHEN c.tree = 0 AND c.n = 1 THEN 1 ELSE c.tree END,
+    CASE WHEN c.tree = 0 AND c.n = 1 THEN 0 ELSE c.level + 1 END,
+    CASE WHEN c.tree = 0 AND c.n = 1 THEN s.pos ELSE c.pos // 2 END,
+    CASE WHEN c.tree = 0 AND c.n = 1 THEN s.n ELSE (c.n + 1) // 2 END,
+    CASE WHEN c.tree = 0 AND c.n = 1 THEN c.h WHEN c.pos % 2 = 1 THEN sha256(coalesce(l.h, u.h) || c.h) ELSE sha256(c.h || coalesce(l.h, u.h, '')) END,
+    c.proof || CASE WHEN c.tree = 0 AND c.n = 1 THEN '' ELSE coalesce(l.h, u.h, '') END
+  FROM climb c
+  JOIN subroots s ON s.lang IS NOT DISTINCT FROM c.lang
+  LEFT JOIN lower_tree l ON c.tree = 0 AND c.n > 1 AND l.lang IS NOT DISTINCT FROM c.lang AND l.level = c.level AND l.pos = xor(c.pos, 1)
+  LEFT JOIN upper_tree u ON c.tree = 1 AND u.level = c.level AND u.pos = xor(c.pos, 1)
+  WHERE c.tree = 0 OR c.n > 1
+), top AS (
+  SELECT h AS root FROM upper_tree WHERE n = 1
+)
+SELECT p.doc_id, p.leaf, s.subroot, t.root, sha256(c.proof) AS proof_sha256, c.h AS folded_root, c.h = t.root AS verified
+FROM placed p JOIN climb c ON c.tree = 1 AND c.n = 1 AND c.leaf_pos = p.pos AND c.lang IS NOT DISTINCT FROM p.lang
+JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang CROSS JOIN top t
+"""
