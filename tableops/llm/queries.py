@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableops.llm import decontaminate, html_text, jaccard, language, manifest, neighbours, packing, quality, token_files, toxicity, urls
+from tableops.llm import alignment, decontaminate, html_text, jaccard, language, manifest, neighbours, packing, quality, token_files, toxicity, urls
 from tableops.llm.frames import held_out
 from tableops.plans.scratch import scratch_path
 
@@ -106,6 +106,15 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "similarity", "start", "words")
 
 
+@query
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    model = Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
+    found = alignment.aligned(table(spark, folder, "documents"), tokenizer_json("byte_bpe_50k.json"), model)
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0

@@ -62,8 +62,7 @@ def made(n, langs):
     return [(i * 3 % 1009, f"s{i % 3}", langs[i * i % len(langs)], len(f"t {i}"), f"t {i}") for i in range(n)]
 
 
-@pytest.mark.parametrize("bits", [1, 2, 10])
-@pytest.mark.parametrize("n", [1, 2, 37])
+@pytest.mark.parametrize(("bits", "n"), [(1, 9), (2, 37), (10, 37), (10, 1)])
 def test_equals_the_plain_tree(spark, monkeypatch, bits, n):
     monkeypatch.setattr(manifest, "BITS", bits)
     docs = made(n, ["en", "de", "é", "zz", "en", "en"])
