@@ -2,18 +2,19 @@
 
 A is a byte-level tokenizer of the tokenizers library, B a sentencepiece model that puts a space before the
 text; both are compared over the bytes of space + text. Token ends come from the libraries themselves: A's
-character offsets, and the spans of B's proto (which this version of sentencepiece calls ``proto`` and
-gives in bytes). These are coarse where a token holds a part of a character: A's offsets then name the
-whole character, B's byte-fallback tokens share one span. Such ends are refined with the tokens' decoded
-bytes, and every token's bytes are held against the text it stands for.
+character offsets, and the spans of B's immutable proto, which this version of sentencepiece hands out as
+``offset_mapping``. These are coarse where a token holds a part of a character: A's offsets then name the
+whole character, and so do the spans of B's byte-fallback tokens. Such ends are refined with the tokens'
+decoded bytes, and every token's bytes are held against the text it stands for.
 
 Single spaces between other characters end tokens of both (``chunkable`` says whether they do for given
 files), so a text is cut there, each distinct chunk is aligned once and remembered, and texts are put
 together from chunks. Texts are encoded whole with files for which that does not hold.
 
-Links, pairs of an A and a B token that end together, are counted over the whole corpus in a first pass, and
-each document's links are looked up in a second. The counts are one row for each pair of ids. They are sent
-to the tasks while they are at most ``most_sent`` pairs, and joined with the documents' distinct pairs beyond.
+Links, pairs of an A and a B token that end together, are counted over the whole corpus. Texts are read
+once: a document's distinct pairs are kept in a table in the shared folder, and looked up among the counts
+when these are known. The counts are one row for each pair of ids. They are sent to the tasks while they are at
+most ``most_sent`` pairs, and joined with the documents' pairs beyond.
 
 Defined results: a text that is missing or empty, or whose tokens do not give back its bytes (it holds U+2581,
 say), has no tokens: zeros and an empty digest; it adds nothing to the counts. Rows that repeat an id are
@@ -23,11 +24,13 @@ rows of their own and count as often. An empty table gives no rows. Further colu
 from __future__ import annotations
 
 import json
+import os
 import re
 import sys
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 from types import ModuleType
 
 import numpy as np
@@ -39,7 +42,7 @@ from tableops.llm.texts import slices
 from tableops.plans.scratch import written
 
 #: Distinct chunks a worker remembers before it starts anew (results don't depend on it).
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 #: Pairs of ids whose counts are sent to the tasks at most: 17 bytes each.
 MOST_SENT = 4_000_000
 SPACE = "▁"
@@ -70,9 +73,14 @@ def chunkable(tokenizer_json: str, pieces: list[str]) -> bool:
 
 
 class Aligner:
-    """Aligns chunks of text and remembers them by number; arrays hold what is known of each."""
+    """Aligns chunks of text, many at a time, and remembers them by number.
+
+    ``known`` holds for each chunk the numbers of A's and B's tokens and of groups; ``good`` whether its tokens
+    give its bytes; ``groups`` its digest text; ``links`` from ``starts`` on its linked pairs.
+    """
 
     def __init__(self, tokenizer_json: str, model: bytes) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -85,192 +93,200 @@ class Aligner:
         for token, i in vocabulary.items():
             self.a_bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         pieces = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
-        self.fallback = [bool(_BYTE_PIECE.fullmatch(p)) for p in pieces]
+        self.fallback = np.array([bool(_BYTE_PIECE.fullmatch(p)) for p in pieces])
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.fallback[i] else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.names = [str(i) for i in range(max(len(self.a_bytes), len(pieces)))]
         self.whole = not chunkable(tokenizer_json, pieces)
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.good: list[bool] = []
-        self.sizes: list[tuple[int, int, int, int]] = []
+        self.good, self.known = np.zeros(0, bool), np.zeros((0, 3), np.int64)
         self.groups: list[str] = []
-        self.links: list[np.ndarray] = []
-        self.scores: list[tuple[int, int]] = []
+        self.links = np.zeros(0, np.int64)
 
     def chunks(self, text: str) -> list[str]:
         if self.whole:
             return [text]
         return _BETWEEN.split(text) if _UNEVEN.search(text) else text.split(" ")
 
-    def numbers(self, texts: list[str], scores: Callable[[np.ndarray], tuple[int, int]] | None = None) -> list[list[int]]:
+    def numbers(self, texts: list[str]) -> list[np.ndarray]:
         """The numbers of the chunks of each text; new ones are aligned first."""
         cut = [self.chunks(t) for t in texts]
         new = set().union(*cut) - self.number.keys()
-        for chunk, a, b in self._encoded(list(new)):
-            self.number[chunk] = len(self.good)
-            self._learn(chunk, a, b, scores)
+        alone = [c for c in new if self.whole or not c or c != c.strip()]  # with others beside it, its spaces would be one run
+        new = [*new.difference(alone), *alone]
+        some = len(self.number)
+        self.number.update(zip(new, range(some, some + len(new)), strict=True))
+        self.good = np.concatenate([self.good, np.zeros(len(new), bool)])
+        self.known = np.concatenate([self.known, np.zeros((len(new), 3), np.int64)])
+        links, joined = [self.links], len(new) - len(alone)
+        for at in [*range(0, joined, 512), *range(joined, len(new))]:
+            self._learn(new[at : min(at + 512, joined) if at < joined else at + 1], some + at, links)
+        self.links = np.concatenate(links)
         find = self.number.__getitem__
-        return [list(map(find, c)) for c in cut]
-
-    def _encoded(self, new: list[str]) -> Iterator[tuple]:
-        for at in range(0, len(new), 1024):
-            some = new[at : at + 1024]
-            found = self.first.encode_batch([" " + c for c in some], add_special_tokens=False)
-            yield from zip(some, found, self.second.encode(some, return_type="proto", num_threads=1), strict=True)
-
-    def _learn(self, chunk: str, a, b, scores: Callable | None) -> None:
-        data = (" " + chunk).encode()
-        a_ids, b_ids = a.ids, [p.id for p in b.pieces]
-        a_ends = self._ends_of_a(data, a_ids, a.offsets)
-        b_ends = self._ends_of_b(b_ids, [p.end for p in b.pieces])
-        good = _stands(data, [self.a_bytes[i] for i in a_ids], a_ends) and _stands(data, [self.b_bytes[i] for i in b_ids], b_ends)
-        self.good.append(good)
-        if not good:
-            a_ids, b_ids, a_ends, b_ends = [], [], [], []
-        common = set(a_ends) & set(b_ends)
-        a_groups, b_groups = _grouped(a_ids, a_ends, common), _grouped(b_ids, b_ends, common)
-        links = [x[-1] << 32 | y[-1] for x, y in zip(a_groups, b_groups, strict=True)]
-        self.links.append(np.array(links, np.int64))
-        self.sizes.append((len(a_ids), len(b_ids), len(a_groups), len(links)))
-        self.groups.append(";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in zip(a_groups, b_groups, strict=True)))
-        self.scores.append(scores(self.links[-1]) if scores else (0, 0))
-
-    def _ends_of_a(self, data: bytes, ids: list[int], offsets: list[tuple[int, int]]) -> list[int]:
-        """Where A's tokens end in bytes: their offsets; within a character, the decoded bytes."""
-        if data.isascii():
-            return [end for _, end in offsets]
-        byte_at = [i for i, b in enumerate(data) if b & 0xC0 != 0x80] + [len(data)]
-        ends, start = [], 0
-        for k, (i, (_, end)) in enumerate(zip(ids, offsets, strict=True)):
-            cut_inside = k + 1 < len(offsets) and offsets[k + 1][0] < end
-            start = start + len(self.a_bytes[i]) if cut_inside else byte_at[end]
-            ends.append(start)
-        return ends
-
-    def _ends_of_b(self, ids: list[int], spans: list[int]) -> list[int]:
-        """Where B's tokens end in bytes: their spans, after the space; of byte-fallback tokens each is one byte."""
-        ends, start = [], 0
-        for i, end in zip(ids, spans, strict=True):
-            start = start + 1 if self.fallback[i] else 1 + end
-            ends.append(start)
-        return ends
-
-
-def _stands(data: bytes, tokens: list[bytes], ends: list[int]) -> bool:
-    """Do the tokens' bytes, one after another, give the text, each ending where it should?"""
-    if b"".join(tokens) != data:
-        return False
-    at = 0
-    for token, end in zip(tokens, ends, strict=True):
-        at += len(token)
-        if at != end:
-            raise ValueError(f"a token's span ends at byte {end}, its bytes at {at}")
-    return True
-
-
-def _grouped(ids: list[int], ends: list[int], common: set[int]) -> list[list[int]]:
-    groups: list[list[int]] = [[]]
-    for i, end in zip(ids, ends, strict=True):
-        groups[-1].append(i)
-        if end in common:
-            groups.append([])
-    return groups[:-1]
-
-
-def aligner(tokenizer_json: str, model: bytes, version: str) -> Aligner:
-    """The aligner that tasks of a Python worker share; ``version`` tells those with different scores apart."""
+        return [np.fromiter(map(find, c), np.int64, len(c)) for c in cut]
+
+    def linked(self, chunks: np.ndarray) -> np.ndarray:
+        """The linked pairs of some chunks, one after another; a chunk has as many as groups."""
+        n = self.known[chunks, 2]
+        ends = np.cumsum(n)
+        first = (np.cumsum(self.known[:, 2]) - self.known[:, 2])[chunks]
+        return self.links[np.repeat(first - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def _learn(self, new: list[str], number: int, links: list[np.ndarray]) -> None:
+        text = " " + " ".join(new)
+        data = text.encode()
+        a = self.first.encode(text, add_special_tokens=False)
+        b = self.second.encode(text[1:], return_type="offset_mapping") if text[1:] else {"ids": [], "offsets": []}
+        a_ids, b_ids = np.array(a.ids, np.int64), np.array(b["ids"], np.int64)
+        a_tokens, b_tokens = [self.a_bytes[i] for i in a.ids], [self.b_bytes[i] for i in b["ids"]]
+        if b"".join(a_tokens) != data or b"".join(b_tokens) != data:
+            if len(new) > 1:  # one of them is not given back
+                for k, chunk in enumerate(new):
+                    self._learn([chunk], number + k, links)
+                return
+            self.groups.append("")
+            return
+        byte_at = np.append(np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80), len(data))
+        spans = np.fromiter(chain.from_iterable(a.offsets), np.int64, 2 * len(a_ids)).reshape(-1, 2)
+        a_ends = refined(byte_at[spans[:, 1]], np.append(spans[1:, 0] < spans[:-1, 1], False), a_tokens)
+        spans = np.fromiter(chain.from_iterable(b["offsets"]), np.int64, 2 * len(b_ids)).reshape(-1, 2) + 1  # after the space
+        b_ends = refined(byte_at[spans[:, 1]], self.fallback[b_ids], b_tokens)
+        common = np.intersect1d(a_ends, b_ends)
+        of_a, of_b = np.searchsorted(a_ends, common), np.searchsorted(b_ends, common)
+        ends = np.cumsum([len(c.encode()) + 1 for c in new])
+        groups = np.searchsorted(common, ends, "right")
+        if not np.array_equal(common[groups - 1], ends):
+            raise ValueError("a chunk does not end with tokens of both")
+        links.append(a_ids[of_a] << 32 | b_ids[of_b])
+        rows = slice(number, number + len(new))
+        self.good[rows] = True
+        for column, found in enumerate((np.searchsorted(a_ends, ends, "right"), np.searchsorted(b_ends, ends, "right"), groups)):
+            self.known[rows, column] = np.diff(found, prepend=0)
+        name = self.names.__getitem__
+        first, second = list(map(name, a.ids)), list(map(name, b["ids"]))
+        i, j, made = 0, 0, []
+        for x, y in zip((of_a + 1).tolist(), (of_b + 1).tolist(), strict=True):
+            made.append((first[i] if x - i == 1 else ",".join(first[i:x])) + "|" + (second[j] if y - j == 1 else ",".join(second[j:y])))
+            i, j = x, y
+        cuts = groups.tolist()
+        self.groups += [";".join(made[x:y]) for x, y in zip([0, *cuts[:-1]], cuts, strict=True)]
+
+
+def refined(coarse: np.ndarray, inside: np.ndarray, tokens: list[bytes]) -> np.ndarray:
+    """Where tokens end: as the library's spans say; for those that end inside a character, by their decoded bytes."""
+    decoded = np.cumsum([len(t) for t in tokens])
+    ends = np.where(inside, decoded, coarse)
+    if not np.array_equal(ends, decoded):
+        raise ValueError("the span of a token is not where its bytes are")
+    return ends
+
+
+def aligner(tokenizer_json: str, model: bytes) -> Aligner:
+    """The aligner that the tasks of a Python worker share."""
     kept = sys.modules.setdefault("_tableops_aligners", ModuleType("_tableops_aligners")).__dict__
-    name = f"of_{zlib.crc32(tokenizer_json.encode())}_{zlib.crc32(model)}_{version}"
+    name = f"of_{zlib.crc32(tokenizer_json.encode())}_{zlib.crc32(model)}"
     if name not in kept:
-        kept.clear()
         kept[name] = Aligner(tokenizer_json, model)
-    elif len(kept[name].good) > REMEMBERED:
-        kept[name].clear()
     return kept[name]
 
 
-def links(docs: DataFrame, tokenizer_json: str, model: bytes, text: str = "text") -> DataFrame:
-    """How often each pair of ids is linked in all texts: pair (A's id shifted by 32 bits, plus B's), n."""
+def digests(docs: DataFrame, tokenizer_json: str, model: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One pass over all texts. A row for each document: doc_id, uid, its sizes and groups_sha256, and its links as ``pairs`` and
+    ``times`` (sorted distinct pairs, each as the difference from the one before, and how often each stands
+    there, as packed numbers); and rows that count links (``pair``, ``n``) for some documents together.
+    """
+    kind = docs.schema[doc_id].dataType.simpleString()
+    names = ["n_a", "n_b", "n_groups"]
+    schema = f"doc_id {kind}, uid long, {', '.join(f'{n} long' for n in names)}, groups_sha256 string, pairs binary, times binary, pair long, n long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seen = aligner(tokenizer_json, model), np.zeros(0, np.int64)
+        fields: list[pa.Field] = []
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = aligner(tokenizer_json, model, ""), np.zeros(0, np.int64)
+        def made(columns: dict[str, pa.Array]) -> pa.RecordBatch:
+            n = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in fields], schema=pa.schema(fields))
 
         def counted() -> pa.RecordBatch:
             used = np.flatnonzero(seen)
-            found = [own.links[i] for i in used]
-            pairs, place = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_inverse=True)
-            n = np.zeros(len(pairs), np.int64)
-            np.add.at(n, place, np.repeat(seen[used], [len(x) for x in found]))
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], names=["pair", "n"])
+            pairs, place = np.unique(own.linked(used), return_inverse=True)
+            n = np.bincount(place, np.repeat(seen[used], own.known[used, 2]), minlength=len(pairs)).astype(np.int64)
+            return made({"pair": pa.array(pairs), "n": pa.array(n)})
 
         for batch in batches:
+            fields[:] = [pa.field("doc_id", batch.schema.field("doc_id").type), *[pa.field(n, pa.int64()) for n in ("uid", *names)], pa.field("groups_sha256", pa.string())]
+            fields += [pa.field("pairs", pa.binary()), pa.field("times", pa.binary()), pa.field("pair", pa.int64()), pa.field("n", pa.int64())]
             for part in slices(batch, "text", 1 << 20):
                 if len(own.good) > REMEMBERED:
-                    yield counted()
+                    if seen.any():
+                        yield counted()
                     own.clear()
                     seen = np.zeros(0, np.int64)
-                texts = [t for t in part.column("text").to_pylist() if t]
+                texts = [t or "" for t in part.column("text").to_pylist()]
                 rows = own.numbers(texts)
-                if not all(own.good):
-                    rows = [r for r in rows if all(map(own.good.__getitem__, r))]
+                good = [bool(t) and own.good[r].all() for t, r in zip(texts, rows, strict=True)]
                 seen = np.concatenate([seen, np.zeros(len(own.good) - len(seen), np.int64)])
-                for r in rows:
-                    np.add.at(seen, r, 1)
-        yield counted()
+                if any(good):
+                    seen += np.bincount(np.concatenate([r for r, g in zip(rows, good, strict=True) if g]), minlength=len(seen))
+                sums, shas, pairs, times = np.zeros((len(rows), 3), np.int64), [], [], []
+                for k, (row, fine) in enumerate(zip(rows, good, strict=True)):
+                    shas.append(sha256(";".join(map(own.groups.__getitem__, row.tolist())).encode()).hexdigest() if fine else "")
+                    found, n = np.unique(own.linked(row) if fine else own.links[:0], return_counts=True)
+                    sums[k] = own.known[row].sum(axis=0) * fine
+                    pairs.append(np.diff(found, prepend=0).astype("<i8").tobytes())
+                    times.append(n.astype("<u4").tobytes())
+                yield made({"doc_id": part.column("doc_id"), "uid": part.column("uid"), "groups_sha256": pa.array(shas, pa.string()), "pairs": pa.array(pairs, pa.binary()), "times": pa.array(times, pa.binary())} | {c: pa.array(sums[:, j]) for j, c in enumerate(names)})
+        if seen.any():
+            yield counted()
 
-    return docs.select(docs[text].alias("text")).mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("uid"))
+    return rows.mapInArrow(run, schema)
+
+
+def unpacked(pairs: bytes, times: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(np.frombuffer(pairs, "<i8")), np.frombuffer(times, "<u4").astype(np.int64)
 
 
 def aligned(docs: DataFrame, tokenizer_json: str, model: bytes, doc_id: str = "doc_id", text: str = "text", most_sent: int = MOST_SENT) -> DataFrame:
     """Per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
     ``n_best`` counts the links whose pair is the most frequent one of its B id, ``count_sum`` adds up the
-    frequencies of all links of the document.
+    frequencies of all links of the document. A group ends with one token of each, so it has one link.
     """
+    found = written(digests(docs, tokenizer_json, model, doc_id, text), "alignments")
+    counts = found.where(F.col("pair").isNotNull()).groupBy("pair").agg(F.sum("n").alias("n"))
     best = F.max("n").over(Window.partitionBy(F.col("pair").bitwiseAND(0xFFFFFFFF)))  # one row for each id of A at most
-    counts = written(links(docs, tokenizer_json, model, text).withColumn("best", F.col("n") == best), "links")
-    sent = None
-    if counts.count() <= most_sent:
-        rows = counts.toPandas().sort_values("pair")
-        sent = docs.sparkSession.sparkContext.broadcast(tuple(rows[c].to_numpy() for c in ("pair", "n", "best")))
-    version = "looked_up_" + counts.inputFiles()[0].rsplit("/", 2)[-2] if sent and counts.inputFiles() else ""
-    names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-
-    def look_up(pairs: np.ndarray) -> tuple[int, int]:
-        known, n, top = sent.value
-        at = np.searchsorted(known, pairs)
-        return int(top[at].sum()), int(n[at].sum())
+    counts = written(counts.withColumn("best", F.col("n") == best), "links")
+    rows = found.where(F.col("uid").isNotNull()).drop("pair", "n")
+    names = ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256"]
+    last = ["doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), F.coalesce("n_best", F.lit(0)).alias("n_best"), F.coalesce("count_sum", F.lit(0)).alias("count_sum"), "groups_sha256"]
+    kind = docs.schema[doc_id].dataType.simpleString()
+    if counts.count() > most_sent:
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = aligner(tokenizer_json, model, version)
-        for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                if len(own.good) > REMEMBERED:
-                    own.clear()
-                rows = own.numbers([t or "" for t in part.column("text").to_pylist()], look_up if sent else None)
-                sums, digests, found = np.zeros((len(rows), 6), np.int64), [], []
-                known = np.array([(*s, *c) for s, c in zip(own.sizes, own.scores, strict=True)], np.int64).reshape(-1, 6) if rows else sums
-                for k, (row, full) in enumerate(zip(rows, part.column("text").to_pylist(), strict=True)):
-                    if full and all(map(own.good.__getitem__, row)):
-                        sums[k] = known[row].sum(axis=0)
-                        digests.append(sha256(";".join(map(own.groups.__getitem__, row)).encode()).hexdigest())
-                        found.append(np.unique(np.concatenate([own.links[i] for i in row]), return_counts=True) if not sent else None)
-                    else:
-                        digests.append("")
-                        found.append(None)
-                made = [part.column("doc_id"), part.column("uid"), *[pa.array(sums[:, j]) for j in range(6)], pa.array(digests, pa.string())]
-                if not sent:
-                    made.append(pa.array([[] if x is None else [{"pair": int(p), "m": int(m)} for p, m in zip(*x, strict=True)] for x in found], pa.list_(pa.struct([("pair", pa.int64()), ("m", pa.int64())]))))
-                yield pa.RecordBatch.from_arrays(made, names=["doc_id", "uid", *names, "groups_sha256", *["pairs"] * (not sent)])
+        def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for uid, *packed in zip(*[batch.column(c).to_pylist() for c in ("uid", "pairs", "times")], strict=True):
+                    pairs, n = unpacked(*packed)
+                    yield pa.RecordBatch.from_arrays([pa.array([uid] * len(n), pa.int64()), pa.array(pairs, pa.int64()), pa.array(n)], names=["uid", "pair", "m"])
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("uid"))
-    schema = f"doc_id {kind}, uid long, {', '.join(f'{n} long' for n in names)}, groups_sha256 string"
-    if sent:
-        return rows.mapInArrow(run, schema).drop("uid")
-    rows = written(rows.mapInArrow(run, schema + ", pairs array<struct<pair: long, m: long>>"), "aligned")
-    pairs = rows.select("uid", F.inline("pairs")).join(counts, "pair")
-    sums = pairs.groupBy("uid").agg(F.sum(F.when(F.col("best"), F.col("m")).otherwise(0)).alias("n_best"), F.sum(F.col("m") * F.col("n")).alias("count_sum"))
-    rows = rows.drop("n_best", "count_sum", "pairs").join(sums, "uid", "left")
-    return rows.select("doc_id", *names[:4], F.coalesce("n_best", F.lit(0)).alias("n_best"), F.coalesce("count_sum", F.lit(0)).alias("count_sum"), "groups_sha256")
+        pairs = rows.mapInArrow(distinct, "uid long, pair long, m long").join(counts, "pair")
+        sums = pairs.groupBy("uid").agg(F.sum(F.when(F.col("best"), F.col("m")).otherwise(0)).alias("n_best"), F.sum(F.col("m") * F.col("n")).alias("count_sum"))
+        return rows.drop("pairs", "times").join(sums, "uid", "left").select(*last)
+
+    table = counts.toPandas().sort_values("pair")
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(table[c].to_numpy() for c in ("pair", "n", "best")))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, n, top = sent.value
+        for batch in batches:
+            sums = np.zeros((batch.num_rows, 2), np.int64)
+            for k, packed in enumerate(zip(batch.column("pairs").to_pylist(), batch.column("times").to_pylist(), strict=True)):
+                pairs, times = unpacked(*packed)
+                at = np.searchsorted(known, pairs)
+                sums[k] = times[top[at]].sum(), times @ n[at]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(sums[:, 0]), pa.array(sums[:, 1])], names=[*names, "n_best", "count_sum"])
+
+    schema = f"doc_id {kind}, n_a long, n_b long, n_groups long, groups_sha256 string, n_best long, count_sum long"
+    return rows.mapInArrow(look_up, schema).select(*last)
