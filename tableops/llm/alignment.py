@@ -42,7 +42,7 @@ from tableops.llm.texts import slices
 from tableops.plans.scratch import written
 
 #: Distinct chunks a worker remembers before it starts anew (results don't depend on it).
-REMEMBERED = 500_000
+REMEMBERED = 1_200_000
 #: Pairs of ids whose counts are sent to the tasks at most: 17 bytes each.
 MOST_SENT = 4_000_000
 SPACE = "▁"
@@ -153,7 +153,7 @@ class Aligner:
         a_ends = refined(byte_at[spans[:, 1]], np.append(spans[1:, 0] < spans[:-1, 1], False), a_tokens)
         spans = np.fromiter(chain.from_iterable(b["offsets"]), np.int64, 2 * len(b_ids)).reshape(-1, 2) + 1  # after the space
         b_ends = refined(byte_at[spans[:, 1]], self.fallback[b_ids], b_tokens)
-        common = np.intersect1d(a_ends, b_ends)
+        common = np.intersect1d(a_ends, b_ends, assume_unique=True)
         of_a, of_b = np.searchsorted(a_ends, common), np.searchsorted(b_ends, common)
         ends = np.cumsum([len(c.encode()) + 1 for c in new])
         groups = np.searchsorted(common, ends, "right")
