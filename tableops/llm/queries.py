@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableops.llm import alignment, decontaminate, html_text, jaccard, language, manifest, neighbours, packing, quality, token_files, toxicity, urls
+from tableops.llm import alignment, decontaminate, html_text, jaccard, language, manifest, neighbours, packing, quality, repeats, token_files, toxicity, urls
 from tableops.llm.frames import held_out
 from tableops.plans.scratch import scratch_path
 
@@ -106,6 +106,11 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "similarity", "start", "words")
 
 
+@query
+def op11_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, folder, "documents"))
+
+
 @query
 def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
