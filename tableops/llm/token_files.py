@@ -6,7 +6,7 @@ stripes; every stripe has row indexes, and Bloom filters on the document id, so
 stripes and row groups by metadata and many readers share a file by stripes.
 
 The documents are dealt out by ranges of their ids and sorted within each; the text travels, not the ids,
-which are made where they are written. A part knows its number, so that a small table with the
+which are made where they are written; there are as many ranges as their bytes ask for. A part knows its number, so that a small table with the
 number of ids of each part gives every document its place in the whole.
 
 Defined results: a missing or empty text is the end id alone. A missing id sorts first. Rows that
@@ -23,8 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tableops.llm.frames import sent_if_small, small_batches
 from tableops.llm.texts import slices
 from tableops.llm.tokens import encoder, lists
+from tableops.plans.scratch import written
 
 #: Options of the ORC writer: rows of a row group, Bloom filters, bytes of a stripe.
 OPTIONS = {
@@ -37,6 +39,10 @@ OPTIONS = {
 SCHEMA = "doc_id long, part int, place long, start long, n_tokens long, ids array<int>"
 
 
+#: Bytes of text that a task encodes and writes, about.
+PART_BYTES = 256 << 20
+
+
 def write(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, parts: int | None = None, doc_id: str = "doc_id", text: str = "text") -> None:
     """Encode all texts and write them to ORC files under ``path``."""
 
@@ -53,8 +59,11 @@ def write(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, parts: i
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "place", "start", "n_tokens", "ids"])
                 start, place = start + int(n.sum()), place + len(n)
 
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not parts:
+        total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
     dealt = texts.withColumn("tie", F.xxhash64("text")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "tie")
     ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").select("doc_id", "text")
     ordered.mapInArrow(run, SCHEMA).write.options(**OPTIONS).orc(path)
@@ -66,6 +75,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    totals = sent_if_small(written(totals, "totals"))  # one row for each file part
     return rows.join(totals, "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids")
 
 
