@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tableops.llm.frames import small_batches
 from tableops.llm.texts import slices
 from tableops.llm.tokens import crc32, encoder, lists
 from tableops.plans.scratch import written
@@ -63,6 +64,7 @@ def cut(docs: DataFrame, tokenizer_json: str, end_id: int, capacity: int = CAPAC
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns + [lists(own)] * with_ids, names=[f.split()[0] for f in fields.split(", ")])
 
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return texts.mapInArrow(run, fields)
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableops.llm.frames import sample_ids, with_text_columns
+from tableops.llm.frames import forget_tokens, sampled_rows, with_text_columns
 from tableops.llm.texts import flat, mixed, slices, spans, words
 
 BITS = 16
@@ -57,6 +57,7 @@ class Fitting:
     """Parameters of the scorer's fit; ``l1`` counts per training row."""
 
     most_rows: int = 8_192
+    most_bytes: int = 1 << 20
     epochs: int = 3
     alpha: float = 2.0
     beta: float = 1.0
@@ -168,7 +169,7 @@ def _vote_counts(docs: DataFrame, text: str) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(PATTERNS, np.int64)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, 1 << 20):
                 found, n = patterns(part.column(text))
                 sums += np.bincount(found[n > 0], minlength=PATTERNS)
         seen = np.flatnonzero(sums)
@@ -185,12 +186,13 @@ def fit(docs: DataFrame, how: Fitting | None = None, doc_id: str = "doc_id", tex
     how = how or Fitting()
     good, rates, share = label_model(_vote_counts(docs, text))
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    chosen = rows.join(F.broadcast(sample_ids(rows, "id", how.most_rows)), "id")  # at most most_rows ids
+    chosen = sampled_rows(rows, how.most_rows, how.most_bytes)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: list[tuple[np.ndarray, np.ndarray, float]] = []
+        forget_tokens()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 votes, n = patterns(part.column("text"))
                 places, of, total = features(part.column("text"))
                 key, count = np.unique(of << BITS | places, return_counts=True)

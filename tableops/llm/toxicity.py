@@ -5,13 +5,13 @@ catches inflected forms), pairs of neighbouring words and pairs one word apart,
 2^20 places. Per-coordinate learning rates and an L1 penalty leave a few hundred weights, which
 is what the scoring tasks are sent.
 
-Fitting takes at most ``most_rows`` labelled rows (those with the smallest id hashes), read in
-one task in that order, so that a fit is repeatable. Everything else covers all rows.
+Fitting takes at most ``most_rows`` different labelled rows of up to ``most_bytes`` each (those with the
+smallest hashes), read in one task in that order, so that a fit is repeatable. Everything else covers all rows.
 
 Defined results: an empty or missing text has no features and scores the model's base rate. A
 label that is missing is left out; where an id is labelled twice, toxic wins. Documents with the
-same id are scored one by one. Without labels of both kinds, every score is the share of toxic
-labels (0 without labels). Other columns, whatever their names, are passed through or ignored.
+same id are scored one by one, and equal rows teach once. Without labels of both kinds, every score is the share of toxic
+labels (0 without labels). Other columns are passed through; one with the name of the new column is refused.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableops.llm.frames import free_name, sample_ids, with_text_columns
+from tableops.llm.frames import forget_tokens, free_name, sampled_rows, small_batches, with_text_columns
 from tableops.llm.texts import MARKS, distinct, flat, mixed, ngrams, slices, words
 
 STEM = 5
@@ -37,6 +37,7 @@ class Fitting:
     """Parameters of a fit; ``l1`` counts per training row."""
 
     most_rows: int = 12_288
+    most_bytes: int = 1 << 20
     epochs: int = 4
     alpha: float = 1.0
     beta: float = 1.0
@@ -102,13 +103,15 @@ def fit(docs: DataFrame, labels: DataFrame, how: Fitting | None = None, doc_id:
     """Learn from the rows of ``docs`` that ``labels`` marks; both hold only what may be learned from."""
     how = how or Fitting()
     marks = labels.where(F.col(doc_id).isNotNull() & F.col(toxic).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(F.col(toxic).cast("int")).alias("mark"))
-    marks = marks.join(sample_ids(labels.where(F.col(toxic).isNotNull()).join(docs.select(doc_id), doc_id, "left_semi"), doc_id, how.most_rows).withColumnRenamed(doc_id, "id"), "id")
-    chosen = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(marks), "id")  # at most most_rows ids
+    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    small_batches(docs.sparkSession)
+    chosen = sampled_rows(rows, how.most_rows, how.most_bytes, marks)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, marks = [], []
+        forget_tokens()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 places, of, n = features(part.column("text"))
                 key = distinct((of << BITS) | places)
                 rows += [x.astype(np.int32) for x in np.split(key & ((1 << BITS) - 1), np.searchsorted(key >> BITS, np.arange(1, n)))]

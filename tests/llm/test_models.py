@@ -106,3 +106,36 @@ def test_held_out_rows_of_the_test_tables(spark):
     assert toxic.where("toxic = 0 and predicted = 1").count() == 0 and toxic.where("toxic = predicted").count() >= 0.85 * toxic.count()
     good = op9_quality(spark, FOLDER).join(labels, "doc_id")
     assert good.where("quality = predicted").count() >= 0.95 * good.count()
+
+
+def test_language_rejects_what_it_never_learned(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    model = language.fit(docs.where(~held_out(F.col("doc_id"))))
+    foreign = ["Это русский текст о погоде и природе", "日本語の文章です、東京へ行きました", "xqzk vwpj kqxz zzqx jjwv", "ภาษาไทยเป็นภาษาที่ใช้", "0x1f 0x2e", "{}"]
+    odd = spark.createDataFrame([(i, t) for i, t in enumerate(foreign)], "doc_id long, text string")
+    assert language.of_languages(odd, model).count() == 0
+    clean = docs.where(held_out(F.col("doc_id")))
+    assert language.of_languages(clean, model).count() >= 0.99 * clean.count()
+    scores = [r["score"] for r in language.predicted(clean, model, keep=["doc_id"]).collect()]
+    assert len({round(s, 4) for s in scores}) > 20
+
+
+@pytest.mark.parametrize("module", [language, quality, toxicity])
+def test_learning_takes_a_bounded_number_of_rows(spark, monkeypatch, module):
+    from tableops.llm.frames import sampled_rows
+
+    one_id = spark.range(500).select(F.lit(7).cast("long").alias("id"), F.concat(F.lit("text "), F.col("id") % 100).alias("text"))
+    marks = spark.createDataFrame([(7, 1)], "id long, mark int")
+    for found in (sampled_rows(one_id, 20, 100), sampled_rows(one_id, 20, 100, marks)):
+        rows = found.collect()
+        assert len(rows) == len({r["text"] for r in rows}) == 20
+    assert sampled_rows(one_id, 20, 3).count() == 0
+    assert module.Fitting().most_bytes == 1 << 20
+
+
+def test_names_that_are_taken_are_refused(spark):
+    docs = spark.createDataFrame([(1, "some text", "en", 0.5)], "doc_id long, text string, lang string, score double")
+    with pytest.raises(ValueError, match="score"):
+        language.predicted(docs, language.fit(docs))
+    with pytest.raises(ValueError, match="score"):
+        quality.scored(docs, quality.fit(docs))
