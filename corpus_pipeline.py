@@ -3,11 +3,16 @@
 Each stage gets what the stage before it kept. The first four return the columns of ``documents``:
 
 1. ``toxicity`` drops documents that score 0.7 or more.
-2. ``language`` drops documents without a letter and those of no learned language (likeliest one below 0.35).
+2. ``language`` drops documents without a letter and those that score below 0.5 in every learned language: text in other
+   scripts and languages, junk, data.
 3. ``near_copies`` keeps one document of each group that is linked by five-word shingles (0.8 or more).
 4. ``decontamination`` drops documents that hold a benchmark item.
 5. ``packing`` places the token ids of the rest in sequences of 4,096.
 
+Nulls, repeated rows, empty tables and further columns are treated as the stages' operators say: a missing or
+empty text is clean, has no language and goes in stage 2; equal rows are copies of each other, of which one stays; an
+empty table passes through all stages; columns beside doc_id and text are carried along as they are.
+
 Models are fitted on the stage's own input, on the two thirds of ids that are not held out.
 """
 
@@ -29,7 +34,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def of_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language.of_languages(docs, language.fit(docs.where(~held_out(F.col("doc_id")))), least=0.35)
+    return language.of_languages(docs, language.fit(docs.where(~held_out(F.col("doc_id")))), least=0.5)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
