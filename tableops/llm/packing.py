@@ -33,22 +33,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tableops.llm.frames import small_batches
+from tableops.llm.frames import forget_tokens, small_batches
 from tableops.llm.texts import slices
-from tableops.llm.tokens import crc32, encoder, lists
+from tableops.llm.tokens import REMEMBERED, crc32, encoder, lists
 from tableops.plans.scratch import written
 
 CAPACITY = 4096
 
 
-def cut(docs: DataFrame, tokenizer_json: str, end_id: int, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def cut(docs: DataFrame, tokenizer_json: str, end_id: int, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """The pieces of all documents: id, piece, start, length, ids_crc32, task, rank within task and length (and ids)."""
     fields = "id long, piece int, start long, length int, ids_crc32 long, task int, rank long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, encode, ranks = TaskContext.get().partitionId(), encoder(tokenizer_json), np.zeros(capacity + 1, np.int64)
+        task, encode, ranks = TaskContext.get().partitionId(), encoder(tokenizer_json, remembered), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 rows, own = [], []
@@ -140,7 +140,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return runs
 
 
-def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def packed(pieces: DataFrame, capacity: int = CAPACITY, forget: bool = False) -> DataFrame:
     """Written pieces with their ``sequence_id`` and ``offset``; the work columns dropped.
 
     Each run of the plan ends a length or a block of gaps, so there are a few per length; they are
@@ -156,6 +156,8 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     names = [c for c in placed.columns if c != "rank"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if forget:
+            forget_tokens()
         runs = sent.value
         firsts = runs[:, 0] << 48 | runs[:, 1]
         for batch in batches:
@@ -171,9 +173,12 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return placed.mapInArrow(run, schema)
 
 
-def packed_documents(docs: DataFrame, tokenizer_json: str, end_id: int, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """Where each piece of each document is placed; with ``with_ids`` also its token ids."""
-    return packed(written(cut(docs, tokenizer_json, end_id, capacity, doc_id, text, with_ids), "pieces"), capacity)
+def packed_documents(docs: DataFrame, tokenizer_json: str, end_id: int, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False, remembered: int = REMEMBERED, forget: bool = False) -> DataFrame:
+    """Where each piece of each document is placed; with ``with_ids`` also its token ids.
+
+    A worker remembers ``remembered`` words of the tokenizer at most, and with ``forget`` none once they are encoded.
+    """
+    return packed(written(cut(docs, tokenizer_json, end_id, capacity, doc_id, text, with_ids, remembered), "pieces"), capacity, forget)
 
 
 def sequences(placed: DataFrame) -> DataFrame:

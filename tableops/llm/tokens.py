@@ -44,20 +44,20 @@ def separable(tokenizer_json: str) -> bool:
     return plain and drops and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
 
 
-def encoder(tokenizer_json: str) -> Callable[[list[str]], Iterator[np.ndarray]]:
+def encoder(tokenizer_json: str, remembered: int = REMEMBERED) -> Callable[[list[str]], Iterator[np.ndarray]]:
     """A function from texts to their ids (uint32 arrays), without special tokens.
 
     Tasks that a Python worker runs one after another share it, and what it remembers; functions
     are sent to workers by value, so it is kept under a name of its own.
     """
     kept = sys.modules.setdefault("_tableops_encoders", ModuleType("_tableops_encoders")).__dict__
-    name = f"of_{zlib.crc32(tokenizer_json.encode())}_{len(tokenizer_json)}"
+    name = f"of_{zlib.crc32(tokenizer_json.encode())}_{len(tokenizer_json)}_{remembered}"
     if name not in kept:
-        kept[name] = _encoder(tokenizer_json)
+        kept[name] = _encoder(tokenizer_json, remembered)
     return kept[name]
 
 
-def _encoder(tokenizer_json: str) -> Callable[[list[str]], Iterator[np.ndarray]]:
+def _encoder(tokenizer_json: str, remembered: int) -> Callable[[list[str]], Iterator[np.ndarray]]:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
@@ -113,7 +113,7 @@ def _encoder(tokenizer_json: str) -> Callable[[list[str]], Iterator[np.ndarray]]
         used = set().union(*(x for x in split if x))
         new = used - known.keys()
         if new:
-            if len(known) + 2 * len(new) > REMEMBERED:
+            if len(known) + 2 * len(new) > remembered:
                 known.clear()
                 new = used
             learn(new)
