@@ -46,7 +46,7 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    placed = packing.packed_documents(docs, tokenizer_json(), end_id=1)
+    placed = packing.packed_documents(docs, tokenizer_json(), end_id=1, remembered=300_000, forget=True)
     return placed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
