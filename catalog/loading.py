@@ -1,14 +1,30 @@
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from catalog.registry import query
 from tableops import null_tokens, numeric_cells, promote_numeric, read_csv, read_exports, write_csv
 from tableops.operators import dedupe
-from tableops.plans.scratch import scratch_path
+from tableops.plans.scratch import scratch_path, written
 from tableops.sources.csv import ORDER
 
 MONEY = "decimal(18,2)"
 
 
+@contextmanager
+def split_size(spark, size):
+    """Read files in splits of about ``size`` bytes for a while."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        spark.conf.set(names[0], str(size))
+        spark.conf.set(names[1], "0")
+        yield
+    finally:
+        for n in names:
+            spark.conf.set(n, before[n])
+
+
 def typed_in(t):
     """Customers as somebody might have typed them: all cells are text."""
     balance = F.replace(F.col("c_acctbal").cast(MONEY).cast("string"), F.lit("."), F.lit(","))
@@ -73,6 +89,31 @@ def csv_long_cells_in_splits(t):
     return back.select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars")
 
 
+@query("SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents")
+def csv_one_long_file_in_splits(t):
+    """One file with line breaks in most records, read by many tasks: splits are far smaller than the file."""
+    path = scratch_path(t.spark, "csv")
+    write_csv(t("documents").coalesce(1), path)
+    chars = t("documents").agg(F.sum("n_chars")).first()[0] or 0
+    with split_size(t.spark, max(1 << 16, chars // 64)):
+        back = read_csv(t.spark, path)
+        kept = written(back.select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars"), "long-file")
+    return kept
+
+
+@query("""
+    SELECT doc_id AS "doc id", replace(text, chr(10), chr(13) || chr(10)) = text AS same_breaks, n_chars FROM documents
+""")
+def csv_two_line_headers(t):
+    """Headers and cells over several lines, with carriage returns in the cells."""
+    path = scratch_path(t.spark, "csv")
+    crlf = F.replace("text", F.lit("\n"), F.lit("\r\n"))
+    write_csv(t("documents").select(F.col("doc_id").alias("doc\nid"), crlf.alias("the\ntext"), "n_chars"), path)
+    back = read_csv(t.spark, path).withColumnRenamed("doc\nid", "doc_id").join(t("documents").select("doc_id", "text"), "doc_id")
+    same = F.col("the\ntext") == F.replace("text", F.lit("\n"), F.lit("\r\n"))
+    return back.where(same).select(F.col("doc_id").alias("doc id"), (F.col("the\ntext") == F.col("text")).alias("same_breaks"), "n_chars")
+
+
 @query("SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents")
 def csv_long_cells(t):
     """Cells with line breaks, quotes and separators in them."""

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import csv
 import re
 import warnings
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from tableops.columns import col, free_name
 from tableops.functions import as_text
 from tableops.sources.ingest import null_tokens, promote_numeric
+from tableops.sources.records import ends_inside, records, split_states
 
 #: Columns that give the place of a row: its file, the split of the file, a number that rises within the split.
 ORDER = ("_file", "_split", "_row")
@@ -73,51 +74,6 @@ def needs_multi_line(spark: SparkSession, path: str | Sequence[str]) -> bool:
     return survey(spark, path)[1]
 
 
-def ends_inside(line: str, inside: bool, sep: str) -> bool:
-    """Does a line end within a quoted cell, if it starts within one or not?"""
-    at = 0
-    while True:
-        if not inside and line[at : at + 1] == '"':
-            inside, at = True, at + 1
-        if inside:
-            at = line.find('"', at)
-            while at >= 0 and line[at + 1 : at + 2] == '"':
-                at = line.find('"', at + 2)
-            if at < 0:
-                return True
-            inside = False
-        at = line.find(sep, at)
-        if at < 0:
-            return False
-        at += len(sep)
-
-
-def refuse_open_quotes(spark: SparkSession, path: str | Sequence[str], sep: str) -> None:
-    """Raise, naming the files, if a quoted cell does not close: Spark would take the rest of the file for it.
-
-    One pass over the lines with quotes: each split tells where it ends if it starts inside or outside a cell.
-    """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
-    lines = lines.where(F.contains("value", F.lit('"')))
-
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict[tuple[str, int], tuple[bool, bool]] = {}
-        for batch in batches:
-            for line, file, start in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                out, inn = state.get((file, start), (False, True))
-                line = line.removeprefix(BOM)
-                out_end = ends_inside(line, out, sep)
-                state[file, start] = out_end, out_end if inn == out else ends_inside(line, inn, sep)
-        made = [[f for f, _ in state], [s for _, s in state], [o for o, _ in state.values()], [i for _, i in state.values()]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, (pa.string(), pa.int64(), pa.bool_(), pa.bool_()), strict=True)], names=["file", "start", "out", "inn"])
-
-    splits = lines.mapInArrow(ends, "file string, start long, out boolean, inn boolean")
-    files = splits.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("start", "out", "inn"))).alias("splits"))
-    last = F.aggregate("splits", F.lit(False), lambda inside, x: F.when(inside, x["inn"]).otherwise(x["out"]))
-    if found := [r["file"] for r in files.where(last).select("file").orderBy("file").limit(3).collect()]:
-        raise ValueError(f"a quoted cell is not closed before the end of the file: {found}")
-
-
 def normalize_header(cells: Sequence[str | None], strip: bool = True) -> list[str]:
     """Column names from header cells: blanks get a place name, repeats a number."""
     names: list[str] = []
@@ -137,15 +93,25 @@ def normalize_header(cells: Sequence[str | None], strip: bool = True) -> list[st
     return names
 
 
-def read_header(spark: SparkSession, path: str | Sequence[str], sep: str, multi_line: bool = False) -> list[str | None]:
-    """Cells of the first record, as they stand in the file."""
-    reader = spark.read.options(**READ_OPTIONS).option("sep", sep).option("multiLine", multi_line)
-    first = reader.csv(path).first()
+def read_header(spark: SparkSession, path: str | Sequence[str], sep: str) -> list[str | None]:
+    """Cells of the first line, as they stand in the file."""
+    first = spark.read.options(**READ_OPTIONS).option("sep", sep).csv(path).first()
     if first is None:
         raise ValueError(f"no data in {path!r}")
     return list(first)
 
 
+def read_headers(spark: SparkSession, path: str | Sequence[str], sep: str, states: DataFrame) -> list[str]:
+    """Up to three distinct first records of the files, whose cells may span lines."""
+    for whole in (False, True):
+        firsts = records(spark, path, sep, states, first_split=not whole).where((F.col("start") == 0) & (F.col("n") == 0))
+        cut_off = F.bool_or(ends_inside(F.col("record"), sep, False)).over(Window.partitionBy())
+        found = firsts.select("record").distinct().select("record", cut_off.alias("cut")).orderBy("record").limit(3).collect()
+        if not any(r["cut"] for r in found):  # else a header goes on beyond the first split
+            break
+    return [r["record"] for r in found]
+
+
 def read_cells(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -154,26 +120,34 @@ def read_cells(
     spans: bool = False,
     source: str | None = None,
     ordered: bool = False,
+    states: DataFrame | None = None,
 ) -> DataFrame:
     """All cells as text under the given names, headers skipped, nothing inferred.
 
-    ``spans`` says that cells hold line breaks: Spark then reads each file in one task, whatever
-    its size, so deliver such data in files of a size that suits a task; a quoted cell that does not close is
-    refused, with the name of its file. ``source`` names a column for
+    ``spans`` says that cells hold line breaks: records are then put together from the splits of a file (see
+    ``records``), in as many tasks as without, and ``states`` tells how the splits begin; a quoted cell that does
+    not close is refused, with the name of its file. ``source`` names a column for
     the file a row comes from. A row with a cell to the right of the header ends the query with an error that
     names the file; rows that are too short are filled up with missing cells.
     """
-    if spans:
-        refuse_open_quotes(spark, path, sep)
     beyond = free_name("_beyond_header", names)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, beyond]])
-    reader = spark.read.schema(schema).options(**READ_OPTIONS)
-    cells = reader.options(sep=sep, header=True, enforceSchema=True, multiLine=spans).csv(path)
-    file = F.col("_metadata.file_path")
+    if spans:
+        found = records(spark, path, sep, states).where((F.col("start") > 0) | (F.col("n") > 0))
+        ddl = ", ".join(f"c{i} string" for i in range(len(names) + 1))
+        record = F.from_csv("record", ddl, {**READ_OPTIONS, "sep": sep, "multiLine": "true"})
+        place = free_name("_place", [*names, beyond])
+        columns = [F.col(f"cells.c{i}").alias(n) for i, n in enumerate([*names, beyond])]
+        cells = found.select(record.alias("cells"), F.struct("file", "start", "n").alias("at")).select(*columns, F.col("at").alias(place))
+        file, split, row = (F.col(place)[k] for k in ("file", "start", "n"))
+    else:
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, beyond]])
+        reader = spark.read.schema(schema).options(**READ_OPTIONS)
+        cells = reader.options(sep=sep, header=True, enforceSchema=True).csv(path)
+        file, split, row = F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
     start = F.concat_ws(sep, *[F.left(F.coalesce(col(n), F.lit("")), F.lit(40)) for n in names[:3]])
     told = F.concat(F.lit("a row has more cells than the header: "), file, F.lit(", row starting "), start)
     fits = F.when(col(beyond).isNotNull(), F.raise_error(told).cast("boolean")).otherwise(F.lit(True))
-    place = [file.alias(ORDER[0]), F.col("_metadata.file_block_start").alias(ORDER[1]), F.monotonically_increasing_id().alias(ORDER[2])]
+    place = [file.alias(ORDER[0]), split.alias(ORDER[1]), row.alias(ORDER[2])]
     kept = [col(n) for n in names] + ([file.alias(source)] if source else []) + (place if ordered else [])
     return cells.filter(fits).select(*kept)
 
@@ -189,7 +163,7 @@ def read_csv(
 ) -> DataFrame:
     """Read files of one layout: header, missing-value words, numeric columns.
 
-    ``sep=None`` looks at the first lines. ``multi_line="auto"`` looks for cells
+    Line breaks within quoted cells stay as they are. ``sep=None`` looks at the first lines. ``multi_line="auto"`` looks for cells
     that span lines. Files whose headers differ are refused (see :func:`read_exports`), and so are rows
     with more cells than the header. ``promote`` turns a column into numbers (or
     booleans) when every cell that is not missing can be read as such. ``ordered`` adds ``_file``,
@@ -201,15 +175,20 @@ def read_csv(
     if sep is None:
         sep = detect_sep(spark, paths)
     firsts, odd = survey(spark, paths)
+    spans = odd if multi_line == "auto" else bool(multi_line)
+    states = split_states(spark, paths, sep) if spans else None
+    if spans:  # a first line may be the beginning of a header only
+        firsts = read_headers(spark, paths, sep, states)
+        if not firsts:
+            raise ValueError(f"no data in {path!r}")
     if len(firsts) > 1:
         raise ValueError(f"files under {path!r} have different headers; read them with read_exports: {firsts[:3]}")
-    spans = odd if multi_line == "auto" else bool(multi_line)
-    names = normalize_header(read_header(spark, paths, sep, spans))
+    names = normalize_header(next(csv.reader([firsts[0]], delimiter=sep)) if spans else read_header(spark, paths, sep))
     if len(names) <= 1:
         warnings.warn(f"{path!r} was read as a single column; check the separator", stacklevel=2)
     if taken := set(ORDER) & {n.lower() for n in names} if ordered else None:
         raise ValueError(f"the files have columns called {sorted(taken)}")
-    cells = read_cells(spark, paths, sep, names, spans, ordered=ordered)
+    cells = read_cells(spark, paths, sep, names, spans, ordered=ordered, states=states)
     cells = null_tokens(cells, names)
     return promote_numeric(cells, names, decimal_comma=decimal_comma) if promote else cells
 

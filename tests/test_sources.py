@@ -292,3 +292,82 @@ def test_odd_quotes_beyond_a_thousand_headers(spark, tmp_path):
         (tmp_path / f"{i:04}.csv").write_text(f"h{i:04},t\n1,2\n")
     (tmp_path / "z.csv").write_text('z,t\n1,"a\nb"\n')
     assert needs_multi_line(spark, str(tmp_path))
+
+
+def in_splits(spark, size, work):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        spark.conf.set(names[0], size)
+        spark.conf.set(names[1], "0")
+        return work()
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+
+
+def odd_cell(rng):
+    kind = rng.random()
+    if kind < 0.4:
+        return "".join(rng.choice('ab,;"\n\r\n x') for _ in range(rng.randrange(0, 40)))
+    return "long\r\n" * rng.randrange(1, 900) if kind < 0.44 else rng.choice(["plain", "", "5 in", "é日", "0"])
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_one_file_is_read_in_many_splits(spark, tmp_path, end):
+    import csv
+    import random
+
+    rng = random.Random(len(end))
+    for name in ("a", "b"):
+        with open(tmp_path / f"{name}.csv", "w", newline="", encoding="utf-8") as out:
+            table = [[str(i), odd_cell(rng), odd_cell(rng)] for i in range(250)]
+            csv.writer(out, lineterminator=end).writerows([["id", "a\r\nb", "c"], *table])
+            if name == "a":
+                want = table
+            else:
+                want = sorted([tuple(x) for x in want + table])
+
+    def read():
+        df = read_csv(spark, str(tmp_path), sep=",", promote=False, ordered=True)
+        assert df.columns == ["id", "a\r\nb", "c", "_file", "_split", "_row"]
+        found = df.orderBy("_file", "_split", "_row").collect()
+        assert len({r["_split"] for r in found}) > 10
+        assert [int(r["id"]) for r in found] == [*range(250)] * 2
+        return sorted((r[0], r[1] or "", r[2] or "") for r in found)
+
+    assert in_splits(spark, "2k", read) == want
+
+
+def test_headers_are_compared_as_records(spark, tmp_path):
+    (tmp_path / "one.csv").write_text('"a\nx",b,c\n1,2,3\n')
+    (tmp_path / "two.csv").write_text('"a\ny",c,b\n1,2,3\n')
+    with pytest.raises(ValueError, match="different headers"):
+        read_csv(spark, str(tmp_path), sep=",")
+    (tmp_path / "two.csv").write_text('"a\nx",b,c\n4,5,6\n')
+    for size in ("4", "1m"):  # a header beyond the first split, and within it
+        df = in_splits(spark, size, lambda: read_csv(spark, str(tmp_path), sep=","))
+        assert df.columns == ["a\nx", "b", "c"]
+        assert in_splits(spark, size, lambda: rows(df)) == [(1, 2, 3), (4, 5, 6)]
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    """Python workers that start in another folder, and know no path to the package, read spanning cells."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    (tmp_path / "data").mkdir()
+    (tmp_path / "data" / "q.csv").write_text('id,t\n1,"a\nb"\n2,"c"\n')
+    code = f"""
+import os, sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+from tableops import read_csv
+print("rows", sorted(tuple(r) for r in read_csv(spark, {str(tmp_path / "data")!r}, sep=",").collect()))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows [(1, 'a\\nb'), (2, 'c')]" in done.stdout, done.stderr[-2000:]
