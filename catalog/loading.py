@@ -3,7 +3,7 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 
 from catalog.registry import query
-from tableops import null_tokens, numeric_cells, promote_numeric, read_csv, read_exports, write_csv
+from tableops import null_tokens, numeric_cells, preview_files, promote_numeric, read_csv, read_exports, write_csv
 from tableops.operators import dedupe
 from tableops.plans.scratch import scratch_path, written
 from tableops.sources.csv import ORDER
@@ -89,6 +89,14 @@ def csv_long_cells_in_splits(t):
     return back.select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars")
 
 
+@query("SELECT event_id, user_id, event_type FROM events ORDER BY event_id LIMIT 7")
+def preview_in_file_order(t):
+    """The first rows of a table written in order as many files, found without opening all of them."""
+    path = scratch_path(t.spark, "ordered")
+    t("events").select("event_id", "user_id", "event_type").repartitionByRange(16, "event_id").sortWithinPartitions("event_id").write.parquet(path)
+    return preview_files(t.spark, path, 7)
+
+
 @query("SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents")
 def csv_one_long_file_in_splits(t):
     """One file with line breaks in most records, read by many tasks: splits are far smaller than the file."""

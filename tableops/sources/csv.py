@@ -8,7 +8,7 @@ import warnings
 from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F, types as T
 
 from tableops.columns import col, free_name
 from tableops.functions import as_text
@@ -211,8 +211,20 @@ def printable(df: DataFrame, bom: bool) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, bom: bool = True, sep: str = ",", mode: str = "errorifexists") -> bool:
-    """Write with a header in every file; returns False, writing nothing, for no rows."""
-    if df.isEmpty():
+    """Write with a header in every file; returns False, writing nothing, for no rows.
+
+    Where the folder must be new, rows are counted as they are written, and a folder without any is
+    removed. Other modes may find files that have to stay, so they look for a first row beforehand.
+    """
+    fresh = mode.lower() in ("error", "errorifexists", "default")
+    if not fresh and df.isEmpty():
+        return False
+    seen = Observation()
+    counted = printable(df, bom).observe(seen, F.count(F.lit(1)).alias("rows"))
+    counted.write.options(**WRITE_OPTIONS).options(header=True, sep=sep).mode(mode).csv(path)
+    if fresh and not seen.get["rows"]:
+        spark = df.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
         return False
-    printable(df, bom).write.options(**WRITE_OPTIONS).options(header=True, sep=sep).mode(mode).csv(path)
     return True

@@ -35,6 +35,22 @@ def read_parquet_ordered(spark: SparkSession, path: str) -> DataFrame:
     return df.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
 
 
+def preview_files(spark: SparkSession, path: str, n: int = 5) -> DataFrame:
+    """The first ``n`` rows of a Parquet table in the order of its files, without ``_file`` and ``_row``.
+
+    Files are opened in order, one, two, four and so on, until ``n`` rows are there; the rest is only listed.
+    """
+    whole = spark.read.parquet(path)
+    files, many = sorted(whole.inputFiles()), 1
+    while True:
+        some = spark.read.schema(whole.schema).option("basePath", path).parquet(*files[:many]) if files else whole
+        if many >= len(files) or len(some.select(F.lit(1)).take(n)) == n:
+            break
+        many *= 2
+    ordered = some.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
+    return preview(ordered, [FILE, ROW], n).drop(FILE, ROW)
+
+
 def preview(df: DataFrame, order_by: str | Iterable[str], n: int = 5) -> DataFrame:
     """The first ``n`` rows in a stated order (a top-n, not a full sort)."""
     order = require(df, order_by, "order column")

@@ -12,6 +12,7 @@ from tableops import (
     null_tokens,
     numeric_cells,
     preview,
+    preview_files,
     promote_numeric,
     read_csv,
     read_exports,
@@ -371,3 +372,37 @@ print("rows", sorted(tuple(r) for r in read_csv(spark, {str(tmp_path / "data")!r
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "rows [(1, 'a\\nb'), (2, 'c')]" in done.stdout, done.stderr[-2000:]
+
+
+def test_preview_opens_no_more_files_than_it_needs(spark, tmp_path):
+    for i in range(8):
+        spark.range(i * 3, i * 3 + 3).coalesce(1).write.parquet(str(tmp_path / f"part={i}"))
+    broken = [next((tmp_path / f"part={i}").glob("*.parquet")) for i in range(2, 8)]
+    whole = [f.read_bytes() for f in broken]
+    spark.read.parquet(str(tmp_path)).count()
+    for f in broken:  # a file that is opened now ends the query
+        f.write_bytes(b"PAR1" + b"x" * (f.stat().st_size - 4))
+        (f.parent / f".{f.name}.crc").unlink()
+    assert [r["id"] for r in preview_files(spark, str(tmp_path), 3).collect()] == [0, 1, 2]
+    assert [tuple(r) for r in preview_files(spark, str(tmp_path), 5).collect()] == [(0, 0), (1, 0), (2, 0), (3, 1), (4, 1)]
+    with pytest.raises(Exception):  # noqa: B017
+        preview_files(spark, str(tmp_path), 7).collect()
+    for f, data in zip(broken, whole, strict=True):
+        f.write_bytes(data)
+    assert [r["id"] for r in preview_files(spark, str(tmp_path), 20).collect()] == list(range(20))
+    assert preview_files(spark, str(tmp_path), 99).count() == 24
+
+
+def test_write_csv_computes_its_input_once(spark, tmp_path):
+    rows_seen = spark.sparkContext.accumulator(0)
+
+    def through(batches):
+        for batch in batches:
+            rows_seen.add(batch.num_rows)
+            yield batch
+
+    table = spark.range(100).repartition(4, "id").mapInArrow(through, "id long")
+    assert write_csv(table, str(tmp_path / "new")) and rows_seen.value == 100
+    assert not write_csv(table.where("id < 0"), str(tmp_path / "none")) and not (tmp_path / "none").exists()
+    assert not write_csv(table.where("id < 0"), str(tmp_path / "new"), mode="overwrite")
+    assert read_csv(spark, str(tmp_path / "new")).count() == 100
