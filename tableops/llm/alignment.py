@@ -95,6 +95,7 @@ class Aligner:
         pieces = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
         self.fallback = np.array([bool(_BYTE_PIECE.fullmatch(p)) for p in pieces])
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.fallback[i] else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.a_sizes, self.b_sizes = np.array([len(x) for x in self.a_bytes]), np.array([len(x) for x in self.b_bytes])
         self.names = [str(i) for i in range(max(len(self.a_bytes), len(pieces)))]
         self.whole = not chunkable(tokenizer_json, pieces)
         self.clear()
@@ -140,8 +141,7 @@ class Aligner:
         a = self.first.encode(text, add_special_tokens=False)
         b = self.second.encode(text[1:], return_type="offset_mapping") if text[1:] else {"ids": [], "offsets": []}
         a_ids, b_ids = np.array(a.ids, np.int64), np.array(b["ids"], np.int64)
-        a_tokens, b_tokens = [self.a_bytes[i] for i in a.ids], [self.b_bytes[i] for i in b["ids"]]
-        if b"".join(a_tokens) != data or b"".join(b_tokens) != data:
+        if b"".join(map(self.a_bytes.__getitem__, a.ids)) != data or b"".join(map(self.b_bytes.__getitem__, b["ids"])) != data:
             if len(new) > 1:  # one of them is not given back
                 for k, chunk in enumerate(new):
                     self._learn([chunk], number + k, links)
@@ -150,9 +150,9 @@ class Aligner:
             return
         byte_at = np.append(np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80), len(data))
         spans = np.fromiter(chain.from_iterable(a.offsets), np.int64, 2 * len(a_ids)).reshape(-1, 2)
-        a_ends = refined(byte_at[spans[:, 1]], np.append(spans[1:, 0] < spans[:-1, 1], False), a_tokens)
+        a_ends = refined(byte_at[spans[:, 1]], np.append(spans[1:, 0] < spans[:-1, 1], False), self.a_sizes[a_ids])
         spans = np.fromiter(chain.from_iterable(b["offsets"]), np.int64, 2 * len(b_ids)).reshape(-1, 2) + 1  # after the space
-        b_ends = refined(byte_at[spans[:, 1]], self.fallback[b_ids], b_tokens)
+        b_ends = refined(byte_at[spans[:, 1]], self.fallback[b_ids], self.b_sizes[b_ids])
         common = np.intersect1d(a_ends, b_ends, assume_unique=True)
         of_a, of_b = np.searchsorted(a_ends, common), np.searchsorted(b_ends, common)
         ends = np.cumsum([len(c.encode()) + 1 for c in new])
@@ -174,9 +174,9 @@ class Aligner:
         self.groups += [";".join(made[x:y]) for x, y in zip([0, *cuts[:-1]], cuts, strict=True)]
 
 
-def refined(coarse: np.ndarray, inside: np.ndarray, tokens: list[bytes]) -> np.ndarray:
+def refined(coarse: np.ndarray, inside: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Where tokens end: as the library's spans say; for those that end inside a character, by their decoded bytes."""
-    decoded = np.cumsum([len(t) for t in tokens])
+    decoded = np.cumsum(sizes)
     ends = np.where(inside, decoded, coarse)
     if not np.array_equal(ends, decoded):
         raise ValueError("the span of a token is not where its bytes are")
