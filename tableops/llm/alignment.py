@@ -42,7 +42,7 @@ from tableops.llm.texts import slices
 from tableops.plans.scratch import written
 
 #: Distinct chunks a worker remembers before it starts anew (results don't depend on it).
-REMEMBERED = 1_200_000
+REMEMBERED = 600_000
 #: Pairs of ids whose counts are sent to the tasks at most: 17 bytes each.
 MOST_SENT = 4_000_000
 SPACE = "▁"
@@ -104,7 +104,7 @@ class Aligner:
         self.number: dict[str, int] = {}
         self.good, self.known = np.zeros(0, bool), np.zeros((0, 3), np.int64)
         self.groups: list[str] = []
-        self.links = np.zeros(0, np.int64)
+        self.links = self.starts = np.zeros(0, np.int64)
 
     def chunks(self, text: str) -> list[str]:
         if self.whole:
@@ -125,6 +125,7 @@ class Aligner:
         for at in [*range(0, joined, 512), *range(joined, len(new))]:
             self._learn(new[at : min(at + 512, joined) if at < joined else at + 1], some + at, links)
         self.links = np.concatenate(links)
+        self.starts = np.cumsum(self.known[:, 2]) - self.known[:, 2]
         find = self.number.__getitem__
         return [np.fromiter(map(find, c), np.int64, len(c)) for c in cut]
 
@@ -132,8 +133,7 @@ class Aligner:
         """The linked pairs of some chunks, one after another; a chunk has as many as groups."""
         n = self.known[chunks, 2]
         ends = np.cumsum(n)
-        first = (np.cumsum(self.known[:, 2]) - self.known[:, 2])[chunks]
-        return self.links[np.repeat(first - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        return self.links[np.repeat(self.starts[chunks] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
     def _learn(self, new: list[str], number: int, links: list[np.ndarray]) -> None:
         text = " " + " ".join(new)
