@@ -3,11 +3,13 @@
 *Rules* (``Rule(host, path, verdict)``) fit their host and its subdomains if the url's path
 starts with theirs; the longest wins. Their verdicts are the labels that the tree learns from.
 
-*Tree.* Level by level, the distinct paths of a host are put under templates. A node whose children
-are mostly seen but once or twice, or are ``MOST_BRANCHES`` or more, has a variable segment: its
-children become one wildcard, and so do children with a digit in any node. Of the other children, those that go on in the same way (end here
-or go on) and whose share of blocked urls is alike, tested against their parent's share at two standard errors,
-are merged into one branch; without labels a child stays on its own. Segments beyond ``DEPTH`` are one wildcard.
+*Tree.* Level by level, the distinct paths of a host are put under templates. Each child of a node is
+judged by its own urls, however many siblings it has: its segment is variable if it has a digit or fewer than ``FEW``
+urls (first segments that as many hosts have are fixed words). Variable children of a node become one wildcard. Of
+the others, those with labels that go on in the same way (end here or go on) and whose share of blocked urls is alike,
+tested against their parent's share at two standard errors, are merged into one branch; without labels a child
+stays on its own. The loop ends when all paths do. Below the first segment, a node of one path, or of fewer than ``FEW`` urls,
+cannot branch any more and is finished at once, so only paths that several urls share segment by segment take long.
 
 *Purity.* A template's share of blocked labels is smoothed with the share of the same template on
 all hosts, and that with one half, as so many (``WEIGHT``) more labels. Templates
@@ -24,6 +26,7 @@ Other columns pass through; result names that are taken raise an error.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -32,8 +35,8 @@ from pyspark.sql import functions as F
 from tableops.llm.frames import sent_if_small
 from tableops.plans.scratch import written
 
-DEPTH = 6
-MOST_BRANCHES = 50
+#: A segment with fewer urls than this is variable.
+FEW = 3
 WEIGHT = 4.0
 ANY = "*"
 
@@ -74,40 +77,60 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
     return F.coalesce(*[F.when(f, F.lit(r.name)) for f, r in zip(fits, ordered, strict=True)]), F.coalesce(*[F.when(f, F.lit(r.verdict)) for f, r in zip(fits, ordered, strict=True)])
 
 
+def _branch(child: Column) -> Column:
+    """The name of merged children, of the same length for any number of them; equal sets have equal names."""
+    ends = F.concat_ws("|", F.min(child), F.when(F.count("*") > 1, F.max(child)))
+    more = F.concat(F.lit("|+"), F.count("*") - 2, F.lit("#"), F.hex(F.bit_xor(F.xxhash64(child))))
+    return F.concat(ends, F.when(F.count("*") > 2, more).otherwise(F.lit("")))
+
+
 def templates(paths: DataFrame) -> DataFrame:
     """The template of each distinct (host, path): host, path, template, n, labelled, blocked.
 
     ``paths`` holds host, path, and counts n, labelled, blocked.
     """
-    parts = F.split(F.regexp_replace("path", r"\A/", ""), "/")
-    now = paths.withColumn("parts", F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(parts)).withColumn("template", F.lit(""))
-    for level in range(DEPTH):
-        child = F.get("parts", F.lit(level))
+    marks = ["n", "labelled", "blocked"]
+    out = ["host", "path", "template", *marks]
+    now = paths.withColumn("parts", F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace("path", r"\A/", ""), "/")))
+    now = written(now.withColumn("template", F.lit("")), "templates")
+    ended = []
+    level = 0
+    while True:
+        ended.append(now.where(F.size("parts") <= level).select(*out))
         here = now.where(F.size("parts") > level)
-        counts = here.groupBy("host", "template", child.alias("child"), (F.size("parts") > level + 1).alias("on"))
-        counts = counts.agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
-        counts = counts.groupBy("host", "template", "child").agg(F.max("on").alias("on"), *[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
+        if here.isEmpty():
+            return reduce(DataFrame.unionAll, ended)
+        child = F.get("parts", F.lit(level))
+        counts = here.groupBy("host", "template", child.alias("child"))
+        counts = counts.agg(F.max(F.size("parts") > level + 1).alias("on"), F.count("*").alias("paths"), *[F.sum(c).alias(c) for c in marks])
         counts = written(counts, "children")
-        nodes = counts.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n").alias("all"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
-        nodes = written(nodes, "nodes")
-        own = counts.join(sent_if_small(nodes), ["host", "template"])
+        nodes = counts.groupBy("host", "template").agg(F.sum("paths").alias("all_paths"), *[F.sum(c).alias(f"all_{c}") for c in marks])
+        own = counts.join(sent_if_small(written(nodes, "nodes")), ["host", "template"])
+        few = F.col("n") < FEW
+        if level == 0:
+            hosts = written(counts.groupBy("child").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= FEW), "words")
+            own = own.join(sent_if_small(hosts), "child", "left")
+            few = few & F.col("hosts").isNull()
+        last = (F.lit(level > 0)) & ((F.col("all_paths") == 1) | (F.col("all_n") < FEW))
         share = F.col("all_blocked") / F.greatest("all_labelled", F.lit(1))
         spread = F.sqrt(share * (1 - share) / F.greatest("labelled", F.lit(1)))
         off = F.col("blocked") / F.greatest("labelled", F.lit(1)) - share
         like = F.when(F.col("labelled") == 0, F.concat(F.lit("?"), "child")).when(off > 2 * spread, "+").when(off < -2 * spread, "-").otherwise("=")
-        varies = (F.col("children") > 1) & (F.col("all") < 3 * F.col("children")) | (F.col("children") >= MOST_BRANCHES) | F.rlike("child", F.lit("[0-9]"))
-        own = own.select("host", "template", "child", varies.alias("varies"), F.concat(like, F.col("on").cast("string")).alias("kind"))
-        names = own.where(~F.col("varies")).groupBy("host", "template", "kind").agg(F.array_join(F.array_sort(F.collect_list("child")), "|").alias("branch"))
+        varies = few | F.rlike("child", F.lit("[0-9]"))
+        own = own.select("host", "template", "child", varies.alias("varies"), last.alias("last"), F.concat(like, F.col("on").cast("string")).alias("kind"))
+        own = written(own, "judged")
+        names = own.where(~F.col("varies")).groupBy("host", "template", "kind").agg(_branch(F.col("child")).alias("branch"))
         own = own.join(sent_if_small(written(names, "branches")), ["host", "template", "kind"], "left")
-        own = written(own.select("host", "template", "child", F.when(F.col("varies"), ANY).otherwise(F.col("branch")).alias("branch")), "steps")
-        found = now.withColumn("child", child).join(sent_if_small(own), ["host", "template", "child"], "left")
-        step = F.when(F.size("parts") > level, F.concat("template", F.lit("/"), "branch")).otherwise(F.col("template"))
-        now = found.select("host", "path", "n", "labelled", "blocked", "parts", step.alias("template"))
-        now = written(now, "templates")
-        if now.where(F.size("parts") > level + 1).isEmpty():
-            break
-    end = F.when(F.size("parts") > DEPTH, F.concat("template", F.lit("/" + ANY * 2))).otherwise(F.col("template"))
-    return now.select("host", "path", end.alias("template"), "n", "labelled", "blocked")
+        own = written(own.select("host", "template", "child", "last", F.when(F.col("varies"), ANY).otherwise(F.col("branch")).alias("branch")), "steps")
+        found = here.withColumn("child", child).join(sent_if_small(own), ["host", "template", "child"])
+        rest = F.slice("parts", level + 2, F.size("parts"))
+        rest = F.transform(rest, lambda x: F.when((F.col("n") < FEW) | F.rlike(x, F.lit("[0-9]")), ANY).otherwise(x))
+        step = F.concat("template", F.lit("/"), "branch")
+        step = F.when(F.col("last"), F.array_join(F.concat(F.array(step), rest), "/")).otherwise(step)
+        found = written(found.select("host", "path", step.alias("template"), *marks, "parts", "last"), "templates")
+        ended.append(found.where("last").select(*out))
+        now = found.where(~F.col("last")).drop("last")
+        level += 1
 
 
 def rejected(found: DataFrame, least: float = 0.8) -> DataFrame:

@@ -1,4 +1,7 @@
+import random
 import re
+from collections import Counter, defaultdict
+from itertools import groupby
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,3 +55,73 @@ def test_templates_and_purity(spark):
 def test_no_python_on_the_way(spark):
     plan = urls.judged(spark.createDataFrame([("http://a.com/de/1",)], "url string"), URL_RULES).select(F.col("verdict"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def plain_templates(rows):
+    """The template of each (host, path), one node after another; ``rows`` holds a url's host, path and verdict."""
+    cut = lambda p: tuple(re.sub("^/", "", p).split("/")) if p else ()
+    count = lambda group: (len(group), sum(v is not None for *_, v in group), sum(v == "block" for *_, v in group))
+    hosts = defaultdict(set)
+    for h, p, _ in rows:
+        hosts[cut(p)[:1]].add(h)
+    out = {}
+
+    def walk(template, level, group):
+        for h, p, _ in group:
+            if len(cut(p)) == level:
+                out[h, p] = template
+        below = sorted((r for r in group if len(cut(r[1])) > level), key=lambda r: cut(r[1])[level])
+        children = {c: list(g) for c, g in groupby(below, key=lambda r: cut(r[1])[level])}
+        _, labelled, blocked = count(below)
+        share, kinds = blocked / max(labelled, 1), defaultdict(list)
+        for c, g in children.items():
+            n, mine, bad = count(g)
+            if re.search("[0-9]", c) or n < 3 and not (level == 0 and len(hosts[c,]) >= 3):
+                kinds["*"].append(c)
+                continue
+            off, spread = bad / max(mine, 1) - share, (share * (1 - share) / max(mine, 1)) ** 0.5
+            like = "?" + c if not mine else "+" if off > 2 * spread else "-" if off < -2 * spread else "="
+            kinds[like, any(len(cut(p)) > level + 1 for _, p, _ in g)].append(c)
+        for kind, names in kinds.items():
+            branch = "*" if kind == "*" else "|".join(names[:1] + names[1:][-1:]) + (f"|+{len(names) - 2}" if len(names) > 2 else "")
+            walk(f"{template}/{branch}", level + 1, [r for c in names for r in children[c]])
+
+    for host in {h for h, _, _ in rows}:
+        walk("", 0, [r for r in rows if r[0] == host])
+    return out
+
+
+def test_tree_and_purity_are_those_of_a_plain_walk(spark):
+    rng = random.Random(3)
+    data = [None, "", "x://"]
+    for _ in range(3000):
+        host = rng.choice(("a.com", "b.com", "c.com", "de.org", "www.example.org", "d.net", "one.net"))
+        parts = [rng.choice(("de", "fr", "es", "en", "about", "p", "x", "u" + rng.choice("abcdefghijklmnop") * rng.randrange(1, 9)))]
+        for _ in range(rng.randrange(5)):
+            parts.append(rng.choice(("", "news", "tag", "list", "x" * rng.randrange(1, 20), str(rng.randrange(30)))))
+        data.append(f"http://{host}/" + "/".join(parts))
+    data += ["http://deep.net/" + "/".join(["a", "b"] * 40)] * 4 + ["http://deep.net/" + "/".join("abcdefghijklmnopq")]
+    rows = [plain(u)[:2] + plain(u)[3:] for u in data]
+    want = plain_templates(rows)
+    own, wide = defaultdict(Counter), defaultdict(Counter)
+    got = urls.judged(spark.createDataFrame([(u,) for u in data], "url string"), URL_RULES).collect()
+    for r in got:
+        mark = {"n": 1, "labelled": 0, "blocked": 0} if r["rule"] is None else {"labelled": 1, "blocked": plain(r["url"])[3] == "block"}
+        own[r["host"], r["template"]].update(mark)
+        wide[r["template"]].update(mark)
+    for r in got:
+        assert re.sub("#[0-9A-F]+", "", r["template"]) == want[r["host"], r["path"]], r
+        mine, all_ = own[r["host"], r["template"]], wide[r["template"]]
+        purity = (mine["blocked"] + 4 * (all_["blocked"] + 2) / (all_["labelled"] + 4)) / (mine["labelled"] + 4)
+        assert r["purity"] == pytest.approx(purity)
+        assert r["verdict"] == (plain(r["url"])[3] or ("block" if purity >= 0.8 else "allow"))
+
+
+@pytest.mark.parametrize("sections", [46, 52])
+def test_verdicts_do_not_change_with_the_number_of_sections(spark, sections):
+    letters = [a + b for a in "abcdefgh" for b in "qrstuvwx"][:sections]
+    data = [f"http://{h}.com/de/{i}" for h in "abc" for i in range(30)] + [f"http://one.net/de/{i}" for i in range(9)]
+    data += [f"http://one.net/x{s}/{i}" for s in letters for i in range(9)]
+    found = urls.judged(spark.createDataFrame([(u,) for u in data], "url string"), URL_RULES).where("host = 'one.net'").collect()
+    assert all(r["verdict"] == ("block" if r["path"].startswith("/de/") else "allow") for r in found)
+    assert len({r["template"] for r in found}) == sections + 1
