@@ -33,8 +33,9 @@ from tableops.plans.scratch import written
 
 # Occurrences of a hot key are matched in blocks of this many.
 BLOCK = 1 << 16
-# Longer text is cut where it only marks the border of a range.
-LONG_TEXT = 64
+# A hot key is cut into chunks of about a (CHUNKS)th of ``hot_rows`` different rows, by this many sampled rows a chunk.
+CHUNKS = 8
+SAMPLED = 32
 
 
 def align_keys(b: DataFrame, keys_a: Sequence[str], keys_b: Sequence[str]) -> DataFrame:
@@ -92,9 +93,9 @@ def compare(
     tagged = _tag(a, keys, targets, layout_a, "a", layout_b).unionByName(_tag(b, keys, targets, layout_b, "b", layout_a))
     key_columns = [f"_k{i}" for i in range(len(keys))]
     hot = hot_hashes(tagged, key_columns, hot_rows, hot_sample)
-    border = [*layout_a.border("_a"), *layout_b.border("_b")]
+    order = F.struct(*layout_a.border("_a"), *layout_b.border("_b"))
     return CompareResult(
-        matched=_match(tagged, key_columns, border, hot),
+        matched=_match(tagged, key_columns, order, hot, max(1, (hot_rows or 0) // CHUNKS)),
         keys=keys,
         fields_a={f.name: f.dataType for f in a.schema if f.name.lower() not in hidden},
         fields_b={f.name: f.dataType for f in b.schema if f.name.lower() not in hidden},
@@ -151,23 +152,9 @@ class _Layout:
         return self.df.select(F.struct(*self.fields()).alias("row")).schema["row"].dataType
 
     def border(self, parent: str) -> list[Column]:
-        """Columns ordering rows as the packed row does, free of long cells.
-
-        A range partitioner samples them to the driver. What follows a text
-        that had to be cut is left out; rows alike up to there share a chunk.
-        """
-        columns = [col("_here", parent)]
-        whole = F.lit(True)
-        for name in self.requested:
-            cell = col(name, parent)
-            if is_text(dtype(self.df, name)):
-                cut = F.coalesce(F.length(cell) > LONG_TEXT, F.lit(False))
-                columns += [F.when(whole, F.left(cell, F.lit(LONG_TEXT))), whole & cut]
-                whole = whole & ~cut
-            else:
-                columns.append(F.when(whole, cell))
-        rest = [*self._narrow(self.shared), "_hash", *self._narrow(self.own), "_own_hash"]
-        return columns + [F.when(whole, col(c, parent)) for c in rest]
+        """Columns ordering rows as the packed row does, up to its hashes: what only follows ties in them is left out."""
+        names = ["_here", *self.requested, *self._narrow(self.shared), "_hash", *self._narrow(self.own), "_own_hash"]
+        return [col(c, parent).alias(f"{parent}{i}") for i, c in enumerate(names)]
 
 
 def _is_bulky(df: DataFrame, name: str) -> bool:
@@ -192,11 +179,13 @@ def _tag(
     return df.select(*key_columns, F.lit(side).alias("_side"), packed, empty)
 
 
-def _match(tagged: DataFrame, keys: list[str], border: list[Column], hot: list[int]) -> DataFrame:
+def _match(tagged: DataFrame, keys: list[str], order: Column, hot: list[int], chunk_rows: int) -> DataFrame:
     if not hot:
         return _match_by_key(tagged, keys)
     spread = is_hot(keys, hot)
-    return _match_by_key(tagged.filter(~spread), keys).unionByName(_match_spread(tagged.filter(spread), keys, border))
+    return _match_by_key(tagged.filter(~spread), keys).unionByName(
+        _match_spread(tagged.filter(spread), keys, order, chunk_rows)
+    )
 
 
 def _match_by_key(tagged: DataFrame, keys: list[str]) -> DataFrame:
@@ -214,24 +203,65 @@ def _fold(numbered: DataFrame, by: list[str]) -> DataFrame:
     return folded.select([c for c in folded.columns if c != "_block"])
 
 
-def _match_spread(tagged: DataFrame, keys: list[str], border: list[Column]) -> DataFrame:
+def _borders(copies: DataFrame, keys: list[str], order: Column, chunk_rows: int) -> DataFrame:
+    """Chunks of each key and side in row order, as a table: number, group of chunks, lowest row and the one that is beyond.
+
+    The rows are sampled by a hash of their whole order, so the borders are the
+    same on every run, and every ``SAMPLED``-th row of the sample is one. A key's
+    first chunk has no lowest row and its last none beyond.
+    """
+    by = [*keys, "_side"]
+    step = min(SAMPLED, chunk_rows)
+    sample = copies.select(*by, order.alias("_low")).filter(F.pmod(F.xxhash64("_low"), F.lit(chunk_rows // step)) == 0)
+    in_order = Window.partitionBy(*by).orderBy("_low")
+    points = sample.withColumn("_i", F.row_number().over(in_order)).filter(F.col("_i") % step == 0).drop("_i")
+    points = written(points, "points")
+    nothing = F.lit(None).cast(points.schema["_low"].dataType)
+    first = points.groupBy(*by).agg(F.min("_low").alias("_beyond")).select(*by, nothing.alias("_low"), "_beyond")
+    others = points.withColumn("_beyond", F.lead("_low").over(in_order))
+    numbered = first.unionByName(others).withColumn("_number", (F.row_number().over(in_order) - 1).cast("bigint"))
+    width = F.ceil(F.sqrt(F.count("*").over(Window.partitionBy(*by))))
+    return written(numbered.withColumn("_group", F.floor(F.col("_number") / width)), "borders")
+
+
+def _chunked(copies: DataFrame, keys: list[str], order: Column, chunk_rows: int) -> DataFrame:
+    """The rows with the number of the chunk they fall into, 0 in keys too small to be cut.
+
+    They are looked up in groups of chunks first and then within their group,
+    so a row meets about twice the square root of its key's chunks.
+    """
+    borders = _borders(copies, keys, order, chunk_rows)
+    by = [*keys, "_side"]
+    groups = borders.groupBy(*by, "_group").agg(
+        F.min_by("_low", "_number").alias("_low"), F.max_by("_beyond", "_number").alias("_beyond")
+    )
+
+    def placed(rows: DataFrame, ranges: DataFrame, on: list[str], number: str) -> DataFrame:
+        ranges = ranges.select(
+            *[F.col(c).alias(f"_r{i}") for i, c in enumerate(on)], F.col(number).alias("_found"), "_low", "_beyond"
+        )
+        same = [F.col(c).eqNullSafe(F.col(f"_r{i}")) for i, c in enumerate(on)]
+        same.append(F.col("_low").isNull() | (F.col("_order") >= F.col("_low")))
+        same.append(F.col("_beyond").isNull() | (F.col("_order") < F.col("_beyond")))
+        found = rows.join(ranges, reduce(lambda x, y: x & y, same), "left")
+        return found.select(*rows.columns, F.col("_found").alias(number))
+
+    rows = placed(copies.withColumn("_order", order), groups, by, "_group")
+    rows = placed(rows, borders, [*by, "_group"], "_number")
+    return rows.select(*copies.columns, F.coalesce("_number", F.lit(0)).alias("_chunk"))
+
+
+def _match_spread(tagged: DataFrame, keys: list[str], order: Column, chunk_rows: int) -> DataFrame:
     """The same pairs for keys too big for one task.
 
     Identical rows are interchangeable, so they travel as one row with a
-    count. Range partitioning then cuts each key into chunks in row order; the
+    count. Borders taken from a sample cut each key into chunks in row order; the
     running total over the chunk sizes says at which occurrence a chunk
     starts, and a window inside the chunk does the rest. Both sides are finally
     cut at the same block borders, and every block is matched on its own.
     """
     copies = tagged.groupBy(*keys, "_side", "_a", "_b").agg(F.count("*").alias("_n"))
-    # The written table fixes the chunk numbers: a range partitioner samples,
-    # so computing them twice could give two different answers.
-    chunked = written(
-        copies.repartitionByRange(_tasks(tagged), *keys, "_side", *border).withColumn(
-            "_chunk", F.spark_partition_id()
-        ),
-        "compare",
-    )
+    chunked = written(_chunked(written(copies, "copies"), keys, order, chunk_rows), "compare")
 
     # At most one row per chunk border and key; Spark broadcasts them if they are small.
     sizes = chunked.groupBy(*keys, "_side", "_chunk").agg(F.sum("_n").alias("_rows"))
@@ -272,10 +302,6 @@ def _distance(x: Column, y: Column, floating: bool) -> Column:
     return F.when(x.eqNullSafe(y), F.when(x.isNotNull(), F.lit(0.0))).otherwise(F.when(~F.isnan(gap), gap))
 
 
-def _tasks(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 @dataclass(frozen=True)
 class CompareResult:
     """Lazy outputs of one comparison; they all read the same ``matched`` rows.

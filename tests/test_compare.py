@@ -146,6 +146,21 @@ def test_hot_key_is_cut_into_many_tasks(spark):
     assert spread.matches()
 
 
+def test_long_common_starts_are_spread(spark):
+    """Rows whose order column differs only behind its 90th character, and copies, fall into chunks of like size."""
+    url = F.concat(F.lit("https://www.example.org/" + "section/" * 9), F.format_string("%05d", F.col("id")))
+    a = spark.range(20_000).select(F.lit(1).alias("k"), url.alias("url"), (F.col("id") % 7).alias("n"))
+    b = a.union(a.filter("n = 3"))
+    spread = compare(a, b, "k", order_by="url", hot_rows=16_000, hot_sample=1.0)
+    path = next(w for w in spread.matched.inputFiles() if "/compare-" in w).rsplit("/", 1)[0]
+    sizes = spark.read.parquet(path).groupBy("_side", "_chunk").agg(F.count("*").alias("n")).collect()
+    for side in "ab":
+        of_side = [r.n for r in sizes if r["_side"] == side]
+        assert sum(of_side) == 20_000 and len(of_side) >= 4 and max(of_side) < 5_000
+    plain = compare(a, b, "k", order_by="url", hot_rows=None)
+    assert spread.summary().first() == plain.summary().first()
+
+
 def test_spreadsheet_names_on_the_spread_road(spark):
     names = "`cod. (id)` bigint, `valor (R$), total;` double, `obs\n=` string"
     a = spark.createDataFrame([(1, float(i), f"t{i % 3}") for i in range(50)], names)
