@@ -69,6 +69,10 @@ ARTICLE = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
+#: Elements that are nested deeper are not on paths (their text is that of the last one that is); browsers stop there too.
+DEEPEST = 512
+
+
 class Block(NamedTuple):
     path: str
     text: str
@@ -110,9 +114,9 @@ def _blocks(html: str, spared: frozenset[int] | None = frozenset()) -> tuple[lis
     lost: dict[int, list] = {}
     by_name: list[tuple[int, int]] = []  # depth and place of the containers that are left out by name
     apart = 0  # depth of the first one that is left out by tag, from 1
-    stack: list[tuple[str, str, bool]] = []  # tag, path, left out
+    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, left out, in an article
     words: list[str] = []
-    path, left_out, linked, in_link = "", False, 0, False
+    path, left_out, in_article, linked, in_link = "", False, False, 0, False
     at, end = 0, len(html)
 
     def flush() -> None:
@@ -128,12 +132,12 @@ def _blocks(html: str, spared: frozenset[int] | None = frozenset()) -> tuple[lis
         linked, in_link = 0, False
 
     def cut(depth: int) -> None:
-        nonlocal path, left_out, apart
+        nonlocal path, left_out, in_article, apart
         del stack[depth:]
         while by_name and by_name[-1][0] > depth:
             by_name.pop()
         apart = apart if apart <= depth else 0
-        path, left_out = stack[-1][1:] if stack else ("", False)
+        path, left_out, in_article = stack[-1][1:] if stack else ("", False, False)
 
     while at < end:
         found = _TAG.search(html, at)
@@ -174,17 +178,17 @@ def _blocks(html: str, spared: frozenset[int] | None = frozenset()) -> tuple[lis
             continue
         if tag in VOID or tag in ("html", "body"):
             continue
-        inside = any(t in ARTICLE for t, _, _ in stack) if tag == "header" or "=" in rest else False
-        out_tag = tag in APART or tag == "header" and not inside
+        out_tag = tag in APART or tag == "header" and not in_article
         judged = "=" in rest and spared is not None and at not in spared and tag not in ARTICLE and tag not in HEADINGS
-        out_name = judged and not out_tag and (named(rest, NOT_MAIN) or not inside and named(rest, HEADERS))
+        out_name = judged and not out_tag and (named(rest, NOT_MAIN) or not in_article and named(rest, HEADERS))
         out_now = left_out or out_tag or out_name
         if tag in ("h1", "main") and not apart:
             for _, place in by_name:
                 lost[place][1] = True
         if out_now:
             flush()
-            stack.append((tag, path, True))
+            in_article = in_article or tag in ARTICLE
+            stack.append((tag, path, True, in_article))
             left_out = True
             if out_tag:
                 apart = apart or len(stack)
@@ -197,8 +201,10 @@ def _blocks(html: str, spared: frozenset[int] | None = frozenset()) -> tuple[lis
             if classes:
                 kept = sorted({c for c in _DIGITS.sub("", classes.group(1).strip("\"'").lower()).split() if c})
                 label = ".".join([tag, *kept])
-            path = f"{path}>{label}"
-            stack.append((tag, path, False))
+            if len(stack) < DEEPEST:
+                path = f"{path}>{label}"
+            in_article = in_article or tag in ARTICLE
+            stack.append((tag, path, False, in_article))
     flush()
     return out, lost
 
@@ -209,16 +215,20 @@ def within(path: str, of: str) -> bool:
 
 def chosen(found: list[Block]) -> tuple[str, int]:
     """The path of the innermost container with nine tenths of the page's score, widened by text without links, and its score."""
-    scores: dict[str, int] = {}
-    links: dict[str, int] = {}
+    levels: list[dict[str, tuple[int, int]]] = [{}]
+
+    def add(depth: int, path: str, gain: int, linked: int) -> None:
+        levels.extend({} for _ in range(depth + 1 - len(levels)))
+        score, links = levels[depth].get(path, (0, 0))
+        levels[depth][path] = score + gain, links + linked
+
     for block in found:
-        gain, path = len(block.text) - 2 * block.linked, block.path
-        while True:
-            scores[path] = scores.get(path, 0) + gain
-            links[path] = links.get(path, 0) + block.linked
-            if not path:
-                break
-            path = path[: path.rfind(">")]
+        add(block.path.count(">"), block.path, len(block.text) - 2 * block.linked, block.linked)
+    for depth in range(len(levels) - 1, 0, -1):
+        for path, (score, linked) in levels[depth].items():
+            add(depth - 1, path[: path.rfind(">")], score, linked)
+    scores = {path: score for level in levels for path, (score, _) in level.items()}
+    links = {path: linked for level in levels for path, (_, linked) in level.items()}
     best = ("", scores.get("", 0))
     for path, score in sorted(scores.items(), key=lambda x: (x[0].count(">"), -x[1], x[0])):
         if 10 * score >= 9 * scores[""] > 0 and within(path, best[0]):

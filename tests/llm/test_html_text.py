@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from tableops.llm import html_text
@@ -70,3 +72,13 @@ def test_headline_and_lead_outside_the_body(spark):
 )
 def test_names_of_parts_that_hold_the_article(html, text):
     assert html_text.main_text(html, None) == text
+
+
+@pytest.mark.parametrize("tag", ["<div>", '<div class="part x1">', "<section><header>", "<blockquote><p>"])
+def test_deep_nesting_costs_in_proportion(tag):
+    page = "".join(f"{tag}text {i} here " for i in range(4000))
+    begin = time.process_time()
+    found = html_text.main_text(page, None)
+    assert time.process_time() - begin < 2
+    if "header" not in tag:
+        assert found.split("\n") == [f"text {i} here" for i in range(4000)]
