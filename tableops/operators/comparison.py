@@ -2,8 +2,8 @@
 
 Rows are paired by key and, where a key repeats, by occurrence number. Most
 keys take the plain road: both tables are stacked, sent once by key, numbered
-and folded into one record per pair. Keys that hold millions of rows would
-make that one task's work, so they take a second road that spreads a single
+and folded into one record per pair. Keys that hold millions of rows, or
+gigabytes, would make that one task's work, so they take a second road that spreads a single
 key over many tasks and yields the same pairs.
 """
 
@@ -28,12 +28,13 @@ from tableops.columns import (
     require_unique,
 )
 from tableops.functions import approx_equal, clean_text, exact_gap
-from tableops.plans.hotkeys import HOT_ROWS, SAMPLE, hot_hashes, is_hot
+from tableops.plans.hotkeys import HOT_BYTES, HOT_ROWS, SAMPLE, hot_keys, parted, widest
 from tableops.plans.scratch import written
 
-# Occurrences of a hot key are matched in blocks of this many.
+# Occurrences of a hot key are matched in blocks of this many, or of a chunk's rows if those are fewer.
 BLOCK = 1 << 16
-# A hot key is cut into chunks of about a (CHUNKS)th of ``hot_rows`` different rows, by this many sampled rows a chunk.
+# A hot key is cut into chunks of about a (CHUNKS)th of ``hot_rows`` different rows, or of ``hot_bytes`` where rows are
+# long, by this many sampled rows a chunk.
 CHUNKS = 8
 SAMPLED = 32
 
@@ -65,6 +66,7 @@ def compare(
     tidy_text: bool = True,
     hot_rows: int | None = HOT_ROWS,
     hot_sample: float = SAMPLE,
+    hot_bytes: int = HOT_BYTES,
 ) -> CompareResult:
     """Match table A with table B; see :class:`CompareResult` for the outputs.
 
@@ -92,10 +94,11 @@ def compare(
     targets = [comparable_key_types(dtype(a, k), dtype(b, require(b, k)[0])) for k in keys]
     tagged = _tag(a, keys, targets, layout_a, "a", layout_b).unionByName(_tag(b, keys, targets, layout_b, "b", layout_a))
     key_columns = [f"_k{i}" for i in range(len(keys))]
-    hot = hot_hashes(tagged, key_columns, hot_rows, hot_sample)
+    hot = hot_keys(tagged, key_columns, hot_rows, hot_sample, hot_bytes)
+    chunk_rows = 1 if hot is None else max(1, int(min(hot_rows, hot_bytes / widest(hot)) // CHUNKS))
     order = F.struct(*layout_a.border("_a"), *layout_b.border("_b"))
     return CompareResult(
-        matched=_match(tagged, key_columns, order, hot, max(1, (hot_rows or 0) // CHUNKS)),
+        matched=_match(tagged, key_columns, order, hot, chunk_rows),
         keys=keys,
         fields_a={f.name: f.dataType for f in a.schema if f.name.lower() not in hidden},
         fields_b={f.name: f.dataType for f in b.schema if f.name.lower() not in hidden},
@@ -179,13 +182,11 @@ def _tag(
     return df.select(*key_columns, F.lit(side).alias("_side"), packed, empty)
 
 
-def _match(tagged: DataFrame, keys: list[str], order: Column, hot: list[int], chunk_rows: int) -> DataFrame:
-    if not hot:
+def _match(tagged: DataFrame, keys: list[str], order: Column, hot: DataFrame | None, chunk_rows: int) -> DataFrame:
+    if hot is None:
         return _match_by_key(tagged, keys)
-    spread = is_hot(keys, hot)
-    return _match_by_key(tagged.filter(~spread), keys).unionByName(
-        _match_spread(tagged.filter(spread), keys, order, chunk_rows)
-    )
+    usual, spread = parted(tagged, keys, hot)
+    return _match_by_key(usual, keys).unionByName(_match_spread(spread, keys, order, chunk_rows))
 
 
 def _match_by_key(tagged: DataFrame, keys: list[str]) -> DataFrame:
@@ -288,8 +289,9 @@ def _match_spread(tagged: DataFrame, keys: list[str], order: Column, chunk_rows:
         (F.col("_base") + F.col("_upto") - 1).alias("_to"),
     )
 
-    size = F.lit(BLOCK)
-    pieces = placed.withColumn("_block", F.explode(F.sequence(F.expr(f"_from div {BLOCK}"), F.expr(f"_to div {BLOCK}"))))
+    block = min(BLOCK, chunk_rows)
+    size = F.lit(block)
+    pieces = placed.withColumn("_block", F.explode(F.sequence(F.expr(f"_from div {block}"), F.expr(f"_to div {block}"))))
     low = F.greatest(F.col("_from"), F.col("_block") * size)
     high = F.least(F.col("_to"), (F.col("_block") + 1) * size - 1)
     numbered = pieces.repartition(*keys, "_block").withColumn("_occ", F.explode(F.sequence(low + 1, high + 1)))

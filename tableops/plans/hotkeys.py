@@ -1,41 +1,78 @@
-"""Finding keys that hold so many rows that one task must not own them."""
+"""Finding keys that hold so many rows, or so many bytes, that one task must not own them."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tableops.columns import col
+from tableops.plans.scratch import written
 
-# A key below this many rows is left to one task.
+# A key below this many rows and this many bytes is left to one task.
 HOT_ROWS = 2_000_000
+HOT_BYTES = 2 << 30
 SAMPLE = 0.01
-MOST_HASHES = 10_000
+# The rows of a key are weighed from this part of ``hot_rows`` on.
+WEIGHED = 100
 
 
-def hot_hashes(
-    df: DataFrame, keys: Sequence[str], hot_rows: int | None = HOT_ROWS, sample: float = SAMPLE
-) -> list[int]:
-    """Hashes of the keys with about ``hot_rows`` rows or more, biggest first.
+def hot_keys(
+    df: DataFrame,
+    keys: Sequence[str],
+    hot_rows: int | None = HOT_ROWS,
+    sample: float = SAMPLE,
+    hot_bytes: int = HOT_BYTES,
+) -> DataFrame | None:
+    """Keys with about ``hot_rows`` rows or ``hot_bytes`` bytes, as a table: hash, rows, bytes; None if there are none.
 
-    One pass over the key columns only; a 1 % sample is counted, partially
-    aggregated before its shuffle. At most ``MOST_HASHES`` numbers reach the
-    driver. The list only chooses between two exact ways of computing the same
-    rows, so neither a missed key nor a colliding hash can change a result.
-    ``hot_rows=None`` skips the pass.
+    A 1 % sample of the key columns alone is counted first, partially
+    aggregated before its shuffle. Only if some key has a ``WEIGHED``-th of
+    ``hot_rows`` does a second pass weigh the sampled rows of such keys. One
+    number of each pass reaches the driver; the hashes stay a table in the
+    scratch folder, however many there are. It only chooses between two exact
+    ways of computing the same rows, so neither a missed key nor a colliding
+    hash can change a result. ``hot_rows=None`` skips all of it.
     """
     if hot_rows is None:
-        return []
-    hashes = df.select(F.xxhash64(*[col(k) for k in keys]).alias("h"))
-    if sample < 1:
-        hashes = hashes.sample(fraction=sample, seed=11)
-    counts = hashes.groupBy("h").agg(F.count("*").alias("n"))
-    big = counts.filter(F.col("n") >= F.lit(max(1.0, hot_rows * sample)))
-    return [row.h for row in big.orderBy(F.desc("n")).limit(MOST_HASHES).collect()]
-
-
-def is_hot(keys: Sequence[str], hashes: Sequence[int]) -> Column:
-    """Does the row's key hash to one of ``hashes``? Never NULL."""
-    names = ", ".join("`" + k.replace("`", "``") + "`" for k in keys)
-    return F.expr(f"xxhash64({names}) IN ({', '.join(f'{h}L' for h in hashes)})")
+        return None
+    least = max(1.0, hot_rows * sample / WEIGHED)
+    counts = _sampled(df.select(_hash(keys).alias("_hot")), sample).groupBy("_hot").agg(F.count("*").alias("_n"))
+    if (counts.agg(F.max("_n")).first()[0] or 0) < least:
+        return None
+    often = written(counts.filter(F.col("_n") >= least).select("_hot"), "often")
+    weights = _sampled(df, sample).select(_hash(keys).alias("_hot"), _row_bytes(df).alias("_size"))
+    sums = weights.join(often, "_hot", "left_semi").groupBy("_hot").agg(F.count("*").alias("n"), F.sum("_size").alias("size"))
+    scaled = sums.select("_hot", *[(F.col(c) / F.lit(sample)).alias(c) for c in ("n", "size")])
+    hot = written(scaled.filter((F.col("n") >= max(1.0 / sample, hot_rows)) | (F.col("size") >= hot_bytes)), "hot")
+    return None if hot.isEmpty() else hot
+
+
+def widest(hot: DataFrame) -> float:
+    """Bytes of a row, on average, of the hot key where they are most."""
+    return hot.agg(F.max(F.col("size") / F.col("n"))).first()[0]
+
+
+def parted(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose keys are not in ``hot``, and those whose keys are."""
+    same, hashes = _hash(keys) == F.col("_hot"), hot.select("_hot")
+    return df.join(hashes, same, "left_anti"), df.join(hashes, same, "left_semi")
+
+
+def _sampled(df: DataFrame, sample: float) -> DataFrame:
+    return df.sample(fraction=sample, seed=11) if sample < 1 else df
+
+
+def _hash(keys: Sequence[str]) -> Column:
+    return F.xxhash64(*[col(k) for k in keys])
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: those of texts and, through JSON, of nested values; 8 for any other value."""
+    sizes = [F.lit(8 * len(df.columns)).cast("bigint")]
+    for field in df.schema:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            sizes.append(F.octet_length(col(field.name)).cast("bigint"))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            sizes.append(F.octet_length(F.to_json(F.struct(col(field.name)))).cast("bigint"))
+    return sum((F.coalesce(s, F.lit(0)) for s in sizes[1:]), sizes[0])

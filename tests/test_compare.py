@@ -139,7 +139,7 @@ def test_hot_key_is_cut_into_many_tasks(spark):
     a, b = skewed(spark)
     only = a.filter("k = 0")
     spread = compare(only, only, "k", hot_rows=300, hot_sample=1.0)
-    path = [w for w in spread.matched.inputFiles()][0].rsplit("/", 1)[0]
+    path = next(w for w in spread.matched.inputFiles() if "/compare-" in w).rsplit("/", 1)[0]
     sizes = spark.read.parquet(path).groupBy("_side", "_chunk").agg(F.count("*").alias("n"))
     assert sizes.count() >= 8
     assert sizes.agg(F.max("n")).first()[0] < only.distinct().count() / 2
@@ -161,6 +161,25 @@ def test_long_common_starts_are_spread(spark):
     assert spread.summary().first() == plain.summary().first()
 
 
+def test_few_long_rows_are_spread(spark):
+    """A key with few rows for its number but many bytes is cut into chunks and blocks by bytes."""
+    key = F.when(F.col("id") < 300, 1).otherwise(F.col("id"))
+    a = spark.range(900).select(key.alias("k"), F.concat(F.repeat(F.lit("long "), 2_000), F.col("id")).alias("t"), F.col("id").alias("n"))
+    b = a.filter("n % 50 != 7").withColumn("t", F.when(F.col("n") % 40 == 3, "short").otherwise(F.col("t")))
+    plain = compare(a, b, "k", order_by="n", hot_rows=None)
+    by_rows = compare(a, b, "k", order_by="n", hot_rows=2_000, hot_sample=1.0)
+    assert not any("/compare-" in w for w in by_rows.matched.inputFiles())
+    spread = compare(a, b, "k", order_by="n", hot_rows=2_000, hot_sample=1.0, hot_bytes=1 << 20)
+    path = next(w for w in spread.matched.inputFiles() if "/compare-" in w).rsplit("/", 1)[0]
+    sizes = spark.read.parquet(path).groupBy("_side", "_chunk").agg(F.count("*").alias("n")).collect()
+    for side, n in (("a", 300), ("b", 294)):
+        of_side = [r.n for r in sizes if r["_side"] == side]
+        assert sum(of_side) == n and len(of_side) >= 8 and max(of_side) < 60
+    assert rows(spread.both) == rows(plain.both)
+    assert rows(spread.only_a) == rows(plain.only_a)
+    assert spread.summary().first() == plain.summary().first()
+
+
 def test_spreadsheet_names_on_the_spread_road(spark):
     names = "`cod. (id)` bigint, `valor (R$), total;` double, `obs\n=` string"
     a = spark.createDataFrame([(1, float(i), f"t{i % 3}") for i in range(50)], names)
