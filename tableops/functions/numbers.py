@@ -63,10 +63,12 @@ def exact_sum(c: Column, data_type: T.DataType, places: int) -> Column:
     large = F.when((size >= F.lit(9e18 / 10**scale)) & (size <= F.lit(10.0 ** min(30, 34 - places))), c).cast(f"decimal(38,{places})")
     added = F.round(fine, places).cast("double") + F.lit(0.0)
     exact = F.round(fine + F.coalesce(F.try_sum(large), F.lit(0)), places).cast("double")
-    beyond = F.count_if((size > F.lit(10.0 ** min(30, 34 - places))) & (size < infinite)) > 0
-    plus, minus = F.count_if(c == infinite) > 0, F.count_if(c == F.lit(float("-inf"))) > 0
-    odd = F.when(plus & minus, F.lit(float("nan"))).when(plus, infinite).when(minus, F.lit(float("-inf"))).when(beyond, F.sum(c))
-    return F.when(F.count(c) > 0, F.coalesce(odd, F.when(F.count(large) > 0, exact).otherwise(added)))
+    # Two extremes tell which of the sums hold: none by an empty group, the plain one by values beyond all bounds.
+    top, bottom = F.max(c).cast("double"), F.min(c).cast("double")
+    reach, plus, minus = F.greatest(top, -bottom), top == infinite, bottom == F.lit(float("-inf"))
+    odd = F.when(plus & minus, F.lit(float("nan"))).when(plus, infinite).when(minus, F.lit(float("-inf")))
+    odd = odd.when(reach > F.lit(10.0 ** min(30, 34 - places)), F.sum(c))
+    return F.when(top.isNotNull(), F.coalesce(odd, F.when(reach >= F.lit(9e18 / 10**scale), exact).otherwise(added)))
 
 
 def exact_gap(a: Column, b: Column) -> Column:
