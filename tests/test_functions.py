@@ -80,3 +80,14 @@ def test_exact_sum(spark):
     assert df.filter("v is null").agg(exact_sum(F.col("v"), T.DoubleType(), 2)).first()[0] is None
     many = spark.range(300_000).select(F.lit(9e12).alias("v")).agg(exact_sum(F.col("v"), T.DoubleType(), 2).alias("s"))
     assert many.first().s == 9 * 10**12 * 300_000
+
+
+def test_exact_sum_of_many_rows(spark):
+    """Sums of parts must not overflow where many values are close to the largest that is counted in units."""
+    value = F.lit(8e10) + (F.col("id") % 4) * 0.25
+    df = spark.range(3_000_000).select(value.alias("v"))
+    total = 3_000_000 * 8e10 + 750_000 * 1.5
+    assert df.agg(exact_sum(F.col("v"), T.DoubleType(), 2)).first()[0] == total
+    assert df.agg(exact_sum(-F.col("v"), T.DoubleType(), 2)).first()[0] == -total
+    wide = spark.range(200_000).select(F.lit(1e30).alias("v")).agg(exact_sum(F.col("v"), T.DoubleType(), 6)).first()[0]
+    assert abs(wide / 2e35 - 1) < 1e-9
