@@ -31,7 +31,7 @@ from tableops.functions import approx_equal, clean_text, exact_gap
 from tableops.plans.hotkeys import HOT_BYTES, HOT_ROWS, SAMPLE, hot_keys, parted, widest
 from tableops.plans.scratch import written
 
-# Occurrences of a hot key are matched in blocks of this many, or of a chunk's rows if those are fewer.
+# Occurrences of a hot key are matched in blocks of this many, or fewer where rows are long.
 BLOCK = 1 << 16
 # A hot key is cut into chunks of about a (CHUNKS)th of ``hot_rows`` different rows, or of ``hot_bytes`` where rows are
 # long, by this many sampled rows a chunk.
@@ -95,10 +95,10 @@ def compare(
     tagged = _tag(a, keys, targets, layout_a, "a", layout_b).unionByName(_tag(b, keys, targets, layout_b, "b", layout_a))
     key_columns = [f"_k{i}" for i in range(len(keys))]
     hot = hot_keys(tagged, key_columns, hot_rows, hot_sample, hot_bytes)
-    chunk_rows = 1 if hot is None else max(1, int(min(hot_rows, hot_bytes / widest(hot)) // CHUNKS))
+    long_rows = 0 if hot is None else int(hot_bytes / widest(hot) // CHUNKS)
     order = F.struct(*layout_a.border("_a"), *layout_b.border("_b"))
     return CompareResult(
-        matched=_match(tagged, key_columns, order, hot, chunk_rows),
+        matched=_match(tagged, key_columns, order, hot, max(1, min((hot_rows or 0) // CHUNKS, long_rows)), max(1, min(BLOCK, long_rows))),
         keys=keys,
         fields_a={f.name: f.dataType for f in a.schema if f.name.lower() not in hidden},
         fields_b={f.name: f.dataType for f in b.schema if f.name.lower() not in hidden},
@@ -182,11 +182,11 @@ def _tag(
     return df.select(*key_columns, F.lit(side).alias("_side"), packed, empty)
 
 
-def _match(tagged: DataFrame, keys: list[str], order: Column, hot: DataFrame | None, chunk_rows: int) -> DataFrame:
+def _match(tagged: DataFrame, keys: list[str], order: Column, hot: DataFrame | None, chunk_rows: int, block: int) -> DataFrame:
     if hot is None:
         return _match_by_key(tagged, keys)
     usual, spread = parted(tagged, keys, hot)
-    return _match_by_key(usual, keys).unionByName(_match_spread(spread, keys, order, chunk_rows))
+    return _match_by_key(usual, keys).unionByName(_match_spread(spread, keys, order, chunk_rows, block))
 
 
 def _match_by_key(tagged: DataFrame, keys: list[str]) -> DataFrame:
@@ -252,7 +252,7 @@ def _chunked(copies: DataFrame, keys: list[str], order: Column, chunk_rows: int)
     return rows.select(*copies.columns, F.coalesce("_number", F.lit(0)).alias("_chunk"))
 
 
-def _match_spread(tagged: DataFrame, keys: list[str], order: Column, chunk_rows: int) -> DataFrame:
+def _match_spread(tagged: DataFrame, keys: list[str], order: Column, chunk_rows: int, block: int) -> DataFrame:
     """The same pairs for keys too big for one task.
 
     Identical rows are interchangeable, so they travel as one row with a
@@ -289,7 +289,6 @@ def _match_spread(tagged: DataFrame, keys: list[str], order: Column, chunk_rows:
         (F.col("_base") + F.col("_upto") - 1).alias("_to"),
     )
 
-    block = min(BLOCK, chunk_rows)
     size = F.lit(block)
     pieces = placed.withColumn("_block", F.explode(F.sequence(F.expr(f"_from div {block}"), F.expr(f"_to div {block}"))))
     low = F.greatest(F.col("_from"), F.col("_block") * size)
