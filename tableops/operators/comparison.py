@@ -28,15 +28,20 @@ from tableops.columns import (
     require_unique,
 )
 from tableops.functions import approx_equal, clean_text, exact_gap
-from tableops.plans.hotkeys import HOT_BYTES, HOT_ROWS, SAMPLE, hot_keys, parted, widest
+from tableops.plans.hotkeys import HOT_BYTES, HOT_ROWS, SAMPLE, hot_keys, largest, parted, widest
 from tableops.plans.scratch import written
 
 # Occurrences of a hot key are matched in blocks of this many, or fewer where rows are long.
 BLOCK = 1 << 16
 # A hot key is cut into chunks of about a (CHUNKS)th of ``hot_rows`` different rows, or of ``hot_bytes`` where rows are
-# long, by this many sampled rows a chunk.
+# long, by this many sampled rows a chunk. Keys with more than (MOST_CHUNKS) chunks of that size get
+# larger ones, up to (CHUNK) rows: so many are sorted in no time, and more borders only cost time.
 CHUNKS = 8
 SAMPLED = 32
+MOST_CHUNKS = 64
+CHUNK = 1 << 16
+# Chunks, or groups of chunks, that a row is compared with at a time.
+FAN = 32
 
 
 def align_keys(b: DataFrame, keys_a: Sequence[str], keys_b: Sequence[str]) -> DataFrame:
@@ -95,10 +100,11 @@ def compare(
     tagged = _tag(a, keys, targets, layout_a, "a", layout_b).unionByName(_tag(b, keys, targets, layout_b, "b", layout_a))
     key_columns = [f"_k{i}" for i in range(len(keys))]
     hot = hot_keys(tagged, key_columns, hot_rows, hot_sample, hot_bytes)
-    long_rows = 0 if hot is None else int(hot_bytes / widest(hot) // CHUNKS)
+    long_rows, few = (0, 0) if hot is None else (int(hot_bytes / widest(hot) // CHUNKS), int(largest(hot) // MOST_CHUNKS))
+    chunk_rows = min(max((hot_rows or 0) // CHUNKS, min(CHUNK, few)), long_rows)
     order = F.struct(*layout_a.border("_a"), *layout_b.border("_b"))
     return CompareResult(
-        matched=_match(tagged, key_columns, order, hot, max(1, min((hot_rows or 0) // CHUNKS, long_rows)), max(1, min(BLOCK, long_rows))),
+        matched=_match(tagged, key_columns, order, hot, max(1, chunk_rows), max(1, min(BLOCK, long_rows))),
         keys=keys,
         fields_a={f.name: f.dataType for f in a.schema if f.name.lower() not in hidden},
         fields_b={f.name: f.dataType for f in b.schema if f.name.lower() not in hidden},
@@ -205,7 +211,7 @@ def _fold(numbered: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _borders(copies: DataFrame, keys: list[str], order: Column, chunk_rows: int) -> DataFrame:
-    """Chunks of each key and side in row order, as a table: number, group of chunks, lowest row and the one that is beyond.
+    """Chunks of each key and side in row order, as a table: number, lowest row and the one that is beyond.
 
     The rows are sampled by a hash of their whole order, so the borders are the
     same on every run, and every ``SAMPLED``-th row of the sample is one. A key's
@@ -221,35 +227,34 @@ def _borders(copies: DataFrame, keys: list[str], order: Column, chunk_rows: int)
     first = points.groupBy(*by).agg(F.min("_low").alias("_beyond")).select(*by, nothing.alias("_low"), "_beyond")
     others = points.withColumn("_beyond", F.lead("_low").over(in_order))
     numbered = first.unionByName(others).withColumn("_number", (F.row_number().over(in_order) - 1).cast("bigint"))
-    width = F.ceil(F.sqrt(F.count("*").over(Window.partitionBy(*by))))
-    return written(numbered.withColumn("_group", F.floor(F.col("_number") / width)), "borders")
+    return written(numbered, "borders")
 
 
 def _chunked(copies: DataFrame, keys: list[str], order: Column, chunk_rows: int) -> DataFrame:
     """The rows with the number of the chunk they fall into, 0 in keys too small to be cut.
 
-    They are looked up in groups of chunks first and then within their group,
-    so a row meets about twice the square root of its key's chunks.
+    They are looked up in groups of groups first, ``FAN`` in a group, and then within
+    their group, so a row meets ``FAN`` ranges for each digit of the number of chunks.
     """
     borders = _borders(copies, keys, order, chunk_rows)
     by = [*keys, "_side"]
-    groups = borders.groupBy(*by, "_group").agg(
-        F.min_by("_low", "_number").alias("_low"), F.max_by("_beyond", "_number").alias("_beyond")
-    )
-
-    def placed(rows: DataFrame, ranges: DataFrame, on: list[str], number: str) -> DataFrame:
-        ranges = ranges.select(
-            *[F.col(c).alias(f"_r{i}") for i, c in enumerate(on)], F.col(number).alias("_found"), "_low", "_beyond"
+    last = borders.agg(F.max("_number")).first()[0] or 0
+    widths = [1]
+    while widths[-1] * FAN <= last:
+        widths.append(widths[-1] * FAN)
+    rows = copies.withColumns({"_order": order, "_chunk": F.lit(0).cast("bigint")})
+    for width in reversed(widths):
+        ranges = borders.groupBy(*by, F.expr(f"_number div {width}").alias("_found")).agg(
+            F.min_by("_low", "_number").alias("_low"), F.max_by("_beyond", "_number").alias("_beyond")
         )
-        same = [F.col(c).eqNullSafe(F.col(f"_r{i}")) for i, c in enumerate(on)]
+        ranges = ranges.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(by)], F.expr(f"_found div {FAN}").alias("_up"), "_found", "_low", "_beyond")
+        same = [F.col(c).eqNullSafe(F.col(f"_r{i}")) for i, c in enumerate(by)]
+        same.append(F.col("_chunk") == (F.col("_up") if width < widths[-1] else F.lit(0)))
         same.append(F.col("_low").isNull() | (F.col("_order") >= F.col("_low")))
         same.append(F.col("_beyond").isNull() | (F.col("_order") < F.col("_beyond")))
         found = rows.join(ranges, reduce(lambda x, y: x & y, same), "left")
-        return found.select(*rows.columns, F.col("_found").alias(number))
-
-    rows = placed(copies.withColumn("_order", order), groups, by, "_group")
-    rows = placed(rows, borders, [*by, "_group"], "_number")
-    return rows.select(*copies.columns, F.coalesce("_number", F.lit(0)).alias("_chunk"))
+        rows = found.select(*copies.columns, "_order", F.coalesce("_found", F.lit(0)).alias("_chunk"))
+    return rows.drop("_order")
 
 
 def _match_spread(tagged: DataFrame, keys: list[str], order: Column, chunk_rows: int, block: int) -> DataFrame:

@@ -53,6 +53,11 @@ def widest(hot: DataFrame) -> float:
     return hot.agg(F.max(F.col("size") / F.col("n"))).first()[0]
 
 
+def largest(hot: DataFrame) -> float:
+    """Rows of the hot key that has most."""
+    return hot.agg(F.max("n")).first()[0]
+
+
 def parted(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows whose keys are not in ``hot``, and those whose keys are."""
     same, hashes = _hash(keys) == F.col("_hot"), hot.select("_hot")

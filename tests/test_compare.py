@@ -146,6 +146,21 @@ def test_hot_key_is_cut_into_many_tasks(spark):
     assert spread.matches()
 
 
+@pytest.mark.parametrize("fan", [32, 3])
+def test_chunks_do_not_follow_a_low_threshold(spark, monkeypatch, fan):
+    """A key far above ``hot_rows`` has chunks by its own rows, looked up in groups of any depth."""
+    monkeypatch.setattr(comparison, "FAN", fan)
+    a = spark.range(9000).select(F.when(F.col("id") < 8000, 1).alias("k"), (F.xxhash64("id") % 5000).alias("n"), F.col("id").alias("v"))
+    b = a.filter("v % 50 != 7").withColumn("v", F.col("v") + F.when(F.col("v") % 40 == 3, 1).otherwise(0))
+    spread = compare(a, b, "k", order_by="n", hot_rows=100, hot_sample=1.0)
+    path = next(w for w in spread.matched.inputFiles() if "/compare-" in w).rsplit("/", 1)[0]
+    of_key = [r.n for r in spark.read.parquet(path).filter("_k0 = 1").groupBy("_side", "_chunk").agg(F.count("*").alias("n")).collect()]
+    assert 20 < len(of_key) <= 128 and max(of_key) < 2000
+    plain = compare(a, b, "k", order_by="n", hot_rows=None)
+    assert rows(spread.both) == rows(plain.both)
+    assert spread.summary().first() == plain.summary().first()
+
+
 def test_long_common_starts_are_spread(spark):
     """Rows whose order column differs only behind its 90th character, and copies, fall into chunks of like size."""
     url = F.concat(F.lit("https://www.example.org/" + "section/" * 9), F.format_string("%05d", F.col("id")))
