@@ -1,7 +1,8 @@
 """Token ids of whole texts by a public tokenizer file of the tokenizers library.
 
 White space separates the pieces that the tokenizer treats on their own, so each distinct piece
-is encoded once and looked up afterwards, which gives the ids of the whole text. ``separable``
+is encoded once and looked up afterwards, which gives the ids of the whole text. Texts are taken in
+small letters where the tokenizer does the same, so there are fewer different pieces. ``separable``
 says whether a tokenizer file allows it; texts are encoded whole with any other file.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 import sys
 import zlib
 from collections.abc import Callable, Iterator
@@ -23,8 +25,12 @@ import pyarrow as pa
 REMEMBERED = 1_000_000
 #: White space to Python's ``split`` but not to the tokenizer's expressions.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
-#: Marks that are split from a letter or digit before them.
-_MARKS = ".,;:!?"
+#: Marks that are split from a letter before them.
+_MARKS = string.punctuation
+#: Pieces whose ids are put together at a time.
+_GATHERED = 1 << 18
+#: Letters before this one are composed, and letters in all versions of Unicode.
+_LATIN = "\u0250"
 
 
 def separable(tokenizer_json: str) -> bool:
@@ -44,6 +50,17 @@ def separable(tokenizer_json: str) -> bool:
     return plain and drops and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
 
 
+def _for_words(made: dict) -> str | None:
+    """The tokenizer file without the steps that leave small Latin words between blanks as they are; None if it may cut such words."""
+    norm, pre = made.get("normalizer") or {}, made.get("pre_tokenizer") or {}
+    steps, cuts = norm.get("normalizers", [norm]), pre.get("pretokenizers", [pre])
+    letters = re.search(r"\|\[?\\p\{L\}\]?\+\|", str(cuts[0].get("pattern", {}).get("Regex")))
+    if not letters or not any(s.get("type") == "Lowercase" for s in steps) or any(c["type"] != "ByteLevel" or c["use_regex"] or c["add_prefix_space"] for c in cuts[1:]):
+        return None
+    cuts = [{"type": "WhitespaceSplit"}, *cuts[1:]]
+    return json.dumps(made | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": cuts}, "added_tokens": []})
+
+
 def encoder(tokenizer_json: str, remembered: int = REMEMBERED) -> Callable[[list[str]], Iterator[np.ndarray]]:
     """A function from texts to their ids (uint32 arrays), without special tokens.
 
@@ -70,55 +87,96 @@ def _encoder(tokenizer_json: str, remembered: int) -> Callable[[list[str]], Iter
 
         return whole
 
+    made = json.loads(tokenizer_json)
+    plain = _for_words(made)
+    quick = Tokenizer.from_str(plain) if plain else tokenizer
+    added = [t["content"].lower() for t in made.get("added_tokens", [])]
+    # An added token that begins with a letter could stand across the end of a word.
+    ending = _MARKS if not any(t[:1].isalnum() for t in added) else ".,;:!?"
     end = np.zeros(tokenizer.get_vocab_size(), bool)
-    suffix = json.loads(tokenizer_json)["model"].get("end_of_word_suffix") or ""
+    suffix = made["model"].get("end_of_word_suffix") or ""
     end[[i for token, i in tokenizer.get_vocab().items() if suffix and token.endswith(suffix)]] = True
     known: dict[str, bytes] = {}
 
     def ids_of(texts: list[str]) -> list[bytes]:
         return [np.array(found.ids, "<u4").tobytes() for found in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(new: set[str]) -> None:
-        """Encode new pieces: words of letters many at a time, in small letters and without the marks after them."""
+    def simple(word: str) -> bool:
+        return word.isalpha() and word.islower() and (word.isascii() or max(word) < _LATIN)
+
+    def learn_words(words: list[str], tokenizer: Tokenizer) -> None:
+        """Words of letters in small letters, many at a time."""
+        groups = [words[i : i + 512] for i in range(0, len(words), 512)]
+        for group, found in zip(groups, tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            ends = (4 * np.flatnonzero(end[ids]) + 4).tolist()
+            if len(ends) == len(group):
+                raw = ids.tobytes()
+                known.update(zip(group, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+            else:  # a letter that is more than one when lower-cased, or no such suffix
+                known.update(zip(group, ids_of(group), strict=True))
+
+    def learn(new: list[str]) -> None:
+        """Encode new pieces: words of letters in small letters and without the marks after them."""
+        latin = {p for p in new if simple(p)} if plain else set()
         split, cores, others = [], set(), set()
-        for piece in new:
-            core = piece.rstrip(_MARKS)
+        for piece in [p for p in new if p not in latin]:
+            core = piece.rstrip(ending)
             # Capital sigma has two small forms; what is not composed could change when it is.
             if core.isalpha() and (piece.isascii() or "\u03a3" not in piece and is_normalized("NFC", piece)):
                 marks, core = piece[len(core) :], core.lower()
                 if piece != core:
                     split.append((piece, core, marks))
-                if core not in known:
+                if core not in known and core not in latin:
                     cores.add(core)
                 if marks and marks not in known:
                     others.add(marks)
             else:
                 others.add(piece)
-        words, others = list(cores), list(others)
-        groups = [words[i : i + 512] for i in range(0, len(words), 512)]
-        for group, found in zip(groups, tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
-            ends = (4 * np.flatnonzero(end[ids]) + 4).tolist()
-            if len(ends) == len(group):
-                raw = ids.tobytes()
-                known.update(zip(group, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-            else:  # a letter that is more than one when lower-cased, or no such suffix
-                known.update(zip(group, ids_of(group), strict=True))
+        quickly = {c for c in cores if simple(c)} if plain else set()
+        learn_words([*latin, *quickly], quick)
+        learn_words(list(cores - quickly), tokenizer)
+        others = list(others)
         known.update(zip(others, ids_of(others), strict=True))
         for piece, core, marks in split:
             known[piece] = known[core] + known[marks] if marks else known[core]
 
+    def parted(text: str) -> list[str]:
+        """The pieces of a text, in small letters where the tokenizer makes them so, too."""
+        if plain and (text.isascii() or "\u03a3" not in text and is_normalized("NFC", text)):
+            low = text.lower()
+            # What is not composed in small letters would be when they are encoded.
+            if (low.isascii() or is_normalized("NFC", low)) and not any(t in low for t in added):
+                return low.split()
+        return text.split()
+
     def pieces(texts: list[str]) -> Iterator[np.ndarray]:
-        split = [None if any(c in text for c in _SEPARATORS) else text.split() for text in texts]
-        used = set().union(*(x for x in split if x))
-        new = used - known.keys()
+        split = [None if any(c in text for c in _SEPARATORS) else parted(text) for text in texts]
+        found = pa.array([p for x in split if x for p in x], pa.large_string()).dictionary_encode()
+        used = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        raw = list(map(known.get, used))
+        new = [p for p, ids in zip(used, raw, strict=True) if ids is None]
         if new:
             if len(known) + 2 * len(new) > remembered:
                 known.clear()
                 new = used
             learn(new)
+            raw = [known[p] if ids is None else ids for p, ids in zip(used, raw, strict=True)]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        starts, values, at = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(raw), "<u4"), found.indices.to_numpy()
+        ends = np.concatenate(([0], np.cumsum(sizes[at])))
+        ids = np.empty(ends[-1], "<u4")
+        for i in range(0, len(at), _GATHERED):
+            some, bounds = at[i : i + _GATHERED], ends[i : i + _GATHERED + 1]
+            places = np.repeat(starts[some] - bounds[:-1], sizes[some]) + np.arange(bounds[0], bounds[-1])
+            ids[bounds[0] : bounds[-1]] = values[places]
+        done = 0
         for text, parts in zip(texts, split, strict=True):
-            yield np.frombuffer(ids_of([text])[0] if parts is None else b"".join([known[p] for p in parts]), "<u4")
+            if parts is None:
+                yield np.frombuffer(ids_of([text])[0], "<u4")
+            else:
+                yield ids[ends[done] : ends[done + len(parts)]]
+                done += len(parts)
 
     return pieces
 

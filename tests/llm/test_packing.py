@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from pathlib import Path
@@ -6,7 +7,7 @@ import numpy as np
 import pytest
 
 from tableops.llm import packing, token_files
-from tableops.llm.tokens import encoder, separable
+from tableops.llm.tokens import _for_words, encoder, separable
 from tableops.plans.scratch import scratch_path
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -93,3 +94,30 @@ def test_token_files_round_trip(spark):
     empty = scratch_path(spark, "token-test")
     token_files.write(frame.limit(0), empty, WORD, end_id=2, parts=2)
     assert token_files.read(spark, empty).count() == 0
+
+
+#: Letters that change or compose in small letters, marks at the ends of words, added tokens in both cases.
+BESIDE = [
+    "the", "The", "it's", "DOGS'", "rock'.", "a...", "x&&&", "y.%%%", "_", "w_", "İstanbul", "H\u0331x", "H\u0331.", "STRASSE.", "ΣΑΣ", "σας.", "É&&&",
+    "日本語.", "ПРИВЕТ!", "1a.", "²x².", "Ⅷ.", "Ⓐ", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>.", "x<|endoftext|>y", "a=\u0338", "\u0338",
+    "\xa0", "\x85", "\x1c", "ǅ", "ŉ.", "ª.", "á.", "\u212a", "ﬁ", "we'LL.", "a—.", "a.b.", "http://x.y/z?q=1.", "😀.", "\u0345", "", "~",
+]
+
+
+def test_odd_pieces_side_by_side():
+    """The ids are those of the whole text, whatever stands beside a piece and however little is remembered."""
+    plain, picked = tokenizers.Tokenizer.from_str(WORD), random.Random(7)
+    texts = ["".join(picked.choice(BESIDE) + picked.choice(["", " ", " ", "\n"]) for _ in range(picked.randrange(30))) for _ in range(3000)]
+    encode = encoder(WORD, 200)
+    for i in range(0, len(texts), 5):
+        for text, ids in zip(texts[i : i + 5], encode(texts[i : i + 5]), strict=True):
+            assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_words_are_encoded_without_the_steps_that_leave_them_alone():
+    made = json.loads(WORD)
+    words = tokenizers.Tokenizer.from_str(_for_words(made))
+    assert words.normalizer is None
+    assert words.encode("small straße").ids == tokenizers.Tokenizer.from_str(WORD).encode("Small STRA\xdfE", add_special_tokens=False).ids
+    steps = [s for s in made["normalizer"]["normalizers"] if s["type"] != "Lowercase"]
+    assert _for_words(made | {"normalizer": {"type": "Sequence", "normalizers": steps}}) is None
