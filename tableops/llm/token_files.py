@@ -41,6 +41,8 @@ SCHEMA = "doc_id long, part int, place long, start long, n_tokens long, ids arra
 
 #: Bytes of text that a task encodes and writes, about.
 PART_BYTES = 256 << 20
+#: Bytes of text that are encoded at a time.
+ENCODED_BYTES = 2 << 20
 
 
 def write(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, parts: int | None = None, doc_id: str = "doc_id", text: str = "text") -> None:
@@ -51,7 +53,7 @@ def write(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, parts: i
 
         part, encode, start, place = TaskContext.get().partitionId(), encoder(tokenizer_json), 0, 0
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", ENCODED_BYTES):
                 own = [np.append(ids, np.uint32(end_id)) for ids in encode(rows.column("text").to_pylist())]
                 n = np.array([len(x) for x in own], np.int64)
                 starts = start + np.cumsum(n) - n

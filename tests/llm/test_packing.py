@@ -1,5 +1,6 @@
 import json
 import random
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 
 from tableops.llm import packing, token_files
-from tableops.llm.tokens import _for_words, encoder, separable
+from tableops.llm.tokens import _encoder, _for_words, encoder, separable
 from tableops.plans.scratch import scratch_path
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -121,3 +122,53 @@ def test_words_are_encoded_without_the_steps_that_leave_them_alone():
     assert words.encode("small straße").ids == tokenizers.Tokenizer.from_str(WORD).encode("Small STRA\xdfE", add_special_tokens=False).ids
     steps = [s for s in made["normalizer"]["normalizers"] if s["type"] != "Lowercase"]
     assert _for_words(made | {"normalizer": {"type": "Sequence", "normalizers": steps}}) is None
+
+
+def test_white_space_of_all_kinds_and_long_pieces():
+    """The ids are those of the whole text, also for pieces too long to be remembered."""
+    plain, encode = tokenizers.Tokenizer.from_str(WORD), encoder(WORD, 20)
+    blanks = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u2003", "\u2009", "\u2028", "\u202f", "\u205f", "\u3000", "\u200b", "\ufeff"]
+    texts = [f"{b}word.{b}{b}\u00e9t\u00e9,{b}Two" for b in blanks] + ["a" * 3000 + ".", "\u65e5\u672c" * 500, "STRASSE" * 100 + "!", "\u00e9" * 300 + "??", " ", "."]
+    for _ in range(2):
+        for text, ids in zip(texts, encode(texts), strict=True):
+            assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_common_words_stay_remembered(monkeypatch):
+    """Making room keeps the words of the texts at hand, and a word is asked for once, whatever marks follow it."""
+    asked, real = [], tokenizers.Tokenizer
+
+    class Counted:
+        def __init__(self, made):
+            self.made = made
+
+        @classmethod
+        def from_str(cls, made):
+            return cls(real.from_str(made))
+
+        def __getattr__(self, name):
+            return getattr(self.made, name)
+
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(w for t in texts for w in t.split())
+            return self.made.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    encode = _encoder(WORD, 40)
+    names = ["".join(chr(97 + int(d)) for d in str(n)) for n in range(1000, 1400)]
+    texts = [" ".join(["common", "common,", "common."] + names[i : i + 10]) for i in range(0, 400, 10)]
+    plain = real.from_str(WORD)
+    assert [ids.tolist() for text in texts for ids in encode([text])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert asked.count("common") == asked.count(",") == asked.count(".") == 1
+
+
+def test_words_at_hand_are_no_python_objects():
+    """A text of 4 MB takes 60 MB of Python's memory at most (90 with a string for each word)."""
+    text = "to be or not " * (4 * 2**20 // 13)
+    encode = _encoder(WORD, 1000)
+    list(encode(["to be or not"]))
+    tracemalloc.start()
+    (ids,) = encode([text])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ids) == 4 * (4 * 2**20 // 13) and most < 60 << 20
